@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,6 +171,11 @@ RELEASE_SENTENCE = r"(?<=[.!?])[\"”’]?\s+(?=[A-Z“\"‘(])|\s[·▪–]\s|
 UNITS = {"trillion": 1.0, "billion": 0.001}
 
 
+def _any_pattern(patterns: list[str]):
+    """One-argument test for ``filter``: some pattern occurs."""
+    return lambda s: reduce(lambda a, b: a | b, [s.rlike(p) for p in patterns])
+
+
 def amounts(df: DataFrame, text: str, quarter: str, keep: list[str], rules: dict | None = None) -> DataFrame:
     """``(keep..., metric, value, source_text)``: first sentence per metric, one unit, losses negative.
 
@@ -187,10 +194,7 @@ def amounts(df: DataFrame, text: str, quarter: str, keep: list[str], rules: dict
     for metric, patterns in (rules or AMOUNT_RULES).items():
         tests = [(sign, f"(?i){pattern}") for sign, pattern in patterns]
 
-        def hit(s: Column, tests=tests) -> Column:
-            return F.exists(F.array(*[s.rlike(p) for _, p in tests]), lambda x: x)
-
-        sentence = F.get(F.filter("__s", hit), F.lit(0))
+        sentence = F.get(F.filter("__s", _any_pattern([p for _, p in tests])), F.lit(0))
         value = F.coalesce(*[
             F.when(sentence.rlike(p), sign * F.replace(F.regexp_extract(sentence, p, 1), F.lit(","), F.lit("")).try_cast("double")
                    * scale[F.lower(F.regexp_extract(sentence, p, 2))])
@@ -288,7 +292,7 @@ def discussion_changes(df: DataFrame, text: str, keep: list[str], products: tupl
     for product in products:
         sentence = found(F.col(text), SALES_SENTENCE.format(product=product), 0)
         for metric, subject in CHANGE_SUBJECTS.items():
-            part = F.get(F.filter(F.split(sentence, SALES_SEGMENT), lambda x, s=subject: x.rlike(s)), F.lit(0))
+            part = F.get(F.filter(F.split(sentence, SALES_SEGMENT), _any_pattern([subject])), F.lit(0))
             rows.append(F.when(sentence.isNotNull(), F.struct(
                 F.lit(product).alias("technology"), F.lit(metric).alias("metric"), part.alias("statement")
             )))

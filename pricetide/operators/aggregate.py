@@ -300,3 +300,10 @@ def horizon(df: DataFrame, ts: str, measure: str, reference: str) -> DataFrame:
     """Drop rows later than the last date of the reference measure."""
     last = df.where(F.col(measure) == reference).agg(F.max(ts)).scalar()
     return df.where(F.col(ts) <= last)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a one-row table on every row, as a scalar subquery rather than a join."""
+    names = one_row.columns
+    held = df.withColumn("__one", one_row.select(F.struct(*names)).scalar())
+    return held.select(*df.columns, *[F.col("__one")[n].alias(n) for n in names])

@@ -53,6 +53,9 @@ def exact_quantiles(
     if n_hot == 0:
         return _direct(source, keys, value, quantiles, count, extra).select(*outputs)
 
+    if not keys:  # one group in all: give it a name to join on
+        named = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, quantiles, count, extra, hot_rows)
+        return named.select(*outputs)
     hot_keys = settle(hot_keys)
     if n_hot <= BROADCAST_KEYS:  # beyond that Spark chooses the join, and splits its skewed partitions
         hot_keys = F.broadcast(hot_keys)
@@ -67,8 +70,6 @@ def median(df: DataFrame, keys: list[str], value: str, name: str = "median", **o
 
 def _keyed(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on null-safe keys, so that a null group stays a group."""
-    if not keys:
-        return left if how == "left_semi" else left.where(F.lit(False))
     renamed = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
     return left.join(renamed, reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys]), how)
 
@@ -151,8 +152,6 @@ def _narrow(values: DataFrame, wanted: DataFrame, keys: list[str], value: str) -
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    if not keys:
-        return left.crossJoin(right)  # one row each
     r = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
     match = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__k_{k}"]) for k in keys])
     return left.join(r, match).drop(*[f"__k_{k}" for k in keys])

@@ -116,9 +116,10 @@ def cycle_table(
     def first_month(test) -> Column:
         return months_apart(F.col("peak"), F.get(F.filter("__after", test), F.lit(0))["t"])
 
-    backs = {
-        name: first_month(lambda p, m=multiple: p["v"] <= m * F.col("p_trough0")) for name, multiple in levels.items()
-    }
+    def at_most(multiple: float):
+        return lambda p: p["v"] <= multiple * F.col("p_trough0")
+
+    backs = {name: first_month(at_most(multiple)) for name, multiple in levels.items()}
     fall_months = months_apart(F.col("peak"), F.col("trough1"))
     return priced.select(
         "series", "trough0", "peak", "trough1", "p_trough0", "p_peak", "p_trough1",
