@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import QUERIES, SQL
 
-for _name in ("series", "cycles", "events", "filings"):
+for _name in ("series", "cycles", "events", "filings", "texts", "tables"):
     import_module(f".{_name}", __name__)
 
 __all__ = ["QUERIES", "SQL"]

@@ -151,8 +151,8 @@ def first_event_after(spark, folder):
     sum(l_quantity * 1000) AS cost, sum(l_quantity) * 70 AS inventory FROM lineitem GROUP BY 1, 2, 3),
   w AS (SELECT *, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE revenue - cost END AS gp, CASE WHEN l_suppkey % 3 = 1 THEN NULL ELSE cost END AS cr FROM s),
   x AS (SELECT *, coalesce(gp, revenue - cr) AS g FROM w), y AS (SELECT *, coalesce(cr, revenue - g) AS c FROM x)
-  SELECT l_suppkey, start, "end", round(100 * g / revenue, 1) AS gross_margin_pct,
-    CASE WHEN c > 0 THEN round(inventory / c * ("end" - start + 1), 1) END AS inventory_days FROM y""")
+  SELECT l_suppkey, start, "end", round_even(100 * g / revenue, 2) AS gross_margin_pct,
+    CASE WHEN c > 0 THEN round_even(inventory / c * ("end" - start + 1), 1) END AS inventory_days FROM y""")
 def pivot_ratios(spark, folder):
     start = bucket("l_shipdate", "quarter")
     sums = table(spark, folder, "lineitem").groupBy("l_suppkey", start.alias("start")).agg(
@@ -163,7 +163,7 @@ def pivot_ratios(spark, folder):
     rows = sums.withColumn("gross_profit", F.when(kind != 0, F.col("revenue") - F.col("cost"))).withColumn(
         "cost_of_revenue", F.when(kind != 1, F.col("cost"))
     ).unpivot(["l_suppkey", "start", "end"], ["revenue", "gross_profit", "cost_of_revenue", "inventory"], "metric", "value")
-    return rounded(A.derive_ratios(rows, ["l_suppkey"], "metric", "value", "start", "end"), 1, "gross_margin_pct", "inventory_days")
+    return A.derive_ratios(rows, ["l_suppkey"], "metric", "value", "start", "end")
 
 
 @query("fact_explode", """SELECT o_orderkey, o_orderpriority AS tag, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS start, CAST(o_orderdate AS DATE) AS "end",

@@ -92,7 +92,7 @@ def categorize(df: DataFrame, title: str, flair: str) -> DataFrame:
     several = (F.size(named) > 1) | tag.rlike(R.JOINED_TAG) | other
     return (
         df.withColumn("__kind", kind)
-        .withColumn("category", F.when(F.col("__kind") == "tag", named[0]).when(F.col("__kind") == "flair", by_flair))
+        .withColumn("category", F.when(F.col("__kind") == "tag", F.get(named, F.lit(0))).when(F.col("__kind") == "flair", by_flair))
         .withColumn("body", F.when(F.col("__kind") == "flair", text).otherwise(rest))
         .withColumn("multi_tag", (F.col("__kind") == "tag") & several)
         .drop("__kind")
@@ -162,6 +162,7 @@ def extract_price(df: DataFrame, body: str) -> DataFrame:
     # An amount is dashed only after an earlier offer.
     staged = staged.withColumn("__facts", F.transform("__facts", lambda f, i: F.struct(
         f["v"].alias("v"), f["inside"].alias("inside"), f["cut"].alias("cut"), f["flag"].alias("flag"),
+        f["opens"].alias("opens"),
         (~f["cut"] & f["dash"] & F.exists(F.slice("__facts", 1, i), _plain)).alias("dashed"),
         (_plain(f) & ~(f["dash"] & F.exists(F.slice("__facts", 1, i), _plain))).alias("offer"),
     )))
@@ -169,14 +170,14 @@ def extract_price(df: DataFrame, body: str) -> DataFrame:
     bracketed = F.array_distinct(F.transform(F.filter("__facts", lambda f: f["offer"] & f["inside"]), lambda f: f["v"]))
     staged = staged.withColumn("__offers", F.when(F.size(outside) > 0, outside).otherwise(bracketed))
     staged = staged.withColumn("__chains", _chains(F.col("__facts")))
-    only = F.col("__offers")[0]
-    result = F.filter("__chains", lambda c: c["head"] == only)[0]["total"]
+    only = F.get("__offers", F.lit(0))
+    result = F.get(F.filter("__chains", lambda c: c["head"] == only), F.lit(0))["total"]
     agreed = F.filter("__offers", lambda v: F.exists("__chains", lambda c: F.abs(v - c["total"]) < 0.02))
     price = (
-        F.when(F.size(equals) > 0, amount(F.element_at(equals, -1)["txt"]))
+        F.when(F.size(equals) > 0, amount(F.try_element_at(equals, F.lit(-1))["txt"]))
         .when((F.size("__offers") == 1) & result.isNull(), only)
         .when(F.size("__offers") == 1, F.when(result > 0.3 * only, result))
-        .when(F.size(agreed) == 1, agreed[0])
+        .when(F.size(agreed) == 1, F.get(agreed, F.lit(0)))
     )
     reason = F.when(F.col("price").isNotNull(), F.lit(None).cast("string")).when(
         F.size("__offers") > 0, "ambiguous_price"
@@ -232,7 +233,7 @@ def _chains(facts: Column) -> Column:
 
 def _one(values: Column) -> Column:
     """The only distinct element, else null."""
-    return F.when(F.size(values) == 1, values[0])
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 
 def memory_spec(df: DataFrame, title: str, ts: str) -> DataFrame:
@@ -257,7 +258,7 @@ def memory_spec(df: DataFrame, title: str, ts: str) -> DataFrame:
         .withColumn("__stated", stated)
         .withColumn("__lone", F.filter("__stated", lambda v: v.isin(*R.LONE_SIZES)))
     )
-    kit = F.col("__kits")[0]
+    kit = F.get("__kits", F.lit(0))
     total = kit["n"] * kit["s"]
     has_kit = F.size("__kits") > 0
     extra = F.size(F.filter("__stated", lambda v: ~((v == total) | (v == kit["s"])))) > 0
@@ -282,7 +283,7 @@ def memory_spec(df: DataFrame, title: str, ts: str) -> DataFrame:
         F.when(early | (F.col("speed_mts") <= R.DDR4_TOP_SPEED), "DDR4")
         .when(F.col("speed_mts") >= R.DDR5_LOW_SPEED, "DDR5")
     )
-    explicit = F.when(F.size("__gens") > 0, F.concat(F.lit("DDR"), F.col("__gens")[0]))
+    explicit = F.when(F.size("__gens") > 0, F.concat(F.lit("DDR"), F.get("__gens", F.lit(0))))
     timed = t.rlike(rx(R.TIMING))
     reject = reject_reason([
         ("lpddr_camm", t.rlike(rx(R.LOW_POWER))),
@@ -294,7 +295,7 @@ def memory_spec(df: DataFrame, title: str, ts: str) -> DataFrame:
     ])
     return out.withColumns({
         "spec_reject": reject,
-        "capacity_gb": F.when(has_kit, total).otherwise(F.col("__lone")[0]).cast("double"),
+        "capacity_gb": F.when(has_kit, total).otherwise(F.get("__lone", F.lit(0))).cast("double"),
         "kit": F.when(has_kit, F.concat(kit["n"].cast("string"), F.lit("x"), kit["s"].cast("string"), F.lit("GB"))),
         "ddr": F.coalesce(explicit, guessed),
         "ddr_inferred": explicit.isNull() & guessed.isNotNull(),

@@ -30,7 +30,7 @@ def ytd_to_discrete(
     back = Window.partitionBy(*keys, start).orderBy(F.unix_date(end)).rangeBetween(-gap[1], -gap[0])
     earlier = F.collect_list(F.struct(F.col(end).alias("e"), F.col(val).alias("v"))).over(back)
     differences = (
-        facts.withColumn("__prev", F.explode(earlier))
+        facts.withColumn("__earlier", earlier).withColumn("__prev", F.explode("__earlier")).drop("__earlier")
         .withColumn("__ytd_start", F.col(start))
         .withColumn(start, F.date_add(F.col("__prev.e"), 1))
         .withColumn(val, F.col(val) - F.col("__prev.v"))

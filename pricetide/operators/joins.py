@@ -216,21 +216,17 @@ def contained_passages(
 
     A text that holds a passage holds the passage's inner words as whole words, so the two
     meet on a run of ``words`` inner words and only those pairs are compared in full.
-    Passages too short for a run meet on their longest inner word, or are refused.
+    A passage too short to hold such a run is an error.
     """
     t = texts.select(text_id, normalize_text(text).alias("__t"))
     p = passages.select(passage_id, normalize_text(passage).alias("__p")).withColumn("__w", F.split("__p", " "))
-    enough = F.size("__w") >= words + 2
-    anchor = F.when(enough, F.concat_ws(" ", F.slice("__w", 2, words))).otherwise(
-        F.raise_error(F.concat(F.lit("passage too short to anchor: "), F.col("__p"))).cast("string")
-    )
-    p = p.select(passage_id, "__p", F.xxhash64(anchor).alias("__a"))
-    w = F.split("__t", " ")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, words))),
-    )
-    anchored = t.select(text_id, F.explode(F.array_distinct(runs)).alias("__a")).join(p, "__a")
+    short = F.raise_error(F.concat(F.lit("passage too short to anchor: "), F.col("__p"))).cast("bigint")
+    inner = F.xxhash64(*[F.get("__w", F.lit(i + 1)) for i in range(words)])
+    p = p.select(passage_id, "__p", F.when(F.size("__w") >= words + 2, inner).otherwise(short).alias("__a"))
+    split = t.select(text_id, F.split("__t", " ").alias("__w"))
+    shifted = F.arrays_zip(*[F.slice("__w", k + 1, F.size("__w")).alias(f"w{k}") for k in range(words)])
+    runs = F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(words)]))
+    anchored = split.select(text_id, F.explode(F.array_distinct(runs)).alias("__a")).join(p, "__a")
     # The text itself comes back by id only for the texts that met an anchor.
     pairs = anchored.join(t, text_id).where(F.contains("__t", "__p"))
     return pairs.select(text_id, passage_id)

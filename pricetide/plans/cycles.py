@@ -100,7 +100,7 @@ def cycle_table(
     earlier = troughs(F.slice("turns", 1, F.col("at")))
     later = troughs(F.slice("turns", F.col("at") + 2, F.size("turns")))
     spans = peaks.where(F.size(earlier) > 0).select(
-        "series", "obs", F.element_at(earlier, -1)["t"].alias("trough0"), F.col("turn.t").alias("peak"),
+        "series", "obs", F.try_element_at(earlier, F.lit(-1))["t"].alias("trough0"), F.col("turn.t").alias("peak"),
         F.get(later, F.lit(0))["t"].alias("trough1"),
     )
 
@@ -177,7 +177,7 @@ def upswing_decay(series: DataFrame, cycles: DataFrame, keep: list[str] | None =
         "__up", F.filter("incs", lambda x: (x["q"] > F.col("trough0")) & (x["q"] <= boundary))
     ).where(F.size("__up") >= 2)
     top = F.aggregate(
-        "__up", F.col("__up")[0], lambda best, x: F.when(x["inc"] > best["inc"], x).otherwise(best)
+        "__up", F.get("__up", F.lit(0)), lambda best, x: F.when(x["inc"] > best["inc"], x).otherwise(best)
     )
     rows = rows.withColumn("__top", top)
     rows = rows.withColumn("__after", F.filter("incs", lambda x: x["q"] > F.col("__top.q")))

@@ -15,6 +15,7 @@ from ..functions.deals import (
 from ..operators.aggregate import distribution, keep_keys, series_rows, top_categories
 from ..operators.joins import repost_gap
 from ..operators.quantiles import HOT_ROWS, exact_quantiles
+from ..session import settle
 
 SPEC_COLUMNS = {
     "capacity_gb": "double", "kit": "string", "ddr": "string", "ddr_inferred": "boolean", "speed_mts": "int",
@@ -77,6 +78,7 @@ def flag_outliers(
 
 def judge(parsed: DataFrame) -> DataFrame:
     """Add reposts and outliers to ``reject``; a repost wins, and medians still count reposts."""
+    parsed = settle(parsed)  # read by every check below, and no filter is pushed into the title rules
     accepted = parsed.where(F.col("reject").isNull())
     norm = F.trim(F.regexp_replace(F.lower("title"), r"[^a-z0-9$.]+", " "))
     seen = repost_gap(accepted.withColumn("__norm", norm), ["__norm", "price"], "ts", "id", R.REPOST_DAYS)

@@ -50,7 +50,7 @@ def decay_path(
     )
     walked = rows.withColumn("__steps", F.when((i > 0) & (r > 0), terms).otherwise(F.slice(terms, 1, 0)))
     return walked.withColumn(
-        "peak_q", F.when(F.size("__steps") > 0, F.element_at("__steps", -1)["q"]).otherwise(F.col(start))
+        "peak_q", F.when(F.size("__steps") > 0, F.try_element_at("__steps", F.lit(-1))["q"]).otherwise(F.col(start))
     ).withColumn("further_rise", F.aggregate("__steps", F.lit(0.0), lambda a, s: a + s["inc"])).drop("__steps")
 
 
@@ -178,10 +178,10 @@ def backtest(series: DataFrame, cycles: DataFrame, timing: DataFrame, fall: Data
         _increments(quarterly_levels(series)), "series"
     )
     known = F.filter("incs", lambda x: x["q"] <= F.col("decision_q"))
-    level = F.element_at(F.filter("levels", lambda x: x["q"] <= F.col("decision_q")), -1)["l"]
+    level = F.try_element_at(F.filter("levels", lambda x: x["q"] <= F.col("decision_q")), F.lit(-1))["l"]
     cases = cases.withColumns({"__known": known, "__level": level})
     rising = F.filter("__known", lambda x: x["inc"] > 0)
-    last = F.element_at("__known", -1)
+    last = F.try_element_at("__known", F.lit(-1))
     cases = cases.withColumns({
         "__inc": last["inc"], "__last_q": last["q"],
         "__rose_q": F.coalesce(F.get(rising, F.size(rising) - 1)["q"], last["q"]),
@@ -212,7 +212,7 @@ def bias_months(tested: DataFrame) -> DataFrame:
 def latest_increment(series: DataFrame) -> DataFrame:
     """``(series, last_q, last_inc)`` of the newest quarter."""
     rows = _increments(quarterly_levels(series)).where(F.size("incs") > 0)
-    last = F.element_at("incs", -1)
+    last = F.try_element_at("incs", F.lit(-1))
     return rows.select("series", last["q"].alias("last_q"), last["inc"].alias("last_inc"))
 
 
