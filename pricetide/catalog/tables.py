@@ -236,17 +236,17 @@ def nearest_sample(spark, folder):
 
 
 @query("interpolate_at", """WITH s AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2),
-  a AS (SELECT DISTINCT o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE) AS at FROM orders),
-  p AS (SELECT a.o_custkey, a.at, (SELECT max(d) FROM s WHERE s.o_custkey = a.o_custkey AND s.d <= a.at) AS pd,
-      (SELECT min(d) FROM s WHERE s.o_custkey = a.o_custkey AND s.d >= a.at) AS nd FROM a)
-  SELECT p.o_custkey, p.at, round(CASE WHEN nd IS NULL THEN x.v WHEN pd IS NULL THEN y.v WHEN pd = at THEN x.v
-    ELSE x.v + (y.v - x.v) * (at - pd) / (nd - pd) END, 4) AS interpolated FROM p LEFT JOIN s x ON x.o_custkey = p.o_custkey AND x.d = pd
+  a AS (SELECT DISTINCT o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE) AS asked FROM orders),
+  p AS (SELECT a.o_custkey, a.asked, (SELECT max(d) FROM s WHERE s.o_custkey = a.o_custkey AND s.d <= a.asked) AS pd,
+      (SELECT min(d) FROM s WHERE s.o_custkey = a.o_custkey AND s.d >= a.asked) AS nd FROM a)
+  SELECT p.o_custkey, p.asked, round(CASE WHEN nd IS NULL THEN x.v WHEN pd IS NULL THEN y.v WHEN pd = asked THEN x.v
+    ELSE x.v + (y.v - x.v) * ((asked - pd) / (nd - pd)) END, 8) AS interpolated FROM p LEFT JOIN s x ON x.o_custkey = p.o_custkey AND x.d = pd
   LEFT JOIN s y ON y.o_custkey = p.o_custkey AND y.d = nd""")
 def interpolate_at(spark, folder):
     orders = table(spark, folder, "orders").withColumn("d", day("o_orderdate"))
     series = orders.groupBy("o_custkey", "d").agg(F.avg("o_totalprice").alias("v"))
-    dates = orders.select("o_custkey", F.trunc("d", "YEAR").alias("at")).distinct()
-    return rounded(J.interpolate_at(series, dates, "o_custkey", "d", "v", "at"), 4, "interpolated")
+    dates = orders.select("o_custkey", F.trunc("d", "YEAR").alias("asked")).distinct()
+    return rounded(J.interpolate_at(series, dates, "o_custkey", "d", "v", "asked"), 8, "interpolated")
 
 
 @query("basket_summary", f"""WITH q AS ({PART_QUOTES_SQL}) SELECT p_brand, month, round(quantile_cont(price, 0.5), 9) AS median_listing, count(*) AS n_listings,

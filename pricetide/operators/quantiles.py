@@ -41,7 +41,7 @@ def exact_quantiles(
     """
     extra = extra or {}
     source = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias(value), *[c.alias(n) for n, (_, c) in extra.items()]
+        *keys, F.col(value).cast("double").alias(value), *[c.alias(f"__x_{n}") for n, (_, c) in extra.items()]
     )
     outputs = keys + list(quantiles) + ([count] if count else []) + list(extra)
     if hot_rows is None:
@@ -79,21 +79,29 @@ def _direct(source, keys, value, quantiles, count, extra) -> DataFrame:
     aggregates = [F.percentile(value, fractions).alias("__q")]
     if count:
         aggregates.append(F.count(F.lit(1)).alias(count))
-    aggregates += [_FOLD[how](name).alias(name) for name, (how, _) in extra.items()]
+    aggregates += _folds(extra)
     grouped = source.groupBy(*keys).agg(*aggregates)
     picked = [F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)]
-    return grouped.select(*keys, *picked, *([count] if count else []), *extra)
+    return grouped.select(*keys, *picked, *([count] if count else []), *_named(extra))
+
+
+def _folds(extra) -> list[Column]:
+    return [_FOLD[how](f"__x_{name}").alias(f"__x_{name}") for name, (how, _) in extra.items()]
+
+
+def _named(extra) -> list[Column]:
+    return [F.col(f"__x_{name}").alias(name) for name in extra]
 
 
 def _by_histogram(source, keys, value, quantiles, count, extra) -> DataFrame:
     counted = settle(source.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("__w"), *[_FOLD[how](name).alias(name) for name, (how, _) in extra.items()]
+        F.count(F.lit(1)).alias("__w"), *_folds(extra)
     ))
     totals = counted.groupBy(*keys).agg(
         F.sum("__w").alias("__n"),
         F.min(value).alias("__lo"),
         F.max(value).alias("__hi"),
-        *[_FOLD[how](name).alias(name) for name, (how, _) in extra.items()],
+        *_folds(extra),
     )
     # Two wanted ranks (below, above) per quantile; the ``slot`` tells them apart.
     position = {name: F.lit(float(q)) * (F.col("__n") - 1) for name, q in quantiles.items()}
@@ -121,7 +129,7 @@ def _by_histogram(source, keys, value, quantiles, count, extra) -> DataFrame:
     for i, (name, p) in enumerate(position.items()):
         low, high, share = F.col(f"__s{2 * i}"), F.col(f"__s{2 * i + 1}"), p - F.floor(p)
         out.append((low + (high - low) * share).alias(name))
-    return joined.select(*keys, *out, *([F.col("__n").alias(count)] if count else []), *extra)
+    return joined.select(*keys, *out, *([F.col("__n").alias(count)] if count else []), *_named(extra))
 
 
 def _within(values: DataFrame, wanted: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -26,33 +26,53 @@ SPEC_COLUMNS = {
 def parse_titles(posts: DataFrame) -> DataFrame:
     """Posts of a known category with ``reject`` (null = accepted), price and all spec columns.
 
-    ``posts`` has ``id, ts, title, link_flair_text, domain``. One projection, no shuffle.
+    ``posts`` has ``id, ts, title, link_flair_text, domain``. One projection over one scan:
+    later rules see a null text where an earlier rule has rejected the title or the
+    category is another, and skip it.
     """
     rows = categorize(posts.withColumn("title", tidy(F.col("title"))), "title", "link_flair_text")
     rows = rows.where(F.col("category").isNotNull())
     early = title_rejects(
         F.col("title"), F.col("body"), F.col("category"), F.col("multi_tag"), F.col("domain"), F.col("link_flair_text")
     )
-    rows = extract_price(rows.withColumn("__early", early), "body")
-    parts = [
-        memory_spec(rows.where(F.col("category") == "RAM"), "body", "ts"),
-        storage_spec(rows.where(F.col("category") == "SSD"), "body", "link_flair_text"),
-        chip_model(rows.where(F.col("category") == "CPU"), "body", "CPU"),
-        chip_model(rows.where(F.col("category") == "GPU"), "body", "GPU"),
-    ]
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    out = out.withColumns({n: F.col(n).cast(t) if n in out.columns else F.lit(None).cast(t) for n, t in SPEC_COLUMNS.items()})
+    rows = rows.withColumn("__early", early).withColumn("__open", F.when(F.col("__early").isNull(), F.col("body")))
+    rows = extract_price(rows, "__open")
+    readers = {
+        "RAM": lambda df, text: memory_spec(df, text, "ts"),
+        "SSD": lambda df, text: storage_spec(df, text, "link_flair_text"),
+        "CPU": lambda df, text: chip_model(df, text, "CPU"),
+        "GPU": lambda df, text: chip_model(df, text, "GPU"),
+    }
+    held, names = rows.columns, ["spec_reject", *SPEC_COLUMNS]
+    for category, reader in readers.items():
+        text = f"__{category}"
+        readable = (F.col("category") == category) & F.col("price").isNotNull()
+        read = reader(rows.withColumn(text, F.when(readable, F.col("__open"))), text)
+        new = [c for c in read.columns if c in names]
+        rows = read.select(*[c for c in read.columns if c not in [*names, text]], *[F.col(c).alias(f"{category}_{c}") for c in new])
+
+    def read_column(name: str) -> Column:
+        value = F.lit(None)
+        for category in readers:
+            if f"{category}_{name}" in rows.columns:
+                value = F.when(F.col("category") == category, F.col(f"{category}_{name}")).otherwise(value)
+        return value
+
+    spec_reject = F.when(F.col("price").isNotNull(), read_column("spec_reject"))
     outside = ~in_range("price", "category", R.PRICE_BOUNDS)
     reject = F.coalesce(
-        F.col("__early"), F.col("price_reason"), F.col("spec_reject"), F.when(outside, F.lit("price_out_of_range"))
+        F.col("__early"), F.col("price_reason"), spec_reject, F.when(outside, F.lit("price_out_of_range"))
+    )
+    out = rows.select(
+        *[c for c in held if not c.startswith("__") and c not in ("price_reason", "multi_tag")],
+        *[read_column(n).cast(t).alias(n) for n, t in SPEC_COLUMNS.items()], reject.alias("reject"),
     )
-    out = out.withColumn("reject", reject)
     ok = F.col("reject").isNull()
     return out.withColumns({
         "month": bucket("ts"),
         "usd_per_gb": F.when(ok & (F.col("category") == "RAM"), F.col("price") / F.col("capacity_gb")),
         "usd_per_tb": F.when(ok & (F.col("category") == "SSD"), F.col("price") / (F.col("capacity_gb") / 1000)),
-    }).drop("__early", "price_reason", "spec_reject", "multi_tag")
+    })
 
 
 def flag_outliers(
