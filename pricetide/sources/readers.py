@@ -10,7 +10,7 @@ from ..functions.columns import bucket
 from . import schemas
 
 
-def read_facts(spark: SparkSession, path: str, schema: T.StructType = schemas.FACTS) -> DataFrame:
+def read_facts(spark: SparkSession, path: str, schema: str | T.StructType = schemas.FACTS) -> DataFrame:
     """Long table from CSV (by extension) or Parquet, with the declared types."""
     reader = spark.read.schema(schema)
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
@@ -18,7 +18,7 @@ def read_facts(spark: SparkSession, path: str, schema: T.StructType = schemas.FA
     return reader.parquet(path)
 
 
-def read_posts(spark: SparkSession, glob: str, schema: T.StructType = schemas.POSTS) -> DataFrame:
+def read_posts(spark: SparkSession, glob: str, schema: str | T.StructType = schemas.POSTS) -> DataFrame:
     """JSON-lines archive (plain or gzip), one row per id, with ``ts`` and ``month``."""
     return with_post_time(spark.read.schema(schema).option("mode", "FAILFAST").json(glob)).dropDuplicates(["id"])
 
@@ -67,22 +67,19 @@ def read_xml_facts(spark: SparkSession, path: str, tags: list[str], axes: list[s
     file = F.col("_metadata.file_path").alias("file")
     contexts = (
         spark.read.format("xml").schema(schemas.XML_CONTEXT).option("rowTag", "xbrli:context").load(path)
-        .select(file, F.col("_id").alias("context"), "entity", "period")
-        .where(F.col("period.startDate").isNotNull() & F.col("period.endDate").isNotNull())
-        .withColumn(
-            "members",
-            F.filter(F.col("entity.segment.explicitMember"), lambda m: m["_dimension"] != _NEUTRAL_AXIS),
-        )
-        .where(F.size("members") == 1)
         .select(
-            "file",
-            "context",
-            F.col("members")[0]["_dimension"].alias("axis"),
-            F.trim(F.col("members")[0]["_VALUE"]).alias("member"),
-            F.col("period.startDate").alias("start"),
-            F.col("period.endDate").alias("end"),
+            file,
+            F.col("_id").alias("context"),
+            F.col("`xbrli:entity`.`xbrli:segment`.`xbrldi:explicitMember`").alias("members"),
+            F.col("`xbrli:period`.`xbrli:startDate`").alias("start"),
+            F.col("`xbrli:period`.`xbrli:endDate`").alias("end"),
         )
+        .where(F.col("start").isNotNull() & F.col("end").isNotNull())
+        .withColumn("members", F.filter("members", lambda m: m["_dimension"] != _NEUTRAL_AXIS))
+        .where(F.size("members") == 1)
+        .withColumns({"axis": F.get("members", F.lit(0))["_dimension"], "member": F.trim(F.get("members", F.lit(0))["_VALUE"])})
         .where(F.col("axis").isin(*axes))
+        .drop("members")
     )
     facts = None
     for tag in tags:

@@ -1,33 +1,24 @@
-"""Declared schemas. Every reader uses one, with FAILFAST, instead of inferring types."""
+"""Declared schemas as DDL text. Every reader uses one, with FAILFAST, instead of inferring types."""
 
-from pyspark.sql import types as T
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-FACTS = _struct("date DATE, term STRING, metric STRING, value DOUBLE")
-QUOTES = _struct(
+FACTS = "date DATE, term STRING, metric STRING, value DOUBLE"
+QUOTES = (
     "date DATE, section STRING, item STRING, price DOUBLE, high DOUBLE, low DOUBLE, capture_ts STRING, page STRING"
 )
-POSTS = _struct(
+POSTS = (
     "id STRING, created_utc BIGINT, title STRING, score INT, num_comments INT, link_flair_text STRING, domain STRING"
 )
-COVERAGE = _struct("scanned BIGINT, kept BIGINT")
-FACT_UNITS = T.MapType(
-    T.StringType(),
-    _struct(
-        "units MAP<STRING, ARRAY<STRUCT<start: DATE, end: DATE, val: DOUBLE, form: STRING, filed: DATE, accn: STRING>>>"
-    ),
+COVERAGE = "scanned BIGINT, kept BIGINT"
+FACT_UNITS = (
+    "MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<STRUCT<"
+    "start: DATE, end: DATE, val: DOUBLE, form: STRING, filed: DATE, accn: STRING>>>>>"
 )
-XML_CONTEXT = _struct(
+XML_CONTEXT = (
     "_id STRING,"
-    "entity STRUCT<segment: STRUCT<explicitMember: ARRAY<STRUCT<_VALUE: STRING, _dimension: STRING>>>>,"
-    "period STRUCT<startDate: DATE, endDate: DATE>"
+    "`xbrli:entity` STRUCT<`xbrli:segment`: STRUCT<`xbrldi:explicitMember`: ARRAY<STRUCT<_VALUE: STRING, _dimension: STRING>>>>,"
+    "`xbrli:period` STRUCT<`xbrli:startDate`: DATE, `xbrli:endDate`: DATE>"
 )
-XML_FACT = _struct("_VALUE DOUBLE, _contextRef STRING")
-CUBE = _struct(
+XML_FACT = "_VALUE DOUBLE, _contextRef STRING"
+CUBE = (
     "id ARRAY<STRING>,"
     "dimension MAP<STRING, STRUCT<category: STRUCT<index: MAP<STRING, INT>>>>,"
     "value MAP<STRING, DOUBLE>"
@@ -36,7 +27,4 @@ MONTHS = [
     "January", "February", "March", "April", "May", "June",
     "July", "August", "September", "October", "November", "December",
 ]
-YEAR_SHEET = T.StructType(
-    [T.StructField("row", T.LongType()), T.StructField("label", T.StringType())]
-    + [T.StructField(m, T.DoubleType()) for m in MONTHS]
-)
+YEAR_SHEET = "row BIGINT, label STRING, " + ", ".join(f"{m} DOUBLE" for m in MONTHS)

@@ -18,7 +18,7 @@ from ..sources.readers import with_post_time
 
 
 def ingest_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, sink: str, checkpoint: str, files_per_batch: int = 100
+    spark: SparkSession, folder: str, schema: str | T.StructType, sink: str, checkpoint: str, files_per_batch: int = 100
 ) -> StreamingQuery:
     """New or rewritten month files into a sink partitioned by month.
 
