@@ -134,14 +134,20 @@ def upswing_decay(spark, folder):
     return rounded(decay.withColumn("n_ratios", F.size("decay_ratios")).drop("decay_ratios"), 6, "max_inc", "decay_first")
 
 
-def fitted(series, cycles):
+def learned(spark, folder):
+    """Series, cycles, upswing timing and fall sample: a row per cycle, each written once."""
+    series = brand_series(spark, folder)
+    cycles = brand_cycles(series)
+    timing = settle(C.upswing_decay(series, cycles, ["back_months"]))
+    return series, cycles, timing, P.fall_sample(cycles, SINCE, MIN_RISE)
+
+
+def fitted(timing, fall):
     """One row: quartiles of the decay ratio and of the fall rate, and the fastest fall."""
-    fall = P.fall_sample(cycles, SINCE, MIN_RISE)
     quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    ratios = C.pooled_ratios(C.upswing_decay(series, cycles))
-    decay = P.param_quantiles(ratios, "ratio", {f"decay_{k}": q for k, q in quartiles.items()})
+    decay = P.param_quantiles(C.pooled_ratios(timing), "ratio", {f"decay_{k}": q for k, q in quartiles.items()})
     rates = P.param_quantiles(fall, "fall_rate", {**{f"fall_{k}": q for k, q in quartiles.items()}, "fall_max": 1.0})
-    return settle(A.attach(decay, rates))
+    return A.attach(decay, rates)
 
 
 PARAMS = f"""{DECAY},
@@ -155,8 +161,8 @@ PARAM_NAMES = ["decay_q25", "decay_q50", "decay_q75", "fall_q25", "fall_q50", "f
 
 @query("decay_params", f"WITH RECURSIVE {PARAMS} SELECT {', '.join(f'round({n}, 6) AS {n}' for n in PARAM_NAMES)} FROM params")
 def decay_params(spark, folder):
-    series = brand_series(spark, folder)
-    return rounded(fitted(series, brand_cycles(series)), 6, *PARAM_NAMES)
+    _, _, timing, fall = learned(spark, folder)
+    return rounded(fitted(timing, fall), 6, *PARAM_NAMES)
 
 
 @query("parameter_table", f"""WITH RECURSIVE {DECAY}
@@ -164,9 +170,8 @@ def decay_params(spark, folder):
          CAST(NULL AS DATE) AS max_q, NULL AS lag_q, CAST(NULL AS DOUBLE) AS decay_first FROM fall
   UNION ALL SELECT 'timing', series, peak, NULL, NULL, NULL, max_q, lag_q, round(decay_first, 6) FROM timing""")
 def parameter_table(spark, folder):
-    series = brand_series(spark, folder)
-    cycles = brand_cycles(series)
-    rows = P.parameter_table(P.fall_sample(cycles, SINCE, MIN_RISE), C.upswing_decay(series, cycles))
+    _, _, timing, fall = learned(spark, folder)
+    rows = P.parameter_table(fall, timing)
     return rounded(rows, 6, "rise_x", "fall_rate", "decay_first")
 
 
@@ -219,8 +224,8 @@ LEVELS = f"""{PARAMS},
 
 @query("decay_path", f"""WITH RECURSIVE {LEVELS} SELECT series, scenario, peak_q, round(further_rise, 6) AS further_rise FROM path""")
 def decay_path(spark, folder):
-    series = brand_series(spark, folder)
-    rows = A.attach(levels(series), fitted(series, brand_cycles(series)))
+    series, _, timing, fall = learned(spark, folder)
+    rows = A.attach(levels(series), fitted(timing, fall))
     rows = P.cross_scenarios(rows, P.standard_scenarios(CAP))
     path = P.decay_path(rows, "last_inc", "decay_ratio", "last_q", "cap")
     return rounded(path.select("series", "scenario", "peak_q", "further_rise"), 6, "further_rise")
@@ -254,41 +259,36 @@ BACKTEST = f"""{DECAY},
   bt AS (SELECT *, {_months('actual_peak', 'pred_peak')} AS peak_err_m, {_months('actual_back', 'pred_back')} AS back_err_m FROM tested)"""
 
 
-def tested(series, cycles):
-    fall = P.fall_sample(cycles, SINCE, MIN_RISE)
-    return P.backtest(series, cycles, C.upswing_decay(series, cycles), fall)
-
-
 @query("backtest", f"""WITH RECURSIVE {BACKTEST} SELECT series, actual_peak, decision_q, pred_peak, actual_back, pred_back, peak_err_m,
   back_err_m, round(decay_used, 6) AS decay_used, round(fall_used, 6) AS fall_used FROM bt""")
 def backtest(spark, folder):
-    series = brand_series(spark, folder)
-    return rounded(tested(series, brand_cycles(series)), 6, "decay_used", "fall_used")
+    return rounded(P.backtest(*learned(spark, folder)), 6, "decay_used", "fall_used")
 
 
 @query("backtest_prior", f"""WITH RECURSIVE {BACKTEST} SELECT series, peak, max_q, round(decay_used, 6) AS decay_used,
   round(fall_used, 6) AS fall_used FROM cases""")
 def backtest_prior(spark, folder):
-    series = brand_series(spark, folder)
-    cycles = brand_cycles(series)
-    timing = settle(C.upswing_decay(series, cycles, ["back_months"]))
+    _, _, timing, fall = learned(spark, folder)
     cases = timing.where("back_months IS NOT NULL").select("series", "peak", "max_q")
     pool = C.pooled_ratios(timing.withColumn("w", 1.0 / F.greatest(F.size("decay_ratios"), F.lit(1))), ["peak", "w"])
     cases = P.prior_params(cases, pool, "max_q", "ratio", "decay_used", 2, weight="w")
-    fall = P.fall_sample(cycles, SINCE, MIN_RISE).select("peak", "fall_rate")
-    return rounded(P.prior_params(cases, fall, "max_q", "fall_rate", "fall_used", 3), 6, "decay_used", "fall_used")
+    return rounded(P.prior_params(cases, fall.select("peak", "fall_rate"), "max_q", "fall_rate", "fall_used", 3), 6, "decay_used", "fall_used")
 
 
 @query("backtest_bias", f"WITH RECURSIVE {BACKTEST} SELECT CAST(-round_even(quantile_cont(back_err_m, 0.5), 0) AS INTEGER) AS bias FROM bt")
 def backtest_bias(spark, folder):
-    series = brand_series(spark, folder)
-    return P.bias_months(tested(series, brand_cycles(series)))
+    return P.bias_months(P.backtest(*learned(spark, folder)))
+
+
+def known_levels(spark, folder):
+    """Levels with the fitted parameters and the bias on every row."""
+    series, cycles, timing, fall = learned(spark, folder)
+    bias = settle(P.bias_months(P.backtest(series, cycles, timing, fall)))
+    return A.attach(A.attach(levels(series), fitted(timing, fall)), bias)
 
 
 def scenarios(spark, folder):
-    series = brand_series(spark, folder)
-    cycles = brand_cycles(series)
-    rows = A.attach(A.attach(levels(series), fitted(series, cycles)), settle(P.bias_months(tested(series, cycles))))
+    rows = known_levels(spark, folder)
     return P.scenario_table(rows, P.standard_scenarios(CAP), TARGETS, ASOF, F.col("bias"))
 
 
@@ -331,9 +331,7 @@ FIXED_PEAKS = {"fast": "2001-07-01", "base": "2001-10-01", "slow": "2002-02-01"}
      ('slow', p.fall_q25, DATE '{FIXED_PEAKS["slow"]}')) s(scenario, fall_rate, peak))
   SELECT series, scenario, peak, round(fall_rate, 6) AS fall_rate, {_cross(0.9, 'bias')} AS "date_0.9x_adj" FROM fixed, bias""")
 def scenario_fixed_peak(spark, folder):
-    series = brand_series(spark, folder)
-    cycles = brand_cycles(series)
-    rows = A.attach(A.attach(levels(series), fitted(series, cycles)), settle(P.bias_months(tested(series, cycles))))
+    rows = known_levels(spark, folder)
     rates = {"fast": "fall_q75", "base": "fall_q50", "slow": "fall_q25"}
     table = P.scenario_table(
         rows, {n: {"fall_rate": F.col(c)} for n, c in rates.items()}, {"0.9x": 0.9}, ASOF, F.col("bias"), FIXED_PEAKS

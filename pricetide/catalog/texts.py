@@ -12,7 +12,7 @@ from ..operators import aggregate as A
 from ..operators import joins as J
 from ..plans.deals import flag_outliers, judge, monthly_series, parse_titles
 from ..sources.pages import carry_down, extract_rows
-from .base import query, rounded, table
+from .base import query, rounded, table, text_table
 
 
 @query("net_tone", """SELECT source, CAST(sum(quality) AS BIGINT) AS pos, CAST(sum(toxic) AS BIGINT) AS neg,
@@ -37,7 +37,7 @@ def _any(name: str) -> str:
 @query("topic_flags", f"""SELECT doc_id, {_any('topic')} AS is_topic, {_any('price')} AS is_price, {_any('neg')} AS is_neg,
   {_any('pos')} AND NOT {_any('wait')} AS is_pos, {_any('wait')} AS is_wait FROM documents""")
 def topic_flags(spark, folder):
-    rows = flags(table(spark, folder, "documents").select("doc_id", "text"), "text", RULES)
+    rows = flags(text_table(spark, folder, "documents", "doc_id", "text"), "text", RULES)
     return rows.drop("text")
 
 
@@ -66,7 +66,7 @@ def _norm(column: str) -> str:
 @query("quote_containment", f"""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains({_norm('d.text')}, {_norm('b.text')})""")
 def quote_containment(spark, folder):
     return J.contained_passages(
-        table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text"
+        text_table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text"
     )
 
 
@@ -79,7 +79,7 @@ _PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(re
   FROM q""")
 def quote_check(spark, folder):
     """A quote of a page's heading and first paragraph against the page's own text."""
-    pages = table(spark, folder, "pages")
+    pages = text_table(spark, folder, "pages", "page_id", "html")
     part = [strip_tags(F.regexp_extract("html", rf"(?s)<{t}>(.*?)</{t}>", 1)) for t in ("h1", "p")]
     quotes = pages.select("page_id", F.concat(part[0], F.lit(" ... "), part[1]).alias("quote"))
     texts = pages.select("page_id", strip_tags("html").alias("text"))
@@ -92,7 +92,7 @@ def quote_check(spark, folder):
   WHERE regexp_matches(row, '(?is)<a[^>]*>(.*?)</a>')""")
 def html_row_extract(spark, folder):
     rows = extract_rows(
-        table(spark, folder, "pages"), "html", ["page_id"], r"(?is)<li[^>]*>(.*?)</li>", r"(?is)<a[^>]*>(.*?)</a>"
+        text_table(spark, folder, "pages", "page_id", "html"), "html", ["page_id"], r"(?is)<li[^>]*>(.*?)</li>", r"(?is)<a[^>]*>(.*?)</a>"
     )
     return rows.select("page_id", "pos", F.col("cells")[0].alias("cell"))
 
@@ -122,7 +122,7 @@ def carry_down_role(spark, folder):
     WHERE trim(clause, chr(32)) <> '' AND regexp_matches(clause, '(?i)the ') AND regexp_matches(clause, '(?i)ing|tion'))
   SELECT d.doc_id, k.clause FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND rn = 1""")
 def first_clause(spark, folder):
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", S.first_clause("text", "the ", mark="ing|tion").alias("clause")
     )
 
@@ -159,7 +159,7 @@ def deal_posts(spark, folder):
         F.concat(F.lit("[SSD] 1TB NVMe ($"), money, F.lit(" after $10 off)")),
     ]
     at = F.col("o_orderdate").cast("timestamp")
-    return table(spark, folder, "orders").select(
+    return text_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate").select(
         "o_orderkey", F.col("o_orderkey").cast("string").alias("id"), at.alias("ts"),
         F.element_at(F.array(*forms), (F.col("o_custkey") % 10 + 1).cast("int")).alias("title"),
         F.lit("").alias("link_flair_text"), F.lit("newegg.com").alias("domain"),
@@ -224,7 +224,8 @@ def verbal_range(spark, folder):
     clause = F.when(kind == 0, F.lit("prices were roughly flat")).when(
         kind == 1, F.lit("Prices increased high-teens percentage range")
     ).otherwise(F.concat(F.lit("ASPs declined approximately "), number, F.lit("%")))
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", clause.alias("clause"))
+    lines = text_table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", clause.alias("clause"))
     read = S.verbal_range(rows, "clause", S.PRICE_SUBJECT)
     # A flat zero keeps its sign out of the comparison.
     return read.select("l_orderkey", "l_linenumber", "l_partkey", "direction", (F.col("low") + 0.0).alias("low"), (F.col("high") + 0.0).alias("high"))
@@ -240,7 +241,8 @@ def statement_amounts(spark, folder):
         F.lit("For the full year revenues were 99 trillion won. In the fourth quarter revenues were "), revenue,
         F.lit(" trillion won. Operating loss was "), (F.col("o_orderkey") % 900).cast("string"), F.lit(" billion won."),
     )
-    rows = table(spark, folder, "orders").select("o_orderkey", F.quarter("o_orderdate").alias("q"), text.alias("text"))
+    orders = text_table(spark, folder, "orders", "o_orderkey", "o_orderdate", "o_totalprice")
+    rows = orders.select("o_orderkey", F.quarter("o_orderdate").alias("q"), text.alias("text"))
     return S.amounts(rows, "text", "q", ["o_orderkey"]).select("o_orderkey", "metric", (F.col("value") + 0.0).alias("value"))
 
 

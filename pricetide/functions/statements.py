@@ -71,7 +71,7 @@ def magnitude(text: Column) -> Column:
 
     def candidate(pattern: str, order: int, low: Column, high: Column) -> Column:
         phrase = F.regexp_extract(text, pattern, 0)
-        return F.when(phrase != "", F.struct(
+        return F.when(text.rlike(pattern), F.struct(
             F.regexp_instr(text, F.lit(pattern)).alias("pos"), (-F.length(phrase)).alias("short"), F.lit(order).alias("order"),
             low.cast("double").alias("low"), high.cast("double").alias("high"), phrase.alias("phrase"),
         ))
@@ -103,7 +103,9 @@ def verbal_range(df: DataFrame, clause: str, subject: str) -> DataFrame:
 
     out = out.withColumn("__sign", F.coalesce(sign("__tail"), sign("__c")))
     whole = F.when(~F.col("__c").rlike("(?i)revenue"), magnitude(F.col("__c")))
-    out = out.withColumn("__m", F.coalesce(magnitude(F.col("__tail")), whole))
+    out = out.withColumn("__m", magnitude(F.col("__tail")))
+    # The rest of the clause is read only where the tail says nothing and differs from it.
+    out = out.withColumn("__m", F.when(F.col("__m").isNull() & (at > 1), whole).otherwise(F.col("__m")))
     low, high, falls = F.col("__m.low"), F.col("__m.high"), F.col("__sign") < 0
     out = out.withColumns({
         "low": F.when(falls, -high).otherwise(low), "high": F.when(falls, -low).otherwise(high),

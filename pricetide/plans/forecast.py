@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucket, months_apart, months_to, shift_months
+from ..functions.columns import months_apart, months_to, shift_months
 from ..operators.quantiles import exact_quantiles
+from ..session import settle
 from .cycles import _increments, pooled_ratios, quarterly_levels, upswing_decay
 
 STOP_INCREMENT = 0.02
@@ -165,9 +166,9 @@ def backtest(series: DataFrame, cycles: DataFrame, timing: DataFrame, fall: Data
     decision falls two quarters after the quarter of the largest increase.
     """
     done = cycles.where(F.col("back_months").isNotNull())
-    cases = upswing_decay(series, done, ["p_trough0", "back_months"]).select(
+    cases = settle(upswing_decay(series, done, ["p_trough0", "back_months"]).select(
         "series", "peak", "p_trough0", "back_months", "max_q"
-    )
+    ))  # one row per past cycle, read by both pools
     # Ratios of one upswing share a weight of 1, so that the count is of upswings.
     pool = pooled_ratios(
         timing.withColumn("__w", 1.0 / F.greatest(F.size("decay_ratios"), F.lit(1))), ["peak", "__w"]
