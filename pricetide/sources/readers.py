@@ -102,7 +102,7 @@ def flatten_cube(df: DataFrame, dims: list[str]) -> DataFrame:
             F.array_sort(
                 F.transform(
                     F.map_entries(F.col("dimension")[d]["category"]["index"]),
-                    lambda e: F.struct(e["value"].alias("at"), e["key"].alias("code")),
+                    lambda e: F.named_struct(F.lit("at"), e["value"], F.lit("code"), e["key"]),
                 )
             ),
             lambda s: s["code"],
