@@ -187,17 +187,20 @@ def deal_titles(spark, folder):
     return parsed.select("o_orderkey", "category", "reject", *[F.when(kept, F.col(c)).alias(c) for c in held])
 
 
-@query("deal_status", f"""WITH {DEALS},
+JUDGED = f"""{DEALS},
   a AS (SELECT *, CASE f WHEN 0 THEN 'RAM DDR5' WHEN 1 THEN 'SSD NVMe' WHEN 9 THEN 'SSD NVMe' WHEN 2 THEN 'SSD SATA' ELSE model END AS g,
       CASE WHEN category = 'RAM' THEN price / capacity_gb WHEN category = 'SSD' THEN price / (capacity_gb / 1000) ELSE price END AS v,
       year(day) * 12 + month(day) AS mi, lag(day) OVER (PARTITION BY f, price ORDER BY day, CAST(o_orderkey AS VARCHAR)) AS pd
     FROM p WHERE reject IS NULL),
   gm AS (SELECT DISTINCT g, mi FROM a),
   w AS (SELECT gm.g, gm.mi, quantile_cont(a.v, 0.5) AS med, count(*) AS n FROM gm JOIN a ON a.g = gm.g AND a.mi BETWEEN gm.mi - 1 AND gm.mi + 1 GROUP BY 1, 2),
-  j AS (SELECT a.o_orderkey, a.category, CASE WHEN day - pd < 3 THEN 'duplicate_repost'
+  j AS (SELECT a.*, CASE WHEN day - pd < 3 THEN 'duplicate_repost'
       WHEN w.n >= 5 AND (v / med > CASE WHEN category IN ('RAM', 'SSD') THEN 5.0 ELSE 2.2 END OR v / med < CASE WHEN category IN ('RAM', 'SSD') THEN 0.25 ELSE 0.45 END)
-      THEN 'outlier' END AS reject FROM a JOIN w ON w.g = a.g AND w.mi = a.mi),
-  u AS (SELECT category, reject FROM j UNION ALL SELECT category, reject FROM p WHERE reject IS NOT NULL)
+      THEN 'outlier' END AS verdict FROM a JOIN w ON w.g = a.g AND w.mi = a.mi)"""
+
+
+@query("deal_status", f"""WITH {JUDGED},
+  u AS (SELECT category, verdict AS reject FROM j UNION ALL SELECT category, reject FROM p WHERE reject IS NOT NULL)
   SELECT category, coalesce(reject, 'ACCEPTED') AS status, count(*) AS n FROM u GROUP BY 1, 2""")
 def deal_status(spark, folder):
     judged = judge(parse_titles(deal_posts(spark, folder)))
@@ -205,13 +208,19 @@ def deal_status(spark, folder):
     return judged.groupBy("category", status).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("deal_monthly")
+@query("deal_monthly", f"""WITH {JUDGED}, ok AS (SELECT *, CAST(date_trunc('month', day) AS DATE) AS month FROM j WHERE verdict IS NULL),
+  s AS (SELECT 'ram_ddr5_usd_per_gb' AS series, month, v AS x FROM ok WHERE f = 0 UNION ALL SELECT 'ram_ddr5_32gb_kit_usd', month, price FROM ok WHERE f = 0
+    UNION ALL SELECT 'ssd_nvme_usd_per_tb', month, v FROM ok WHERE f IN (1, 9) UNION ALL SELECT 'ssd_sata_usd_per_tb', month, v FROM ok WHERE f = 2
+    UNION ALL SELECT 'ssd_nvme_2tb_usd', month, price FROM ok WHERE f = 1
+    UNION ALL SELECT 'gpu:' || model, month, price FROM ok WHERE f = 3 UNION ALL SELECT 'cpu:' || model, month, price FROM ok WHERE f = 4)
+  SELECT series, month, round(quantile_cont(x, 0.5), 9) AS median, round(quantile_cont(x, 0.25), 9) AS p25, round(quantile_cont(x, 0.75), 9) AS p75, count(*) AS n
+  FROM s GROUP BY 1, 2""")
 def deal_monthly(spark, folder):
     """Monthly quartiles of the named series of accepted deals."""
     from ..session import settle
 
     judged = settle(judge(parse_titles(deal_posts(spark, folder))))
-    return monthly_series(judged.where(F.col("reject").isNull()), "2001-01-01")
+    return rounded(monthly_series(judged.where(F.col("reject").isNull()), "2001-01-01"), 9, "median", "p25", "p75")
 
 
 @query("verbal_range", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN 'flat' WHEN l_linenumber % 3 = 1 THEN 'increase' ELSE 'decrease' END AS direction,

@@ -36,34 +36,31 @@ def join_curve(df: DataFrame, curve: DataFrame, on: list[str]) -> DataFrame:
 
 def interval_label(
     periods: DataFrame, years: DataFrame, entity: str, start: str = "start", end: str = "end",
-    slack: int = 8, reach: int = 2,
+    slack: int = 8,
 ) -> DataFrame:
     """Fiscal year and quarter of each period: the first fiscal year that contains it.
 
     ``years`` has ``(entity, fy_start, fy_end)``. A fiscal year lasts about a year, so it is
-    filed under the calendar years it touches (``reach`` of them) and a period looks it up
-    by (entity, calendar year of its start).
+    filed under the calendar years it touches and each distinct period looks it up by
+    (entity, calendar year of its start).
     """
     touched = F.explode(F.sequence(F.year("fy_start"), F.year(F.date_add("fy_end", slack))))
     calendar = years.select(F.col(entity).alias("__e"), "fy_start", "fy_end", touched.alias("__y"))
-    keyed = periods.withColumn("__id", F.struct(*periods.columns))
+    asked = periods.select(entity, start, end).distinct()
     match = (
-        (keyed[entity] == calendar["__e"])
-        & (F.year(keyed[start]) == calendar["__y"])
-        & (calendar["fy_start"] <= keyed[start])
-        & (keyed[end] <= F.date_add(calendar["fy_end"], slack))
-    )
-    best = (
-        keyed.join(calendar, match, "left").groupBy("__id")
-        .agg(F.min_by(F.struct("fy_start", "fy_end"), "fy_start").alias("__fy"))
+        (asked[entity] == calendar["__e"])
+        & (F.year(asked[start]) == calendar["__y"])
+        & (calendar["fy_start"] <= asked[start])
+        & (asked[end] <= F.date_add(calendar["fy_end"], slack))
     )
+    hit = F.min_by(F.struct("fy_start", "fy_end"), "fy_start").alias("__fy")
+    first = asked.join(calendar, match).groupBy(entity, start, end).agg(hit)
     quarter = F.bround((F.datediff(end, F.col("__fy.fy_start")) + 1) / F.lit(91.3)).cast("int")
-    return best.select("__id.*", "__fy").select(
-        *periods.columns,
-        F.year("__fy.fy_end").alias("fiscal_year"),
-        F.greatest(F.lit(1), F.least(F.lit(4), F.when(F.col("__fy").isNotNull(), quarter))).alias("__q"),
-        "__fy",
-    ).select(*periods.columns, "fiscal_year", F.when(F.col("__fy").isNotNull(), F.col("__q")).alias("fiscal_quarter"))
+    labels = first.select(
+        entity, start, end, F.year("__fy.fy_end").alias("fiscal_year"),
+        F.greatest(F.lit(1), F.least(F.lit(4), quarter)).alias("fiscal_quarter"),
+    )
+    return periods.join(labels, [entity, start, end], "left").select(*periods.columns, "fiscal_year", "fiscal_quarter")
 
 
 def nearest_sample(df: DataFrame, keys: list[str], ts: str, targets: list[int], tie: str | None = None) -> DataFrame:

@@ -32,16 +32,19 @@ def exact_quantiles(
     count: str | None = None,
     extra: dict[str, tuple[str, Column]] | None = None,
     hot_rows: int | None = HOT_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per key group with the named quantiles of ``value`` (nulls ignored).
 
     ``count`` names an optional row-count column; ``extra`` maps an output name to
-    ``("min" | "max" | "sum", column)``. ``hot_rows=None`` skips the size check, for groups
-    that are bounded by construction (a calendar, a rule table).
+    ``("min" | "max" | "sum", column)``. ``weight`` is a column of whole numbers: how many
+    rows each row stands for. ``hot_rows=None`` skips the size check, for groups that are
+    bounded by construction (a calendar, a rule table).
     """
     extra = extra or {}
+    stands_for = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     source = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias(value), *[c.alias(f"__x_{n}") for n, (_, c) in extra.items()]
+        *keys, F.col(value).cast("double").alias(value), stands_for.alias("__times"), *[c.alias(f"__x_{n}") for n, (_, c) in extra.items()]
     )
     outputs = keys + list(quantiles) + ([count] if count else []) + list(extra)
     if hot_rows is None:
@@ -54,7 +57,8 @@ def exact_quantiles(
         return _direct(source, keys, value, quantiles, count, extra).select(*outputs)
 
     if not keys:  # one group in all: give it a name to join on
-        named = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, quantiles, count, extra, hot_rows)
+        whole = df.withColumn("__all", F.lit(0))
+        named = exact_quantiles(whole, ["__all"], value, quantiles, count, extra, hot_rows, weight)
         return named.select(*outputs)
     hot_keys = settle(hot_keys)
     if n_hot <= BROADCAST_KEYS:  # beyond that Spark chooses the join, and splits its skewed partitions
@@ -76,9 +80,9 @@ def _keyed(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Data
 
 def _direct(source, keys, value, quantiles, count, extra) -> DataFrame:
     fractions = F.array(*[F.lit(float(q)) for q in quantiles.values()])
-    aggregates = [F.percentile(value, fractions).alias("__q")]
+    aggregates = [F.percentile(value, fractions, F.col("__times")).alias("__q")]
     if count:
-        aggregates.append(F.count(F.lit(1)).alias(count))
+        aggregates.append(F.sum("__times").alias(count))
     aggregates += _folds(extra)
     grouped = source.groupBy(*keys).agg(*aggregates)
     picked = [F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)]
@@ -95,7 +99,7 @@ def _named(extra) -> list[Column]:
 
 def _by_histogram(source, keys, value, quantiles, count, extra) -> DataFrame:
     counted = settle(source.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("__w"), *_folds(extra)
+        F.sum("__times").alias("__w"), *_folds(extra)
     ))
     totals = counted.groupBy(*keys).agg(
         F.sum("__w").alias("__n"),

@@ -86,10 +86,15 @@ def flag_outliers(
     flagged, nor windows with fewer than ``min_n`` rows.
     """
     known = reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group])
-    laid = df.where(known & F.col(value).isNotNull()).select(
-        *group, F.col(value).alias("__v"), F.explode(F.array(*[F.col(month) + k for k in (-1, 0, 1)])).alias(month)
+    counted = df.where(known & F.col(value).isNotNull()).groupBy(*group, month, F.col(value).alias("__v")).agg(
+        F.count(F.lit(1)).alias("__times")
+    )
+    laid = counted.select(
+        *group, "__v", "__times", F.explode(F.array(*[F.col(month) + k for k in (-1, 0, 1)])).alias(month)
+    )
+    wide = exact_quantiles(
+        laid, [*group, month], "__v", {"__median": 0.5}, count="__n", hot_rows=hot_rows, weight="__times"
     )
-    wide = exact_quantiles(laid, [*group, month], "__v", {"__median": 0.5}, count="__n", hot_rows=hot_rows)
     joined = df.join(wide, [*group, month], "left")
     ratio = F.col(value) / F.col("__median")
     flagged = (F.col("__n") >= min_n) & ((ratio > high) | (ratio < low))

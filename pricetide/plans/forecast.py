@@ -141,8 +141,9 @@ def prior_params(
 ) -> DataFrame:
     """For each decision day (a quarter start), the median of parameters strictly before it.
 
-    Decisions share quarters, so parameters are counted per (peak month, value) and laid out
-    over the quarters that follow them; there are only as many quarters as the calendar has.
+    Decisions share quarters, so parameters are laid out over the quarters that follow them
+    and decisions look their quarter up: no decision is paired with every parameter, and
+    there are only as many quarters as the calendar has.
     ``weight`` counts source rows (``min_n`` of them are needed), not values.
     """
     days = decisions.select(F.col(at).alias("__d")).distinct()

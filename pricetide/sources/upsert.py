@@ -42,12 +42,18 @@ def backfill_plan(
     )
 
 
-def write_tidy(df: DataFrame, path: str, partition: list[str] | None = None, sort: list[str] | None = None) -> None:
-    """Parquet partitioned for pruning; only partitions present in ``df`` are replaced."""
+def write_tidy(
+    df: DataFrame, path: str, partition: list[str] | None = None, sort: list[str] | None = None, files: int = 8
+) -> None:
+    """Parquet partitioned for pruning; only partitions present in ``df`` are replaced.
+
+    A partition goes to up to ``files`` writers, chosen by the sort columns, so that a
+    partition holding a large share of the rows is not one task and small ones stay few files.
+    """
     out = df
     if partition:
-        # Spread each output partition over writers by all columns of the sort, not by its value alone.
-        out = out.repartition(*partition, *(sort or []))
+        salt = F.pmod(F.xxhash64(*(sort or df.columns)), F.lit(files))
+        out = out.repartition(*partition, salt)
     if sort:
         out = out.sortWithinPartitions(*(partition or []), *sort)
     writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
