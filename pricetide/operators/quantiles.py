@@ -1,9 +1,9 @@
 """Exact quantiles per group that survive a group holding a large share of all rows.
 
-``percentile`` keeps every distinct value of a group in one buffer. That is right for
-ordinary groups and wrong for a hot one. So group sizes are counted first (one pass that
-combines before its shuffle, one number back), and groups above ``hot_rows`` take another
-way: values are counted per (group, value), the wanted ranks are located through two levels
+Ranking the rows of a group in one task is right for ordinary groups and wrong for a hot
+one. So group sizes are counted first (one pass that combines before its shuffle, one
+number back), and groups above ``hot_rows`` take another way: values are counted per
+(group, value), the wanted ranks are located through two levels
 of per-group histograms, and only the values of the buckets found are sorted. Both ways
 give the same exact, linearly interpolated result.
 """
@@ -79,14 +79,43 @@ def _keyed(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Data
 
 
 def _direct(source, keys, value, quantiles, count, extra) -> DataFrame:
-    fractions = F.array(*[F.lit(float(q)) for q in quantiles.values()])
-    aggregates = [F.percentile(value, fractions, F.col("__times")).alias("__q")]
-    if count:
-        aggregates.append(F.sum("__times").alias(count))
-    aggregates += _folds(extra)
-    grouped = source.groupBy(*keys).agg(*aggregates)
-    picked = [F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)]
-    return grouped.select(*keys, *picked, *([count] if count else []), *_named(extra))
+    """Rank the rows of each group by value and read the two rows around each quantile.
+
+    One shuffle by group and one sort that can spill, where a percentile aggregate would
+    build an object per group and hold its values. Without keys the rows are few but in many
+    tasks, so there the aggregate, which merges partial results, is the better form.
+    """
+    if not keys:
+        fractions = F.array(*[F.lit(float(q)) for q in quantiles.values()])
+        found = source.agg(
+            F.percentile(value, fractions, F.col("__times")).alias("__q"), F.sum("__times").alias("__n"), *_folds(extra)
+        )
+        picked = [F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)]
+        return found.select(*picked, *([F.col("__n").alias(count)] if count else []), *_named(extra))
+
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = source.withColumns({"__upto": F.sum("__times").over(upto), "__n": F.sum("__times").over(group)})
+
+    def at(rank: Column) -> Column:
+        here = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__times") <= rank)
+        return F.max(F.when(here, F.col(value)))
+
+    position = {name: F.lit(float(q)) * (F.col("__n") - 1) for name, q in quantiles.items()}
+    around = []
+    for i, p in enumerate(position.values()):
+        around += [at(F.floor(p)).alias(f"__s{2 * i}"), at(F.ceil(p)).alias(f"__s{2 * i + 1}")]
+    found = ranked.groupBy(*keys).agg(F.max("__n").alias("__n"), *around, *_folds(extra))
+    return found.select(*keys, *_blend(position), *([F.col("__n").alias(count)] if count else []), *_named(extra))
+
+
+def _blend(position: dict[str, Column]) -> list[Column]:
+    """Linear interpolation between the values at the two ranks of each quantile."""
+    out = []
+    for i, (name, p) in enumerate(position.items()):
+        low, high = F.col(f"__s{2 * i}"), F.col(f"__s{2 * i + 1}")
+        out.append((low + (high - low) * (p - F.floor(p))).alias(name))
+    return out
 
 
 def _folds(extra) -> list[Column]:
@@ -129,11 +158,7 @@ def _by_histogram(source, keys, value, quantiles, count, extra) -> DataFrame:
         *[F.max(F.when(F.col("slot") == s, F.col("__v"))).alias(f"__s{s}") for s in range(2 * len(quantiles))]
     )
     joined = _attach(slot_value, totals, keys)
-    out = []
-    for i, (name, p) in enumerate(position.items()):
-        low, high, share = F.col(f"__s{2 * i}"), F.col(f"__s{2 * i + 1}"), p - F.floor(p)
-        out.append((low + (high - low) * share).alias(name))
-    return joined.select(*keys, *out, *([F.col("__n").alias(count)] if count else []), *_named(extra))
+    return joined.select(*keys, *_blend(position), *([F.col("__n").alias(count)] if count else []), *_named(extra))
 
 
 def _within(values: DataFrame, wanted: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.deals import (
 )
 from ..operators.aggregate import distribution, keep_keys, series_rows, top_categories
 from ..operators.joins import repost_gap
+from ..operators.layout import keep_rows
 from ..operators.quantiles import HOT_ROWS, exact_quantiles
 from ..session import settle
 
@@ -31,7 +32,7 @@ def parse_titles(posts: DataFrame) -> DataFrame:
     category is another, and skip it.
     """
     rows = categorize(posts.withColumn("title", tidy(F.col("title"))), "title", "link_flair_text")
-    rows = rows.where(F.col("category").isNotNull())
+    rows = keep_rows(rows, F.col("category").isNotNull())
     early = title_rejects(
         F.col("title"), F.col("body"), F.col("category"), F.col("multi_tag"), F.col("domain"), F.col("link_flair_text")
     )
