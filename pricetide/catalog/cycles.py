@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucket
 from ..operators import aggregate as A
 from ..operators.joins import align_cycles
 from ..plans import cycles as C

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucket, net_tone
 from ..functions.topics import news_monthly
 from ..operators import aggregate as A
 from ..operators.joins import drop_reposts, drop_stale

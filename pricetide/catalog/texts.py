@@ -10,7 +10,8 @@ from ..functions.deals import categorize
 from ..functions.topics import topic_flags as flags
 from ..operators import aggregate as A
 from ..operators import joins as J
-from ..plans.deals import flag_outliers, judge, monthly_series, parse_titles
+from ..plans.deals import judge, monthly_series, parse_titles
+from ..session import settle
 from ..sources.pages import carry_down, extract_rows
 from .base import query, rounded, table, text_table
 
@@ -217,8 +218,6 @@ def deal_status(spark, folder):
   FROM s GROUP BY 1, 2""")
 def deal_monthly(spark, folder):
     """Monthly quartiles of the named series of accepted deals."""
-    from ..session import settle
-
     judged = settle(judge(parse_titles(deal_posts(spark, folder))))
     return rounded(monthly_series(judged.where(F.col("reject").isNull()), "2001-01-01"), 9, "median", "p25", "p75")
 

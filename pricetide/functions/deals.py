@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import deal_rules as R
-from .columns import in_range
 
 _OPEN, _CLOSE = "\u0001", "\u0002"
 

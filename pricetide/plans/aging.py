@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import age_months
 from ..operators.joins import join_curve, join_earliest
 from ..operators.quantiles import HOT_ROWS, exact_quantiles
+from ..session import settle
 
 
 def with_age(posts: DataFrame, launches: DataFrame, key: str, day: str, price: str, order: list[Column]) -> DataFrame:
@@ -32,6 +33,8 @@ def relative_to_curve(
     """Each post against the curve at its own age, then one row per model."""
     compared = join_curve(posts, curve, ["age_bin"]).where(F.col("ref_n") >= min_n)
     compared = compared.withColumn("rel", F.ln(F.col("ratio") / F.col("ref_ratio")))
+    # Four roll-ups read these rows: the join is done once and only these columns are kept.
+    compared = settle(compared.select(model, "rel", "age_m", price, "ratio", launch))
     out = None
     for column in ("rel", "age_m", price, "ratio"):
         first = column == "rel"
