@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cutover
+from ..functions.columns import cutover, item_spec
+from ..operators.joins import drop_stale
 from ..operators.quantiles import HOT_ROWS, exact_quantiles
 from ..session import settle
 
@@ -79,3 +80,20 @@ def select_items(df: DataFrame, name: str, pattern: str, exclude: str | None = N
 def spliced(df: DataFrame, section: str, ts: str, after: str, day: str) -> DataFrame:
     """Several sections as one series: ``after`` throughout, the others before ``day``."""
     return df.where(cutover(section, ts, after, day))
+
+
+def monthly_items(months: DataFrame, sections: list[str], frozen_run: int | None = None) -> DataFrame:
+    """Item-months of the sections with generation, density and price per Gb.
+
+    ``months`` is ``item_month`` output with ``section`` and ``key``. ``frozen_run`` drops the
+    repeats of a price that stands still for so many rows of an item: right for spot prices,
+    which move daily, and wrong for contract prices.
+    """
+    rows = months.where(F.col("section").isin(*sections))
+    if frozen_run:
+        rows = drop_stale(rows, ["key"], ["date", "section"], "p", F.trunc("date", "YEAR"), frozen_run)
+    rows = rows.withColumn("__spec", item_spec("item"))
+    return rows.select(
+        "section", "month", "key", "item", F.col("p").alias("price"), "__spec.generation", "__spec.density_gb",
+        F.col("n").alias("n_obs"), (F.col("p") / F.col("__spec.density_gb")).alias("usd_per_gb"),
+    )

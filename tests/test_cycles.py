@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from pricetide.plans.cycles import cycle_table, turning_points, upswing_decay
 from pricetide.plans.forecast import decay_path, scenario_paths, scenario_table
-from pricetide.plans.index import chain_index
+from pricetide.functions.columns import fallback_price, item_key
+from pricetide.operators.aggregate import item_month
+from pricetide.plans.index import chain_index, monthly_items
 
 
 def month(i):
@@ -160,3 +162,21 @@ def test_index_ignores_an_items_scale(spark):
 def test_missing_base_is_an_error(spark):
     with pytest.raises(Exception, match="not observed"):
         chain_index(items(spark, [("a", "2020-01-01", 1)]), "2019-01-01").collect()
+
+
+def test_quotes_to_index(spark):
+    """Raw quotes through the whole chain: fallback price, item key, item-month, frozen run, unit price."""
+    rows = [("dram_spot", "DDR4 8Gb 1G*8", f"2020-{m:02d}-05", p, None, None) for m, p in zip(range(1, 8), [4, 4, 4, 4, 5, 5, 6])]
+    rows += [("dram_spot", "DDR4 8Gb 1Gx8", "2020-07-25", None, 9.0, 7.0), ("dram_spot", "DDR4 8GB SO-DIMM", "2020-07-01", 30, None, None),
+             ("dram_contract", "DDR4 8Gb 1Gx8", "2020-07-01", 3, None, None), ("dram_spot", "DDR5 16Gb", "2020-07-01", 0, None, None)]
+    df = spark.createDataFrame([(s, i, d, float(p) if p is not None else None, h, lo) for s, i, d, p, h, lo in rows],
+                               "section string, item string, d string, price double, high double, low double")
+    quotes = df.select("section", "item", F.to_date("d").alias("date"), item_key("item").alias("key"),
+                       fallback_price("price", "high", "low").alias("price")).where("price IS NOT NULL")
+    months = item_month(quotes, ["section", "key"], "date", "price", "item")
+    out = {(r["key"], str(r["month"])): r for r in monthly_items(months, ["dram_spot"], 3).collect()}
+    chip = sorted(m for k, m in out if k == "ddr48gb1gx8")
+    assert chip == ["2020-01-01", "2020-05-01", "2020-06-01", "2020-07-01"]  # of four equal rows the first stays; two equal rows both do
+    july = out[("ddr48gb1gx8", "2020-07-01")]
+    assert (july["price"], july["item"], july["n_obs"], july["usd_per_gb"]) == (7.0, "DDR4 8Gb 1Gx8", 2, 0.875)
+    assert out[("ddr48gbso-dimm", "2020-07-01")]["density_gb"] is None and not any(k == "ddr516gb" for k, _ in out)
