@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, toxicity
+from . import language_id, minhash_dedup, secret_scan, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,16 @@ def op7_toxicity(spark, sf_dir):
 @query
 def op10_language_id(spark, sf_dir):
     return language_id.op10_language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op1_minhash_dedup"] = minhash_dedup.SQL
+
+
+@query
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.op8_secret_scan(table(spark, sf_dir, "documents"))
