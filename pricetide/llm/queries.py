@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash_dedup, secret_scan, toxicity
+from . import bpe_chunks, language_id, minhash_dedup, secret_scan, token_file, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +41,13 @@ SQL["op1_minhash_dedup"] = minhash_dedup.SQL
 @query
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.op8_secret_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_file(spark, sf_dir):
+    return token_file.op6_token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_bpe_chunks(spark, sf_dir):
+    return bpe_chunks.op9_bpe_chunks(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
