@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, language_id, minhash_dedup, secret_scan, token_file, toxicity
+from . import bpe_chunks, entropy_mix, language_id, minhash_dedup, secret_scan, token_file, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,8 @@ def op6_token_file(spark, sf_dir):
 @query
 def op9_bpe_chunks(spark, sf_dir):
     return bpe_chunks.op9_bpe_chunks(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op4_entropy_mix(spark, sf_dir):
+    return entropy_mix.op4_entropy_mix(table(spark, sf_dir, "documents"))
