@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, entropy_mix, language_id, minhash_dedup, secret_scan, token_file, toxicity
+from . import ann_search, bpe_chunks, entropy_mix, exact_topk, language_id, minhash_dedup, secret_scan, token_file, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,16 @@ def op9_bpe_chunks(spark, sf_dir):
 @query
 def op4_entropy_mix(spark, sf_dir):
     return entropy_mix.op4_entropy_mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_exact_topk(spark, sf_dir):
+    return exact_topk.op2_exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op2_exact_topk"] = exact_topk.SQL
+
+
+@query
+def op3_ann_search(spark, sf_dir):
+    return ann_search.op3_ann_search(table(spark, sf_dir, "embeddings"))
