@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, bpe_chunks, entropy_mix, exact_topk, language_id, minhash_dedup, secret_scan, token_file, toxicity
+from . import ann_search, bpe_chunks, entropy_mix, exact_topk, html_text, language_id, minhash_dedup, secret_scan, token_file, toxicity
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,8 @@ SQL["op2_exact_topk"] = exact_topk.SQL
 @query
 def op3_ann_search(spark, sf_dir):
     return ann_search.op3_ann_search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_html_text(spark, sf_dir):
+    return html_text.op5_html_text(table(spark, sf_dir, "pages"))
