@@ -111,7 +111,7 @@ DECAY = f"""{CYCLES},
       count(*) OVER (PARTITION BY c.series, c.peak) AS n,
       row_number() OVER (PARTITION BY c.series, c.peak ORDER BY i.inc DESC, i.q) AS rk
     FROM cyc c JOIN inc i ON i.series = c.series AND i.q > c.trough0
-     AND i.q <= CASE WHEN c.peak = date_trunc('quarter', c.peak) THEN c.peak ELSE date_trunc('quarter', c.peak) + INTERVAL 3 MONTH END),
+     AND i.q <= make_date(year(c.peak), 3 * quarter(c.peak), 1)),
   top AS (SELECT series, peak, p_trough0, back_months, q AS max_q, inc AS max_inc FROM ups WHERE rk = 1 AND n >= 2),
   stops AS (SELECT t.*, (SELECT min(i.q) FROM inc i WHERE i.series = t.series AND i.q > t.max_q AND i.inc <= 0) AS stop FROM top t),
   ratios AS (SELECT s.series, s.peak, i.q, i.inc / i.prev AS r FROM stops s JOIN inc i ON i.series = s.series
@@ -211,12 +211,11 @@ LEVELS = f"""{PARAMS},
     FROM base b JOIN last l USING (series), params p, LATERAL (VALUES
       ('fast', p.decay_q25, p.fall_q75, CAST(NULL AS DATE)), ('base', p.decay_q50, p.fall_q50, NULL),
       ('slow', p.decay_q75, p.fall_q25, DATE '{CAP}'), ('crash', 0.0, p.fall_max, NULL)) s(scenario, decay_ratio, fall_rate, cap)),
-  steps AS (SELECT s.*, k.k, CAST(last_q + k.k * INTERVAL 3 MONTH AS DATE) AS q, last_inc * pow(decay_ratio, k.k) AS step
-    FROM scen s, range(1, 401) k(k) WHERE last_inc > 0 AND decay_ratio > 0 AND last_inc * pow(decay_ratio, k.k) >= 0.02
-     AND (cap IS NULL OR last_q + k.k * INTERVAL 3 MONTH <= cap)),
-  path AS (SELECT s.series, s.scenario, s.ratio_now, s.decay_ratio, s.fall_rate, coalesce(max(t.q), s.last_q) AS peak_q,
-      coalesce(sum(t.step), 0) AS further_rise FROM scen s LEFT JOIN steps t ON t.series = s.series AND t.scenario = s.scenario
-    GROUP BY s.series, s.scenario, s.ratio_now, s.decay_ratio, s.fall_rate, s.last_q),
+  walk AS (SELECT series, scenario, cap, decay_ratio, last_q AS q, last_inc AS step, CAST(0 AS DOUBLE) AS total FROM scen
+    UNION ALL SELECT series, scenario, cap, decay_ratio, CAST(q + INTERVAL 3 MONTH AS DATE), step * decay_ratio, total + step * decay_ratio
+      FROM walk WHERE step * decay_ratio >= 0.02 AND (cap IS NULL OR q + INTERVAL 3 MONTH <= cap)),
+  path AS (SELECT s.series, s.scenario, s.ratio_now, s.decay_ratio, s.fall_rate, max(w.q) AS peak_q, arg_max(w.total, w.q) AS further_rise
+    FROM scen s JOIN walk w ON w.series = s.series AND w.scenario = s.scenario GROUP BY ALL),
   peaks AS (SELECT *, greatest(CAST(peak_q + INTERVAL 1 MONTH AS DATE), CAST(DATE '{ASOF}' + INTERVAL 1 MONTH AS DATE)) AS peak,
       ratio_now * exp(further_rise) AS peak_ratio FROM path)"""
 
@@ -248,9 +247,10 @@ BACKTEST = f"""{DECAY},
       (SELECT max(i.q) FROM inc i WHERE i.series = c.series AND i.q <= c.decision_q AND i.inc > 0) AS rose_q,
       (SELECT arg_max(l.l, l.q) FROM lvl l WHERE l.series = c.series AND l.q <= c.decision_q) AS lv FROM cases c),
   knowni AS (SELECT k.*, i.inc AS last_inc FROM known k JOIN inc i ON i.series = k.series AND i.q = k.last_q),
-  more AS (SELECT k.*, (SELECT count(*) FROM range(1, 401) g(g) WHERE last_inc > 0 AND decay_used > 0 AND last_inc * pow(decay_used, g.g) >= 0.02) AS n_steps,
-      coalesce((SELECT sum(last_inc * pow(decay_used, g.g)) FROM range(1, 401) g(g) WHERE last_inc > 0 AND last_inc * pow(decay_used, g.g) >= 0.02), 0) AS rise
-    FROM knowni k),
+  steps AS (SELECT series, peak, decay_used, 0 AS n, last_inc AS step, CAST(0 AS DOUBLE) AS total FROM knowni
+    UNION ALL SELECT series, peak, decay_used, n + 1, step * decay_used, total + step * decay_used FROM steps WHERE step * decay_used >= 0.02),
+  more AS (SELECT k.*, w.n_steps, w.rise FROM knowni k
+    JOIN (SELECT series, peak, max(n) AS n_steps, arg_max(total, n) AS rise FROM steps GROUP BY 1, 2) w ON w.series = k.series AND w.peak = k.peak),
   pred AS (SELECT *, CAST(CASE WHEN last_inc <= 0 THEN coalesce(rose_q, last_q) ELSE last_q + n_steps * INTERVAL 3 MONTH END + INTERVAL 1 MONTH AS DATE) AS pred_peak,
       CAST(round_even((lv + rise - ln(p_trough0)) / fall_used, 0) AS INTEGER) AS back FROM more),
   tested AS (SELECT series, peak AS actual_peak, decision_q, pred_peak, CAST(peak + back_months * INTERVAL 1 MONTH AS DATE) AS actual_back,

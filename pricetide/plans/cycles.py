@@ -165,14 +165,12 @@ def _increments(levels: DataFrame) -> DataFrame:
 def upswing_decay(series: DataFrame, cycles: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Per cycle: the quarter of the largest increase, the lag to the peak, decay ratios after it.
 
-    The upswing runs over the quarters after the trough up to the quarter boundary at or
-    after the peak, at least two. Ratios stop at the first increase that is not positive.
+    The upswing runs over the quarters after the trough up to the peak's own quarter, at
+    least two. Ratios stop at the first increase that is not positive.
     """
     keep = keep or []
     rows = cycles.select("series", "trough0", "peak", *keep).join(_increments(quarterly_levels(series)), "series")
-    boundary = F.when(F.col("peak") == F.trunc("peak", "QUARTER"), F.col("peak")).otherwise(
-        F.add_months(F.trunc("peak", "QUARTER"), 3)
-    )
+    boundary = F.trunc("peak", "QUARTER")
     rows = rows.withColumn(
         "__up", F.filter("incs", lambda x: (x["q"] > F.col("trough0")) & (x["q"] <= boundary))
     ).where(F.size("__up") >= 2)

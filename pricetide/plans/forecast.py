@@ -11,7 +11,6 @@ from ..session import settle
 from .cycles import _increments, pooled_ratios, quarterly_levels, upswing_decay
 
 STOP_INCREMENT = 0.02
-MAX_QUARTERS = 400
 
 
 def fall_sample(
@@ -36,23 +35,25 @@ def decay_path(
 ) -> DataFrame:
     """Add ``peak_q`` and ``further_rise``: increments ``inc * ratio^k`` per quarter while >= ``stop``.
 
-    With a ratio below 1 the increments only shrink, so the terms kept are a prefix and
-    the closed-form count of them replaces a loop. A ratio of 1 or more is an error.
+    With a ratio below 1 the increments only shrink, so their number follows from the
+    logarithm of ``stop / inc``, or from the months to the cap if these are fewer, and their
+    sum is a geometric one. A ratio of 1 or more is an error.
     """
     i, r = F.col(inc), F.col(ratio)
     refuse = F.raise_error(F.lit("decay ratio must be below 1")).cast("double")
     safe = F.when(r < 1, r).otherwise(refuse)
-    steps = F.sequence(F.lit(1), F.lit(MAX_QUARTERS))
-    terms = F.filter(
-        F.transform(steps, lambda k: F.struct(
-            F.add_months(F.col(start), k * 3).alias("q"), (i * F.pow(safe, k)).alias("inc")
-        )),
-        lambda s: (s["inc"] >= stop) & (s["q"] <= F.coalesce(F.col(cap), s["q"]) if cap else F.lit(True)),
-    )
-    walked = rows.withColumn("__steps", F.when((i > 0) & (r > 0), terms).otherwise(F.slice(terms, 1, 0)))
-    return walked.withColumn(
-        "peak_q", F.when(F.size("__steps") > 0, F.try_element_at("__steps", F.lit(-1))["q"]).otherwise(F.col(start))
-    ).withColumn("further_rise", F.aggregate("__steps", F.lit(0.0), lambda a, s: a + s["inc"])).drop("__steps")
+    rough = F.floor(F.ln(F.lit(stop) / i) / F.ln(safe))
+    # The logarithms may be off by one at a whole number.
+    counted = F.when(i * F.pow(safe, rough + 1) >= stop, rough + 1).when(i * F.pow(safe, rough) >= stop, rough).otherwise(rough - 1)
+    steps = F.when((i > 0) & (safe > 0), F.greatest(counted, F.lit(0))).otherwise(F.lit(0))
+    if cap:
+        left = months_apart(F.col(start), F.col(cap)) - (F.dayofmonth(cap) < F.dayofmonth(start)).cast("int")
+        steps = F.when(F.col(cap).isNull(), steps).otherwise(F.least(steps, F.greatest(F.floor(left / 3), F.lit(0))))
+    walked = rows.withColumn("__steps", steps.cast("int"))
+    total = i * safe * (1 - F.pow(safe, F.col("__steps"))) / (1 - safe)
+    return walked.withColumn("peak_q", F.add_months(F.col(start), F.col("__steps") * 3)).withColumn(
+        "further_rise", F.when(F.col("__steps") > 0, total).otherwise(F.lit(0.0))
+    ).drop("__steps")
 
 
 def cross_scenarios(params: DataFrame, scenarios: dict[str, dict[str, Column]]) -> DataFrame:

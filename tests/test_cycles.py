@@ -121,6 +121,28 @@ def test_decay_path_and_cap(spark):
     assert [(r["peak_q"], round(r["further_rise"], 6)) for r in rows] == [(month(12), 0.375), (month(6), 0.3), (month(0), 0.0), (month(0), 0.0)]
 
 
+def test_decay_path_has_no_last_quarter(spark):
+    cases = [(0.5, 0.999), (0.4, 0.5), (0.02, 0.5), (0.04, 0.5), (0.08, 0.5), (0.3, 0.97), (0.021, 0.9999)]
+    df = spark.createDataFrame([(i, r, month(0)) for i, r in cases], "inc double, r double, q date")
+    for row in decay_path(df, "inc", "r", "q").collect():
+        n, step, total = 0, row["inc"] * row["r"], 0.0
+        while step >= 0.02:
+            n, total, step = n + 1, total + step, step * row["r"]
+        have = (row["peak_q"].year - month(0).year) * 12 + row["peak_q"].month - month(0).month
+        assert abs(have - 3 * n) <= (3 if row["inc"] in (0.04, 0.08) else 0), row  # these end exactly at the bound
+        assert row["further_rise"] == pytest.approx(total, abs=0.0201 if row["inc"] in (0.04, 0.08) else 1e-9)
+
+
+def test_upswing_ends_with_the_quarter_of_its_peak(spark):
+    # The largest increase is that of the quarter after the peak's: it belongs to the next move.
+    levels = [0, 0.1, 0.4, 1.4]
+    values = {"a": [math.exp(x) for x in levels for _ in range(3)]}
+    for at in (6, 7, 8):
+        cycles = spark.createDataFrame([("a", month(0), month(at))], "series string, trough0 date, peak date")
+        row = upswing_decay(frame(spark, values), cycles).collect()[0]
+        assert (row["max_q"], row["lag_q"]) == (month(6), 0), at
+
+
 def test_scenario_dates_round_half_even(spark):
     df = spark.createDataFrame([("a", math.exp(0.25), 0.1), ("b", math.exp(0.35), 0.1)], "series string, ratio_now double, rate double")
     out = scenario_table(df, {"base": {"fall_rate": F.col("rate")}}, {"1.0x": 1.0}, "2020-01-01", 2, {"base": "2020-03-01"})
