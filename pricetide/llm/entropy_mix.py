@@ -156,7 +156,7 @@ def mixture(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id, or have none, get the copies of the one with most.
     """
-    copies = mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    columns = docs.columns
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    copies = mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(copies, rows["id"].eqNullSafe(copies["doc_id"]))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -154,22 +154,20 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows with every span replaced by ``mark``; a null text stays null, and n_chars, where it is a column,
     follows the new text."""
     columns = docs.columns
-    rest = [c for c in columns if c != "text"]
-    found = scanned(docs.withColumn("_null", F.col("text").isNull()), *rest, "_null")
-    found = found.withColumn("_all", ordered(KINDS))
+    found = scanned(docs.select("doc_id", "text", F.struct(*columns).alias("row")), "row").withColumn("spans", ordered(KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
     walked = F.aggregate(
-        "_all", start,
+        "spans", start,
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
             s["end"].alias("at"),
             F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark)).alias("out"),
         )),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    new = F.when(F.col("_null"), F.lit(None).cast("string")).when(F.size("_all") > 0, walked).otherwise(text)
-    out = found.withColumn("text", new)
+    changed = F.size("spans") > 0
+    out = found.select("row", changed.alias("changed"), F.when(changed, walked).otherwise(F.col("row.text")).alias("new"))
+    made = {"text": F.col("new")}
     if "n_chars" in columns:
-        changed = F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed)
-    return out.select(*columns)
+        made["n_chars"] = F.when(F.col("changed"), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in columns])
