@@ -3,8 +3,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from pricetide.catalog import QUERIES
 
-QUERIES = queries()
 # One row per calendar period, major number or rank bucket only.
 SMALL_WINDOWS = {"id_span", "version_sort", "rank_corr"}
 
@@ -36,4 +36,4 @@ def test_scan_reads_only_what_is_used(spark):
 
 def test_entry(spark):
     assert entry(spark).columns[:2] == ["section", "month"]
-    assert set(oracle_sql()) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
