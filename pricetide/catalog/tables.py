@@ -256,13 +256,14 @@ def basket_summary(spark, folder):
     return rounded(A.basket(listings, ["p_brand", "month"], "price", "in_stock"), 9, "median_listing", "price", "min_any_listing")
 
 
-@query("pattern_join", """SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^blue ') THEN 'cool' WHEN regexp_matches(p_name, '^red (bolt|ring)$') THEN 'warm' END AS label
-  FROM part WHERE regexp_matches(p_name, '^blue ') OR regexp_matches(p_name, '^red (bolt|ring)$')""")
+@query("pattern_join", """SELECT p_partkey, CASE p_name WHEN 'blue bolt' THEN 'cool' WHEN 'red ring' THEN 'warm' END AS label
+  FROM part WHERE p_name IN ('blue bolt', 'red ring')""")
 def pattern_join(spark, folder):
-    patterns = {"cool": "^blue ", "warm": "^red (bolt|ring)$"}
+    patterns = {"cool": "^blue bol", "warm": "^red r.*g$"}
     return J.pattern_join(table(spark, folder, "part").select("p_partkey", "p_name"), patterns, "p_name").drop("p_name")
 
 
+
 # --- aging, attribution, generations --------------------------------------------
 
 AGED = f"""q AS ({PART_QUOTES_SQL}), launch AS (SELECT p_partkey, min(day) AS release FROM q GROUP BY 1),

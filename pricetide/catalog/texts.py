@@ -75,7 +75,7 @@ _PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(re
 
 
 @query("quote_check", f"""WITH q AS (SELECT page_id, {_PLAIN.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS a,
-    {_PLAIN.format("regexp_extract(html, '(?s)<p>(.*?)</p>', 1)")} AS b, {_norm(_PLAIN.format('html'))} AS t FROM pages)
+    {_PLAIN.format("regexp_extract(html, '(?s)<p>(.*?)</p>', 1)")} AS b, {_norm(_PLAIN.format("regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g')"))} AS t FROM pages)
   SELECT page_id, CASE WHEN trim(a) = '' AND trim(b) = '' THEN NULL ELSE contains(t, {_norm('a')}) AND contains(t, {_norm('b')}) END AS quote_found
   FROM q""")
 def quote_check(spark, folder):
@@ -88,14 +88,15 @@ def quote_check(spark, folder):
 
 
 @query("html_row_extract", f"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS row,
-    generate_subscripts(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1), 1) - 1 AS pos FROM pages)
-  SELECT page_id, CAST(pos AS INTEGER) AS pos, {_PLAIN.format("regexp_extract(row, '(?is)<a[^>]*>(.*?)</a>', 1)")} AS cell FROM r
-  WHERE regexp_matches(row, '(?is)<a[^>]*>(.*?)</a>')""")
+    generate_subscripts(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1), 1) - 1 AS pos FROM pages),
+  c AS (SELECT page_id, pos, unnest(regexp_extract_all(row, '(?is)<a[^>]*>(.*?)</a>', 1)) AS cell,
+    generate_subscripts(regexp_extract_all(row, '(?is)<a[^>]*>(.*?)</a>', 1), 1) - 1 AS place FROM r)
+  SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(place AS INTEGER) AS place, {_PLAIN.format("cell")} AS cell FROM c""")
 def html_row_extract(spark, folder):
     rows = extract_rows(
         text_table(spark, folder, "pages", "page_id", "html"), "html", ["page_id"], r"(?is)<li[^>]*>(.*?)</li>", r"(?is)<a[^>]*>(.*?)</a>"
     )
-    return rows.select("page_id", "pos", F.col("cells")[0].alias("cell"))
+    return rows.select("page_id", "pos", F.posexplode("cells").alias("place", "cell"))
 
 
 @query("page_host_counts", """SELECT regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS host, count(*) AS n FROM pages GROUP BY 1""")

@@ -148,24 +148,51 @@ def mismatch_flag(a: str | Column, b: str | Column, low: float = 0.8, high: floa
 
 
 # Characters dropped and folded before quotes are compared.
-_DROPPED = "®™©​‌­"
+_DROPPED = "®©​‌­"
 _FOLDS = {"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-"}
 
 
 def normalize_text(col: str | Column) -> Column:
-    """Fold quotes, dashes and full-width forms, collapse white space, lower case."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94)) + " 　"
+    """Fold quotes, dashes, full-width and compatibility forms, collapse white space, lower case."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94)) + " 　"
     narrow = "".join(chr(0x21 + i) for i in range(94)) + "  "
     text = F.translate(_c(col), wide, narrow)
     text = F.translate(text, "".join(_FOLDS) + _DROPPED, "".join(_FOLDS.values()))
-    for ligature, letters in {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "…": "..."}.items():
-        text = F.replace(text, F.lit(ligature), F.lit(letters))
+    for form, letters in {"™": "tm", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "…": "..."}.items():
+        text = F.replace(text, F.lit(form), F.lit(letters))
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
+# Named character references of running text; the ampersand comes last, so that nothing is decoded twice.
+_ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "sbquo": "‚", "bdquo": "„", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·",
+    "deg": "°", "plusmn": "±", "times": "×", "frac12": "½", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "sect": "§", "para": "¶",
+    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "amp": "&",
+}
+_NUMERIC = "&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def decode_entities(col: str | Column) -> Column:
+    """Numeric and named character references as characters; unknown names stay as they are."""
+    text = _c(col)
+
+    def char(code: Column) -> Column:
+        digits = F.when(F.lower(code).startswith("x"), F.substring(code, 2, 8)).otherwise(F.conv(code, 10, 16))
+        digits = F.lpad(F.upper(digits), 8, "0")
+        valid = (digits <= "0010FFFF") & ~digits.between("0000D800", "0000DFFF") & (digits > "00000000")
+        return F.decode(F.unhex(F.when(valid, digits).otherwise(F.lit("0000FFFD"))), "UTF-32")
+
+    found = F.regexp_extract_all(text, F.lit(_NUMERIC), 1)
+    parts = F.zip_with(F.split(text, _NUMERIC, -1), F.transform(found, char), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit(""))))
+    decoded = F.when(F.contains(text, F.lit("&#")), F.array_join(parts, "")).otherwise(text)
+    for name, letters in _ENTITIES.items():
+        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(letters))
+    return decoded
+
+
 def strip_tags(col: str | Column) -> Column:
-    """Cell text: tags to spaces, the common entities decoded, white space collapsed."""
-    text = F.regexp_replace(_c(col), r"(?s)<[^>]+>", " ")
-    for entity, char in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    """Text without scripts, styles and tags, with character references decoded and white space collapsed."""
+    text = F.regexp_replace(_c(col), r"(?is)<(script|style|noscript)\b[^>]*>.*?(</\1\s*>|\z)|<!--.*?-->", " ")
+    text = decode_entities(F.regexp_replace(text, r"(?s)<[^>]+>", " "))
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

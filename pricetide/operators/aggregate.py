@@ -237,7 +237,7 @@ def catalogue(df: DataFrame, key: str, ts: str, value: str, wanted: DataFrame |
 
 
 def coverage(df: DataFrame, reference: DataFrame, keys: list[str], got: str, total: str, digits: int = 3) -> DataFrame:
-    return df.join(reference, keys, "left").withColumn("ratio", F.round(guarded_ratio(got, total), digits))
+    return df.join(reference, keys, "left").withColumn("ratio", F.bround(guarded_ratio(got, total), digits))
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, width: float) -> DataFrame:

@@ -81,15 +81,17 @@ def month_targets(per_month: int) -> list[int]:
 
 
 def pattern_join(df: DataFrame, patterns: dict[str, str], name: str, label: str = "label") -> DataFrame:
-    """Label rows by the pattern their name matches; a name matching several is an error.
+    """Rows labelled by each pattern their name matches; a pattern that matches several names is an error.
 
-    Names are reduced to distinct values before any pattern is tested.
+    Names are reduced to distinct values before any pattern is tested. A name that several
+    patterns match gives a row for each.
     """
     hits = F.array_compact(F.array(*[F.when(F.col(name).rlike(rx), F.lit(key)) for key, rx in patterns.items()]))
-    labelled = df.select(name).distinct().withColumn("__hits", hits).where(F.size("__hits") > 0)
-    complaint = F.concat(F.lit("several patterns match "), F.col(name))
-    single = F.when(F.size("__hits") == 1, F.col("__hits")[0]).otherwise(F.raise_error(complaint).cast("string"))
-    return df.join(labelled.select(name, single.alias(label)), name)
+    labelled = df.select(name).distinct().select(name, F.explode(hits).alias(label))
+    names = labelled.groupBy(label).agg(F.count("*").alias("__n"), F.min(name).alias("__one"), F.max(name).alias("__other"))
+    complaint = F.concat(F.col(label), F.lit(" matches several names: "), F.col("__one"), F.lit(", "), F.col("__other"))
+    single = F.when(F.col("__n") == 1, F.col("__one")).otherwise(F.raise_error(complaint).cast("string"))
+    return df.join(names.select(single.alias(name), label), name)
 
 
 def first_event_after(

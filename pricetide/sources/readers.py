@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import bucket
+from ..operators.joins import first_per
 from . import schemas
 
 
@@ -19,8 +20,14 @@ def read_facts(spark: SparkSession, path: str, schema: str | T.StructType = sche
 
 
 def read_posts(spark: SparkSession, glob: str, schema: str | T.StructType = schemas.POSTS) -> DataFrame:
-    """JSON-lines archive (plain or gzip), one row per id, with ``ts`` and ``month``."""
-    return with_post_time(spark.read.schema(schema).option("mode", "FAILFAST").json(glob)).dropDuplicates(["id"])
+    """JSON-lines archive (plain or gzip), one row per id, the first in file order, with ``ts`` and ``month``."""
+    rows = with_post_time(spark.read.schema(schema).option("mode", "FAILFAST").json(glob))
+    columns = rows.columns
+    place = ["__file", "__block", "__line"]
+    rows = rows.withColumns({
+        "__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__line": F.monotonically_increasing_id(),
+    })
+    return first_per(rows, ["id"], [F.col(c) for c in place]).select(*columns)
 
 
 def with_post_time(posts: DataFrame) -> DataFrame:

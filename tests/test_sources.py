@@ -153,8 +153,11 @@ def test_guards(spark):
     assert assert_schema(df, df.schema) is df
     with pytest.raises(ValueError, match="columns changed"):
         assert_schema(df.withColumn("x", F.lit(1)), df.schema)
-    with pytest.raises(Exception, match="several patterns"):
-        pattern_join(df, {"one": "a", "two": "^a"}, "url").collect()
+    two = spark.createDataFrame([("RTX 3080",), ("RTX 3080 Ti",), ("RTX 3070",)], "device string")
+    with pytest.raises(Exception, match="matches several names"):
+        pattern_join(two, {"one": "RTX 3080"}, "device").collect()
+    labels = {tuple(r) for r in pattern_join(two, {"one": "^RTX 3080$", "again": "3080$", "ti": "Ti$"}, "device").collect()}
+    assert labels == {("RTX 3080", "one"), ("RTX 3080", "again"), ("RTX 3080 Ti", "ti")}
     rows = spark.createDataFrame([("k", 1, "x", None), ("k", 0, "y", 2)], "k string, o int, a string, b int")
     assert tuple(first_per(rows, ["k"], [F.col("o")]).collect()[0]) == ("k", 0, "y", 2)
 

@@ -207,3 +207,18 @@ def test_small_columns(spark):
                   norm_model("m", ["ryzen 7 ", "ryzen "]).alias("m"), normalize_text(F.lit("ＡＢ  “x”")).alias("t")).collect()[0]
     assert r["k"] == "ddr48gb1gx83200" and r["s"]["generation"] == "DDR4" and r["s"]["density_gb"] == 8.0
     assert r["h"] == "shop.example.com:8080" and r["b"] == "" and r["m"] == "5800x3d" and r["t"] == 'ab "x"'
+
+
+def test_entities_scripts_and_marks(spark):
+    from pricetide.functions.columns import decode_entities, strip_tags
+
+    rows = [
+        ("Ryzen&trade; 9 costs &#36;5 &#x2014; it&rsquo;s &amp;lt; <b>&eacute;</b>", "Ryzen™ 9 costs $5 — it’s &lt; é"),
+        ("a<script>var q='hidden';</script>b<style>p{}</style>c<noscript>no</noscript>d<!-- gone -->e", "a b c d e"),
+        ("&#0;&#xD800;&#1114112;&unknown;&#9999999;", "\ufffd\ufffd\ufffd&unknown;\ufffd"), ("plain", "plain"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "t string, want string").select(strip_tags("t").alias("have"), "want", decode_entities("t").alias("d"))
+    for r in df.collect():
+        assert r["have"] == r["want"]
+    marks = spark.range(1).select(normalize_text(F.lit("Ryzen™ 9® X")).alias("t")).collect()[0]["t"]
+    assert marks == "ryzentm 9 x"
