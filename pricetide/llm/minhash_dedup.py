@@ -8,12 +8,15 @@
    behind it.
 3. In each list every member is held against the smallest member only. Pairs with ``MATCHES`` collisions or more over
    the whole signature are confirmed on full sets, and links give components.
-4. In lists whose members lie in several components after that, members outside the largest component are held
-   against all members of other components. Pairs inside one component are never made, so a group of near copies
-   costs its size, and no link between components is lost.
+4. Members of lists that span several components after that may still have links across components. For these
+   documents alone the shingles are posted, rarest first, and only as many as a similarity of 0.75 allows to be
+   missing. Where such a list spans several components, the members outside its largest one are held against members
+   of other components, if what stands behind the shared shingle can reach the overlap that both sizes ask for.
+   Pairs inside one component are never made, so a group of near copies costs about its size, and documents whose
+   own words rule every link out make no pair.
 
-A pair with a similarity of exactly 0.75 collides in 48 coordinates less than 19 times with a chance below 1e-6;
-that is the only way a link can be missed. The confirmation is exact but for 64-bit hash collisions.
+A pair with a similarity of exactly 0.75 collides in 48 coordinates less than 22 times with a chance near 3e-6;
+that is the only way a link can be missed. Everything after that is exact but for 64-bit hash collisions.
 
 Defined results: null texts and texts without words have 0 shingles and are linked with nothing; fewer than five words
 are one shingle; rows with a null doc_id are never linked and not kept. Each row is judged by its own text, repeated
@@ -34,7 +37,7 @@ from .common import prepared, written
 
 SHINGLE = 5
 COORDS = 48
-MATCHES = 19
+MATCHES = 22
 PREFIX = COORDS - MATCHES + 1
 WORDS_KEPT = 500_000
 
@@ -143,26 +146,73 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(mask), pa.array(b, pa.int64()).filter(mask)], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that collide often enough and whose full sets are similar enough, as a table."""
-    sig = reps.select("node", "sig")
     same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda m: m))
     near = (
         pairs.distinct()
-        .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .where(same >= MATCHES).select("a", "b")
+        .join(reps.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
+        .join(reps.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
+        .where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").where(same >= MATCHES).select("a", "b")
     )
     near = written(near, "pairs")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-    texts = written(texts, "texts")
-    both = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
+    both = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
+        texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
     )
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct(), "links")
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of some nodes as a table; the one place where texts are joined to ids, at every size by a shuffle."""
+    found = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.distinct().hint("merge"), "node")
+    return written(found, "texts")
+
+
+def main_component(posts: DataFrame) -> DataFrame:
+    """(post, main) of every post that spans several components; main is the one with most members."""
+    per = posts.groupBy("post", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("post").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"))
+    return main.where("k > 1").select("post", "main")
+
+
+def _shingles(batches):
+    for batch in batches:
+        for node, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            s = shingle_set(text)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(s), node), pa.int64()), pa.array(np.full(len(s), component), pa.int64()),
+                    pa.array(np.full(len(s), len(s)), pa.int64()), pa.array(s.view(np.int64), pa.int64()),
+                ],
+                ["node", "component", "size", "post"],
+            )
+
+
+def crossing_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (node, component) of different components that full sets do not rule out."""
+    own = texts.join(members, "node").select("node", "component", "text")
+    posts = written(own.mapInArrow(_shingles, "node long, component long, size long, post long").distinct(), "shingles")
+    shared = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
+    own = posts.join(shared, "post").groupBy("node", "component", "size").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("own"))
+    # Shingles that no other member has come first; they cannot be shared. A link shares 75 % of either set.
+    alone = F.col("size") - F.size("own")
+    first = F.greatest(F.lit(0), F.col("size") - F.ceil(F.col("size") * 0.75) + 1 - alone).cast("int")
+    own = own.where(F.size("own") * 100 >= F.col("size") * 75).select(
+        "node", "component", "size", alone.alias("alone"), F.posexplode(F.slice("own", 1, first)).alias("i", "p")
+    )
+    prefix = written(own.select("p.post", "node", "component", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("left")), "prefix")
+    mixed = prefix.join(main_component(prefix), "post")
+    rest = mixed.where("component <> main").select(
+        "post", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"), F.col("left").alias("lx")
+    )
+    every = mixed.alias("m").join(
+        rest.alias("r"),
+        F.expr("m.post = r.post AND component <> cx AND (component = main OR node > x) "
+               "AND 7 * least(left, lx) >= 3 * (size + sx) AND 100 * least(size, sx) >= 75 * greatest(size, sx)"),
+    )
+    return every.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every linked node: alternating large and small stars until the edges stay the same."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -192,23 +242,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("node"), F.first("sig").alias("sig")
     )
     folded = written(folded, "folded")
-    reps = folded.select("node", "sig")
+    reps = folded.select("node", "sig", "n_shingles")
     posts = written(prefix_posts(reps), "posts")
-    hubs = posts.groupBy("post").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("post", "hub")
-    stars = posts.join(hubs, "post").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = confirmed(stars, reps, docs)
+    hubs = posts.groupBy("post").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    held = written(posts.join(hubs, "post"), "held")
+    texts = texts_of(docs, held.select("node"))
+    stars = held.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = confirmed(stars, reps, texts)
     found = written(components(links), "components")
-    # Lists that hold several components: all pairs that cross components, but those with the smallest member.
-    placed = posts.join(hubs, "post").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.select("post", "hub", "node", "component")
-    per = placed.groupBy("post", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("post").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"))
-    main = main.where("k > 1 AND n > 2").select("post", "main")
-    mixed = placed.where("node <> hub").join(main, "post")
-    mixed = written(mixed, "mixed")
-    rest = mixed.where("component <> main").select("post", F.col("node").alias("x"), F.col("component").alias("cx"))
-    cross = mixed.join(rest, "post").where("component <> cx").where("component = main OR node > x")
-    more = confirmed(cross.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")), reps, docs)
+    # In lists of two the only pair is done.
+    placed = held.where("n > 2 AND hub <> node").join(found, "node", "left")
+    placed = written(placed.select("post", "node", F.coalesce("component", "node").alias("component")), "placed")
+    members = placed.join(main_component(placed), "post").select("node", "component").distinct()
+    more = confirmed(crossing_pairs(written(members, "members"), texts), reps, texts)
     if more.limit(1).count():
         found = written(components(links.unionByName(more)), "components")
     grouped = folded.join(found, "node", "left").select("n_shingles", "print", F.coalesce("component", "node").alias("component_id"))
@@ -224,10 +270,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows that repeat this doc_id are reduced to one, the smallest by all columns; rows with a null doc_id stay.
     """
-    marks = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    columns = docs.columns
-    kept = docs.join(marks, "doc_id").select(*columns)
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    marks = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    one = rows.join(marks, rows["id"] == marks["kept_id"]).groupBy("id").agg(F.min("row").alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 
