@@ -9,28 +9,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, guarded_ratio
-from .quantiles import HOT_ROWS, exact_quantiles
+from .quantiles import exact_quantiles
 
 
 def monthly(
     df: DataFrame, keys: list[str], ts: str, value: str, how: str = "median", grain: str = "month",
-    name: str = "value", count: str | None = None, hot_rows: int | None = HOT_ROWS,
+    name: str = "value", count: str | None = None,
 ) -> DataFrame:
     """One row per key and period: the median or minimum of the observations."""
     placed = df.withColumn(grain, bucket(ts, grain)).where(F.col(value).isNotNull())
     if how == "min":
         extra = [F.count(F.lit(1)).alias(count)] if count else []
         return placed.groupBy(*keys, grain).agg(F.min(value).alias(name), *extra)
-    return exact_quantiles(placed, [*keys, grain], value, {name: 0.5}, count=count, hot_rows=hot_rows)
+    return exact_quantiles(placed, [*keys, grain], value, {name: 0.5}, count=count)
 
 
 def distribution(
     df: DataFrame, keys: list[str], ts: str, value: str, grain: str = "month",
-    quantiles: dict[str, float] | None = None, hot_rows: int | None = HOT_ROWS,
+    quantiles: dict[str, float] | None = None,
 ) -> DataFrame:
     wanted = quantiles or {"median": 0.5, "p25": 0.25, "p75": 0.75}
     placed = df.withColumn(grain, bucket(ts, grain))
-    return exact_quantiles(placed, [*keys, grain], value, wanted, count="n", hot_rows=hot_rows)
+    return exact_quantiles(placed, [*keys, grain], value, wanted, count="n")
 
 
 def series_rows(df: DataFrame, definitions: dict[str, tuple[Column, str]], keep: list[str]) -> DataFrame:
@@ -48,13 +48,12 @@ def series_union(df: DataFrame, definitions: dict[str, tuple[Column, str]], ts:
 
 def item_month(
     quotes: DataFrame, keys: list[str], ts: str, value: str, item: str, tie: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Median price, last item name and date, and count per key and month."""
     last = F.struct(F.col(ts).cast("date").alias("date"), *([F.col(tie).alias("tie")] if tie else []), F.col(item).alias("item"))
     found = exact_quantiles(
         quotes.withColumn("month", bucket(ts)), [*keys, "month"], value, {"p": 0.5}, count="n",
-        extra={"last": ("max", last)}, hot_rows=hot_rows,
+        extra={"last": ("max", last)},
     )
     return found.select(*keys, "month", "p", F.col("last.item").alias("item"), F.col("last.date").alias("date"), "n")
 
@@ -65,7 +64,7 @@ def two_level(df: DataFrame, outer: list[str], inner: list[str], value: str, nam
     return members.groupBy(*outer).agg(F.avg("__m").alias(name))
 
 
-def basket(df: DataFrame, keys: list[str], price: str, in_stock: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def basket(df: DataFrame, keys: list[str], price: str, in_stock: str) -> DataFrame:
     """Lowest price in stock, lowest and median of all listings, listing counts."""
     available = F.coalesce(F.col(in_stock), F.lit(False))
     return exact_quantiles(
@@ -75,7 +74,6 @@ def basket(df: DataFrame, keys: list[str], price: str, in_stock: str, hot_rows:
             "min_any_listing": ("min", F.col(price)),
             "n_in_stock": ("sum", available.cast("long")),
         },
-        hot_rows=hot_rows,
     )
 
 
@@ -179,7 +177,7 @@ def baseline_ratio(
 
 def before_after(
     df: DataFrame, keys: list[str], ts: str, value: str, before: tuple[str, str], after: tuple[str, str],
-    units: str | None = None, unit_cost: Column | None = None, hot_rows: int | None = HOT_ROWS,
+    units: str | None = None, unit_cost: Column | None = None,
 ) -> DataFrame:
     """Medians and counts of two windows, the change, and the part a unit cost explains."""
     day = F.col(ts).cast("date")
@@ -189,7 +187,7 @@ def before_after(
 
     tagged = df.withColumn("__w", F.when(within(before), "before").when(within(after), "after")).where("__w IS NOT NULL")
     held = [*keys, *([units] if units else [])]
-    medians = exact_quantiles(tagged, [*held, "__w"], value, {"m": 0.5}, count="n", hot_rows=hot_rows)
+    medians = exact_quantiles(tagged, [*held, "__w"], value, {"m": 0.5}, count="n")
 
     def side(name: str, col: str) -> Column:
         return F.max(F.when(F.col("__w") == name, F.col(col)))

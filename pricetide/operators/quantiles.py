@@ -1,11 +1,9 @@
-"""Exact quantiles per group that survive a group holding a large share of all rows.
-
-Ranking the rows of a group in one task is right for ordinary groups and wrong for a hot
-one. So group sizes are counted first (one pass that combines before its shuffle, one
-number back), and groups above ``hot_rows`` take another way: values are counted per
-(group, value), the wanted ranks are located through two levels
-of per-group histograms, and only the values of the buckets found are sorted. Both ways
-give the same exact, linearly interpolated result.
+"""Exact quantiles per group in one lazy plan, the same for small groups and for one that holds most rows.
+
+Values are counted per (group, value) first, which combines before its shuffle and spreads a large group over its
+values. A coarse histogram of each group (order-preserving ranges, 256 to a doubling of the value) tells which range
+holds each wanted rank; only the counts of those ranges meet again, per (group, range), and are summed in order. No
+task holds a group, and no job runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -15,11 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
-
-HOT_ROWS = 1_000_000
-BROADCAST_KEYS = 100_000
-BUCKETS = 4096
+PER_OCTAVE = 256
 
 _FOLD = {"min": F.min, "max": F.max, "sum": F.sum}
 
@@ -31,164 +25,73 @@ def exact_quantiles(
     quantiles: dict[str, float],
     count: str | None = None,
     extra: dict[str, tuple[str, Column]] | None = None,
-    hot_rows: int | None = HOT_ROWS,
     weight: str | None = None,
 ) -> DataFrame:
-    """One row per key group with the named quantiles of ``value`` (nulls ignored).
+    """One row per key group with the named quantiles of ``value`` (nulls ignored), linearly interpolated.
 
     ``count`` names an optional row-count column; ``extra`` maps an output name to
     ``("min" | "max" | "sum", column)``. ``weight`` is a column of whole numbers: how many
-    rows each row stands for. ``hot_rows=None`` skips the size check, for groups that are
-    bounded by construction (a calendar, a rule table).
+    rows each row stands for. Without keys there is one row, also for an empty input.
     """
     extra = extra or {}
+    names = keys or ["__all"]
     stands_for = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     source = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias(value), stands_for.alias("__times"), *[c.alias(f"__x_{n}") for n, (_, c) in extra.items()]
+        *([F.col(k) for k in keys] or [F.lit(0).alias("__all")]), F.col(value).cast("double").alias("__v"),
+        stands_for.alias("__times"), *[c.alias(f"__x_{n}") for n, (_, c) in extra.items()],
     )
-    outputs = keys + list(quantiles) + ([count] if count else []) + list(extra)
-    if hot_rows is None:
-        return _direct(source, keys, value, quantiles, count, extra).select(*outputs)
-
-    sizes = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    hot_keys = sizes.where(F.col("__rows") > hot_rows).drop("__rows")
-    n_hot = hot_keys.count()
-    if n_hot == 0:
-        return _direct(source, keys, value, quantiles, count, extra).select(*outputs)
-
-    if not keys:  # one group in all: give it a name to join on
-        whole = df.withColumn("__all", F.lit(0))
-        named = exact_quantiles(whole, ["__all"], value, quantiles, count, extra, hot_rows, weight)
-        return named.select(*outputs)
-    hot_keys = settle(hot_keys)
-    if n_hot <= BROADCAST_KEYS:  # beyond that Spark chooses the join, and splits its skewed partitions
-        hot_keys = F.broadcast(hot_keys)
-    cold = _direct(_keyed(source, hot_keys, keys, "left_anti"), keys, value, quantiles, count, extra)
-    hot = _by_histogram(_keyed(source, hot_keys, keys, "left_semi"), keys, value, quantiles, count, extra)
-    return cold.select(*outputs).unionByName(hot.select(*outputs))
-
-
-def median(df: DataFrame, keys: list[str], value: str, name: str = "median", **options) -> DataFrame:
-    return exact_quantiles(df, keys, value, {name: 0.5}, **options)
-
-
-def _keyed(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on null-safe keys, so that a null group stays a group."""
-    renamed = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
-    return left.join(renamed, reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys]), how)
-
-
-def _direct(source, keys, value, quantiles, count, extra) -> DataFrame:
-    """Rank the rows of each group by value and read the two rows around each quantile.
-
-    One shuffle by group and one sort that can spill, where a percentile aggregate would
-    build an object per group and hold its values. Without keys the rows are few but in many
-    tasks, so there the aggregate, which merges partial results, is the better form.
-    """
+    counted = source.groupBy(*names, "__v").agg(F.sum("__times").alias("__qw"), *_folds(extra)).where("__qw > 0")
+    totals = counted.groupBy(*names) if keys else counted.withColumn("__all", F.lit(0)).groupBy()
+    totals = totals.agg(F.sum("__qw").alias("__n"), *_folds(extra))
     if not keys:
-        fractions = F.array(*[F.lit(float(q)) for q in quantiles.values()])
-        found = source.agg(
-            F.percentile(value, fractions, F.col("__times")).alias("__q"), F.sum("__times").alias("__n"), *_folds(extra)
-        )
-        picked = [F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)]
-        return found.select(*picked, *([F.col("__n").alias(count)] if count else []), *_named(extra))
-
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = source.withColumns({"__upto": F.sum("__times").over(upto), "__n": F.sum("__times").over(group)})
-
-    def at(rank: Column) -> Column:
-        here = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__times") <= rank)
-        return F.max(F.when(here, F.col(value)))
-
-    position = {name: F.lit(float(q)) * (F.col("__n") - 1) for name, q in quantiles.items()}
-    around = []
-    for i, p in enumerate(position.values()):
-        around += [at(F.floor(p)).alias(f"__s{2 * i}"), at(F.ceil(p)).alias(f"__s{2 * i + 1}")]
-    found = ranked.groupBy(*keys).agg(F.max("__n").alias("__n"), *around, *_folds(extra))
-    return found.select(*keys, *_blend(position), *([F.col("__n").alias(count)] if count else []), *_named(extra))
-
-
-def _blend(position: dict[str, Column]) -> list[Column]:
-    """Linear interpolation between the values at the two ranks of each quantile."""
-    out = []
-    for i, (name, p) in enumerate(position.items()):
+        totals = totals.withColumn("__all", F.lit(0))
+
+    placed = counted.select(*names, "__v", "__qw", _range(F.col("__v")).alias("__r"))
+    group = Window.partitionBy(*names)
+    ranges = placed.groupBy(*names, "__r").agg(F.sum("__qw").alias("__in"))
+    ranges = ranges.withColumns({"__n": F.sum("__in").over(group), "__upto": F.sum("__in").over(group.orderBy("__r"))})
+    # Two wanted ranks (below, above) per quantile; the slot tells them apart.
+    wanted = F.array(*[
+        F.struct(F.lit(2 * i + up).alias("slot"), (F.ceil if up else F.floor)(F.lit(float(q)) * (F.col("__n") - 1)).alias("rank"))
+        for i, q in enumerate(quantiles.values()) for up in (0, 1)
+    ])
+    before = F.col("__upto") - F.col("__in")
+    held = F.filter(wanted, lambda w: (w["rank"] >= before) & (w["rank"] < F.col("__upto")))
+    ranges = ranges.select(*names, "__r", before.alias("__before"), held.alias("__slots")).where(F.size("__slots") > 0)
+
+    inside = _joined(placed, ranges, [*names, "__r"])
+    running = Window.partitionBy(*names, "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("__upto", F.col("__before") + F.sum("__qw").over(running))
+    here = F.filter("__slots", lambda s: (s["rank"] < F.col("__upto")) & (s["rank"] >= F.col("__upto") - F.col("__qw")))
+    at = inside.select(*names, "__v", F.transform(here, lambda s: s["slot"]).alias("__at")).where(F.size("__at") > 0)
+    picked = [F.max(F.when(F.array_contains("__at", s), F.col("__v"))).alias(f"__s{s}") for s in range(2 * len(quantiles))]
+    found = _joined(totals, at.groupBy(*names).agg(*picked), names, "left")
+
+    position = [F.lit(float(q)) * (F.col("__n") - 1) for q in quantiles.values()]
+    blended = []
+    for i, (name, p) in enumerate(zip(quantiles, position, strict=True)):
         low, high = F.col(f"__s{2 * i}"), F.col(f"__s{2 * i + 1}")
-        out.append((low + (high - low) * (p - F.floor(p))).alias(name))
-    return out
+        blended.append(F.when(low == high, low).otherwise(low + (high - low) * (p - F.floor(p))).alias(name))
+    counts = [F.coalesce("__n", F.lit(0)).cast("long").alias(count)] if count else []
+    return found.select(*keys, *blended, *counts, *[F.col(f"__x_{n}").alias(n) for n in extra])
 
 
-def _folds(extra) -> list[Column]:
-    return [_FOLD[how](f"__x_{name}").alias(f"__x_{name}") for name, (how, _) in extra.items()]
-
-
-def _named(extra) -> list[Column]:
-    return [F.col(f"__x_{name}").alias(name) for name in extra]
-
-
-def _by_histogram(source, keys, value, quantiles, count, extra) -> DataFrame:
-    counted = settle(source.groupBy(*keys, value).agg(
-        F.sum("__times").alias("__w"), *_folds(extra)
-    ))
-    totals = counted.groupBy(*keys).agg(
-        F.sum("__w").alias("__n"),
-        F.min(value).alias("__lo"),
-        F.max(value).alias("__hi"),
-        *_folds(extra),
-    )
-    # Two wanted ranks (below, above) per quantile; the ``slot`` tells them apart.
-    position = {name: F.lit(float(q)) * (F.col("__n") - 1) for name, q in quantiles.items()}
-    slots = [F.struct(F.lit(2 * i).alias("slot"), F.floor(p).alias("rank")) for i, p in enumerate(position.values())]
-    slots += [F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(p).alias("rank")) for i, p in enumerate(position.values())]
-    wanted = totals.select(
-        *keys, "__lo", "__hi", F.lit(0).cast("long").alias("__before"), F.inline(F.array(*slots))
-    )
-    values = counted.select(*keys, value, "__w")
-    for _ in range(2):
-        wanted = settle(_narrow(values, wanted, keys, value))
-    inside = _within(values, wanted, keys, value)
-    running = Window.partitionBy(*keys, "slot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        inside.withColumn("__cum", F.col("__before") + F.sum("__w").over(running))
-        .where(F.col("__cum") > F.col("rank"))
-        .groupBy(*keys, "slot")
-        .agg(F.min(value).alias("__v"))
-    )
-    slot_value = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("slot") == s, F.col("__v"))).alias(f"__s{s}") for s in range(2 * len(quantiles))]
-    )
-    joined = _attach(slot_value, totals, keys)
-    return joined.select(*keys, *_blend(position), *([F.col("__n").alias(count)] if count else []), *_named(extra))
-
-
-def _within(values: DataFrame, wanted: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Values inside each wanted range; ``wanted`` has two rows per quantile and hot group."""
-    w = wanted.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    inside = values[value].between(w["__lo"], w["__hi"])
-    match = reduce(lambda a, b: a & b, [values[k].eqNullSafe(w[f"__k_{k}"]) for k in keys] + [inside])
-    return values.join(w, match).drop(*[f"__k_{k}" for k in keys])
-
-
-def _narrow(values: DataFrame, wanted: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Replace each wanted range by the one bucket of it that holds the rank."""
-    width = F.col("__hi") - F.col("__lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__lo")) / width * BUCKETS), F.lit(BUCKETS - 1)))
-    histogram = (
-        _within(values, wanted, keys, value)
-        .withColumn("__b", F.coalesce(bucket, F.lit(0)))
-        .groupBy(*keys, "slot", "rank", "__before", "__b")
-        .agg(F.sum("__w").alias("__w"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    )
-    running = Window.partitionBy(*keys, "slot").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+def _range(value: Column) -> Column:
+    """A whole number that grows with the value: its sign and the logarithm of its size."""
+    size = F.floor((F.log2(F.abs(value)) + 1100) * PER_OCTAVE) + 1
+    sign = F.signum(value).cast("long")
     return (
-        histogram.withColumn("__upto", F.col("__before") + F.sum("__w").over(running))
-        .withColumn("__before", F.col("__upto") - F.col("__w"))
-        .where((F.col("__before") <= F.col("rank")) & (F.col("rank") < F.col("__upto")))
-        .select(*keys, "__lo", "__hi", "__before", "slot", "rank")
+        F.when(F.isnan(value), F.lit(1 << 40)).when(value == 0, F.lit(0).cast("long"))
+        .when(F.abs(value) == float("inf"), sign * (1 << 39)).otherwise(sign * size)
     )
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _folds(extra) -> list[Column]:
+    return [_FOLD[how](f"__x_{name}").alias(f"__x_{name}") for name, (how, _) in extra.items()]
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on null-safe keys, so that a null group stays a group."""
     r = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
     match = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__k_{k}"]) for k in keys])
-    return left.join(r, match).drop(*[f"__k_{k}" for k in keys])
+    return left.join(r, match, how).drop(*[f"__k_{k}" for k in keys])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import age_months
 from ..operators.joins import join_curve, join_earliest
-from ..operators.quantiles import HOT_ROWS, exact_quantiles
+from ..operators.quantiles import exact_quantiles
 from ..session import settle
 
 
@@ -21,14 +21,13 @@ def with_age(posts: DataFrame, launches: DataFrame, key: str, day: str, price: s
     )
 
 
-def aging_curve(posts: DataFrame, keys: list[str] | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def aging_curve(posts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Median ratio and count per age bin of the reference posts."""
-    return exact_quantiles(posts, [*(keys or []), "age_bin"], "ratio", {"ref_ratio": 0.5}, count="ref_n", hot_rows=hot_rows)
+    return exact_quantiles(posts, [*(keys or []), "age_bin"], "ratio", {"ref_ratio": 0.5}, count="ref_n")
 
 
 def relative_to_curve(
     posts: DataFrame, curve: DataFrame, model: str, price: str, min_n: int = 20, launch: str = "launch_price",
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Each post against the curve at its own age, then one row per model."""
     compared = join_curve(posts, curve, ["age_bin"]).where(F.col("ref_n") >= min_n)
@@ -40,7 +39,7 @@ def relative_to_curve(
         first = column == "rel"
         part = exact_quantiles(
             compared, [model], column, {column: 0.5}, count="n" if first else None,
-            extra={"launch": ("min", F.col(launch))} if first else None, hot_rows=hot_rows,
+            extra={"launch": ("min", F.col(launch))} if first else None,
         )
         out = part if out is None else out.join(part, model)
     return out.withColumn("vs_normal_pct", 100 * (F.exp("rel") - 1))

@@ -15,7 +15,7 @@ from ..functions.deals import (
 from ..operators.aggregate import distribution, keep_keys, series_rows, top_categories
 from ..operators.joins import repost_gap
 from ..operators.layout import keep_rows
-from ..operators.quantiles import HOT_ROWS, exact_quantiles
+from ..operators.quantiles import exact_quantiles
 from ..session import settle
 
 SPEC_COLUMNS = {
@@ -78,7 +78,7 @@ def parse_titles(posts: DataFrame) -> DataFrame:
 
 def flag_outliers(
     df: DataFrame, group: list[str], month: str, value: str, low: float | Column, high: float | Column,
-    min_n: int = R.OUTLIER_MIN_ROWS, hot_rows: int | None = HOT_ROWS,
+    min_n: int = R.OUTLIER_MIN_ROWS,
 ) -> DataFrame:
     """Add ``is_outlier``: value over the median of its group in months m-1..m+1 outside [low, high].
 
@@ -94,7 +94,7 @@ def flag_outliers(
         *group, "__v", "__times", F.explode(F.array(*[F.col(month) + k for k in (-1, 0, 1)])).alias(month)
     )
     wide = exact_quantiles(
-        laid, [*group, month], "__v", {"__median": 0.5}, count="__n", hot_rows=hot_rows, weight="__times"
+        laid, [*group, month], "__v", {"__median": 0.5}, count="__n", weight="__times"
     )
     joined = df.join(wide, [*group, month], "left")
     ratio = F.col(value) / F.col("__median")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cutover, item_spec
 from ..operators.joins import drop_stale
-from ..operators.quantiles import HOT_ROWS, exact_quantiles
+from ..operators.quantiles import exact_quantiles
 from ..session import settle
 
 
@@ -35,7 +35,7 @@ def matched_links(items: DataFrame, section: list[str], key: str, month: str, pr
 
 def chain_index(
     items: DataFrame, base: str, section: list[str] | None = None, key: str = "key", month: str = "month",
-    price: str = "price", unit_price: str | None = None, hot_rows: int | None = HOT_ROWS,
+    price: str = "price", unit_price: str | None = None,
 ) -> DataFrame:
     """Running product of median matched changes, 100 in the ``base`` month (YYYY-MM-01).
 
@@ -46,7 +46,7 @@ def chain_index(
     items = settle(items)  # item-months feed the links, the calendar and the unit prices
     links = exact_quantiles(
         matched_links(items, section, key, month, price), [*section, month], "change", {"__step": 0.5},
-        count="__n", hot_rows=hot_rows,
+        count="__n",
     )
     months = _observed_months(items, section, month).join(links, [*section, month], "left")
     # From here on one row per section and calendar month.
@@ -62,13 +62,13 @@ def chain_index(
     ).select(*section, month, "log_level", "n_link_items", "index")
     if not unit_price:
         return index
-    return index.join(unit_summary(items, [*section, month], unit_price, hot_rows), [*section, month], "left")
+    return index.join(unit_summary(items, [*section, month], unit_price), [*section, month], "left")
 
 
-def unit_summary(items: DataFrame, keys: list[str], unit_price: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def unit_summary(items: DataFrame, keys: list[str], unit_price: str) -> DataFrame:
     return exact_quantiles(
         items, keys, unit_price, {f"{unit_price}_median": 0.5}, count="n_items",
-        extra={f"{unit_price}_min": ("min", F.col(unit_price))}, hot_rows=hot_rows,
+        extra={f"{unit_price}_min": ("min", F.col(unit_price))},
     )
 
 

@@ -25,11 +25,10 @@ def groups():
     }
 
 
-@pytest.mark.parametrize("hot_rows", [None, 5, 400, 1_000_000])
-def test_matches_numpy(spark, hot_rows):
+def test_matches_numpy(spark):
     data = groups()
     out = exact_quantiles(
-        frame(spark, data), ["g"], "v", QS, count="n", extra={"v": ("max", F.col("v"))}, hot_rows=hot_rows
+        frame(spark, data), ["g"], "v", QS, count="n", extra={"v": ("max", F.col("v"))}
     ).collect()
     assert len(out) == len(data)
     for row in out:
@@ -39,10 +38,37 @@ def test_matches_numpy(spark, hot_rows):
             assert row[name] == pytest.approx(np.quantile(values, q), rel=1e-12), (row["g"], name)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 3])
-def test_without_keys_and_with_null_keys(spark, hot_rows):
+def test_without_keys_and_with_null_keys(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(11)] + [("a", 1.0)], "g string, v double")
-    whole = exact_quantiles(df, [], "v", {"m": 0.5}, hot_rows=hot_rows).collect()
+    whole = exact_quantiles(df, [], "v", {"m": 0.5}).collect()
     assert [r["m"] for r in whole] == [4.5]
-    by_key = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}, hot_rows=hot_rows).collect()}
+    by_key = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
     assert by_key == {None: 5.0, "a": 1.0}
+
+
+def test_bunched_and_extreme_values(spark):
+    rng = np.random.default_rng(5)
+    data = {
+        "bunched": 1e6 + rng.random(3000) * 1e-3, "below": -np.abs(rng.lognormal(0, 3, 500)), "zero": np.array([0.0, -0.0, 0.0, 1e-300, -1e300]),
+        "infinite": np.array([1.0, 2.0, np.inf, np.inf, np.inf]),
+    }
+    for row in exact_quantiles(frame(spark, data), ["g"], "v", {"m": 0.5, "u": 0.9}).collect():
+        values = np.sort(data[row["g"]])
+        want = [np.inf, np.inf] if row["g"] == "infinite" else np.quantile(values, [0.5, 0.9])
+        assert [row["m"], row["u"]] == pytest.approx(list(want), rel=1e-12)
+
+
+def test_weights_and_empty_input(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1), ("b", 2.0, 0)], "g string, v double, w long")
+    rows = exact_quantiles(df, ["g"], "v", {"m": 0.5}, count="n", weight="w").collect()
+    assert [(r["g"], r["m"], r["n"]) for r in rows] == [("a", 1.0, 4)]
+    assert [tuple(r) for r in exact_quantiles(df.limit(0), [], "v", {"m": 0.5}, count="n").collect()] == [(None, 0)]
+
+
+def test_no_job_while_the_plan_is_built(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "CAST(id AS double) AS v")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "quantiles")
+    plan = exact_quantiles(df, ["g"], "v", {"m": 0.5})
+    assert not tracker.getJobIdsForGroup("building")
+    assert plan.count() == 3
