@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import age_months
 from ..operators.joins import join_curve, join_earliest
 from ..operators.quantiles import exact_quantiles
-from ..session import settle
 
 
 def with_age(posts: DataFrame, launches: DataFrame, key: str, day: str, price: str, order: list[Column]) -> DataFrame:
@@ -32,16 +31,18 @@ def relative_to_curve(
     """Each post against the curve at its own age, then one row per model."""
     compared = join_curve(posts, curve, ["age_bin"]).where(F.col("ref_n") >= min_n)
     compared = compared.withColumn("rel", F.ln(F.col("ratio") / F.col("ref_ratio")))
-    # Four roll-ups read these rows: the join is done once and only these columns are kept.
-    compared = settle(compared.select(model, "rel", "age_m", price, "ratio", launch))
-    out = None
-    for column in ("rel", "age_m", price, "ratio"):
-        first = column == "rel"
-        part = exact_quantiles(
-            compared, [model], column, {column: 0.5}, count="n" if first else None,
-            extra={"launch": ("min", F.col(launch))} if first else None,
-        )
-        out = part if out is None else out.join(part, model)
+    # The four medians of a model come from one pass over (column, value) rows.
+    columns = ["rel", "age_m", price, "ratio"]
+    values = F.array(*[F.struct(F.lit(c).alias("__kind"), F.col(c).cast("double").alias("__value")) for c in columns])
+    medians = exact_quantiles(
+        compared.select(model, F.col(launch).alias("__launch"), F.inline(values)), [model, "__kind"], "__value", {"__m": 0.5}, count="__n",
+        extra={"__first": ("min", F.col("__launch"))},
+    )
+    of = lambda kind, column: F.max(F.when(F.col("__kind") == kind, F.col(column)))
+    out = medians.groupBy(model).agg(
+        of("rel", "__m").alias("rel"), of("rel", "__n").alias("n"), of("rel", "__first").alias("launch"),
+        *[of(c, "__m").alias(c) for c in columns[1:]],
+    )
     return out.withColumn("vs_normal_pct", 100 * (F.exp("rel") - 1))
 
 

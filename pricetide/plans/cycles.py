@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import months_apart, quarters_apart
 
-MAX_MONTHS = 100_000
-_POINT = "struct<t:date,v:double>"
 _TURN = "struct<t:date,kind:string>"
 
 
@@ -21,9 +19,7 @@ def series_arrays(series: DataFrame, key: str = "series", month: str = "month",
     points = series.where(F.col(value).isNotNull()).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col(month).alias("t"), F.col(value).cast("double").alias("v")))).alias("obs")
     )
-    long = F.raise_error(F.concat(F.lit("more points than a calendar holds: "), F.col(key).cast("string")))
-    checked = F.when(F.size("obs") <= MAX_MONTHS, F.col("obs")).otherwise(long.cast(f"array<{_POINT}>"))
-    return points.select(F.col(key).alias("series"), checked.alias("obs"))
+    return points.select(F.col(key).alias("series"), "obs")
 
 
 def _zigzag(obs: Column, threshold: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import cutover, item_spec
 from ..operators.joins import drop_stale
 from ..operators.quantiles import exact_quantiles
-from ..session import settle
 
 
 def _observed_months(items: DataFrame, section: list[str], month: str) -> DataFrame:
@@ -43,7 +42,6 @@ def chain_index(
     month has level 0 and no count. A section that lacks the base month is an error.
     """
     section = section or []
-    items = settle(items)  # item-months feed the links, the calendar and the unit prices
     links = exact_quantiles(
         matched_links(items, section, key, month, price), [*section, month], "change", {"__step": 0.5},
         count="__n",

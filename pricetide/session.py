@@ -22,7 +22,8 @@ SETTINGS = {
 
 
 def build_session(app: str = "pricetide", master: str | None = None, **extra: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    # Checkpoint files go when the tables that use them do.
+    builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():

@@ -42,18 +42,13 @@ def backfill_plan(
     )
 
 
-def write_tidy(
-    df: DataFrame, path: str, partition: list[str] | None = None, sort: list[str] | None = None, files: int = 8
-) -> None:
+def write_tidy(df: DataFrame, path: str, partition: list[str] | None = None, sort: list[str] | None = None) -> None:
     """Parquet partitioned for pruning; only partitions present in ``df`` are replaced.
 
-    A partition goes to up to ``files`` writers, chosen by the sort columns, so that a
-    partition holding a large share of the rows is not one task and small ones stay few files.
+    Rows are rebalanced by partition: a partition that holds a large share of the rows gets as
+    many writers as its size asks for, and small ones stay few files.
     """
-    out = df
-    if partition:
-        salt = F.pmod(F.xxhash64(*(sort or df.columns)), F.lit(files))
-        out = out.repartition(*partition, salt)
+    out = df.hint("rebalance", *[F.col(c) for c in partition]) if partition else df
     if sort:
         out = out.sortWithinPartitions(*(partition or []), *sort)
     writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
