@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepared
-from .tokens import Memory, Pieces, load
+from .tokens import Pieces, Table, load
 
 CHUNK_BITS = 11
 WINDOW = 16
@@ -88,8 +88,8 @@ class Coder:
         probe = self.tokenizer.encode_batch_fast(["a", " a \n"], add_special_tokens=False)
         # Without a decoder the library joins tokens by one space.
         self.by_word = self.tokenizer.decoder is None and probe[0].ids == probe[1].ids
-        self.words = Memory(WORDS_KEPT)
-        self.cores = Memory(CORES_KEPT)
+        self.words = Table(self._of_word, WORDS_KEPT)
+        self.cores = Table(self._of_words, CORES_KEPT)
 
     def library(self, texts: list[str]) -> list[Piece]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,13 +100,15 @@ class Coder:
         """The piece of some ids of a tokenizer that decodes by joining tokens."""
         return len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids])
 
-    def _learned(self, words: set[str]) -> dict[str, Piece]:
-        return self.words.get(words, lambda new: [self._piece(ids.tolist()) for ids in self.pieces.encode(new)])
+    def _of_word(self, text: str) -> Piece:
+        if self.pieces.whole and (word := self.pieces.word.fullmatch(text)):
+            if marks := word[2]:
+                return together([self.words[word[1]], self.words[marks]])
+            return self._piece(self.pieces.of_pretoken(text))
+        return self._piece(self.pieces.of(text))
 
-    def _of_cores(self, cores: list[str]) -> list[Piece]:
-        cut = [core.split() for core in cores]
-        known = self._learned(set().union(*cut))
-        return [together([known[w] for w in words]) for words in cut]
+    def _of_words(self, part: str) -> Piece:
+        return together(list(map(self.words.__getitem__, part.split())))
 
     def _repair(self, joins: list[tuple[str, int, int]]) -> list[Piece | None]:
         """The pieces of joins (text, start, end); None where only the whole text agrees with itself."""
@@ -121,11 +123,10 @@ class Coder:
                 left = (left[1:] if start > span else left)[-wide:]
                 right = (right[:-1] if end + span < len(text) else right)[:wide]
                 windows.append((left, text[start:end], right))
-            known = self._learned({w for left, _, right in windows for w in (*left, *right)})
-            coded = self.pieces.encode([" ".join([*a, j, *b]) for a, j, b in windows])
+            coded = self.tokenizer.encode_batch_fast([" ".join([*a, j, *b]) for a, j, b in windows], add_special_tokens=False)
             for i, (a, _, b), found in zip(missing, windows, coded, strict=True):
-                ids = found.tolist()
-                left, right = (together([known[w] for w in side]) for side in (a, b))
+                ids = found.ids
+                left, right = (together([self.words[w] for w in side]) for side in (a, b))
                 middle = self._piece(ids[left[0]:len(ids) - right[0]])
                 if together([left, middle, right])[1] == self._piece(ids)[1]:
                     out[i] = middle
@@ -139,14 +140,13 @@ class Coder:
         whole = sorted(set(range(len(texts))) - set(plain))
         out = dict(zip(whole, self.library([texts[i] for i in whole]), strict=True))
         parts = {i: split(texts[i]) for i in plain}
-        known = self.cores.get({part for own in parts.values() for part, core in own if core}, self._of_cores)
         joins = []
         for i, own in parts.items():
             ends = np.cumsum([0, *(len(p) for p, _ in own)]).tolist()
             joins += [(texts[i], a, b) for (a, b), (_, core) in zip(pairwise(ends), own, strict=True) if not core]
         mended = iter(self._repair(joins))
         for i, own in parts.items():
-            pieces = [known[part] if core else next(mended) for part, core in own]
+            pieces = [self.cores[part] if core else next(mended) for part, core in own]
             out[i] = self.library([texts[i]])[0] if None in pieces else together(pieces)
         return [out[i] for i in range(len(texts))]
 

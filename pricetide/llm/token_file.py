@@ -7,8 +7,8 @@ documents; and the 64-bit doc_ids. A manifest row names them with their counts;
 manifest give the base of each partition. File names carry the attempt, and only a task that Spark counts gets into
 the manifest, so lost executors and repeated tasks leave no trace in what is read.
 
-Text is cut before single spaces between printable characters, which no token of a byte-level vocabulary crosses
-backwards; a piece's ids are remembered, and only new pieces go to the tokenizers library.
+Text is cut before spaces that follow another character than white space: a byte-level vocabulary has no token that
+goes on from such a character into the space. A piece's ids are remembered; new pieces go to the tokenizers library.
 
 Defined results: a null or empty text is the end id alone. Rows with one doc_id stand in the order of their texts;
 rows with a null doc_id come first. Extra columns are ignored. No rows give no files.
@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from .common import prepared, written
-from .tokens import Memory, Pieces, load
+from .tokens import Pieces, Table, load
 
-PIECES_KEPT = 400_000
-# Between a printable character and a space that a letter or digit follows.
-_CUT = re.compile("(?<=[!-~\xa1-\xacÀ-ɏ])(?= [0-9A-Za-zÀ-ÖØ-öø-ɏ])")
+PIECES_KEPT = 600_000
+# White space after which a space does not begin a piece.
+_SPACES = [f"{chr(c)} " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_CUT = re.compile(r"(?<=\S) ")
 
 _coders: dict[int, Coder] = {}
 
@@ -39,20 +40,36 @@ _coders: dict[int, Coder] = {}
 class Coder:
     """Ids of whole texts under a tokenizer whose words begin with their space."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, kind: np.dtype):
         self.tokenizer = load(definition)
+        self.kind = kind
         self.pieces = Pieces(self.tokenizer)
-        self.memory = Memory(PIECES_KEPT)
-        self.size = self.tokenizer.get_vocab_size()
-        whole, apart = (self.tokenizer.encode_batch_fast(x, add_special_tokens=False) for x in (["a1 b c"], ["a1", " b", " c"]))
-        self.cut = whole[0].ids == [i for e in apart for i in e.ids]
-
-    def encode(self, texts: list[str], kind: np.dtype) -> list[bytes]:
-        if not self.cut:
-            return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [_CUT.split(t) for t in texts]
-        known = self.memory.get(set().union(*parts), lambda new: [ids.astype(kind).tobytes() for ids in self.pieces.encode(new)])
-        return [b"".join([known[p] for p in own]) for own in parts]
+        self.first = Table(self._flat, PIECES_KEPT // 4)
+        self.after = Table(self._after, PIECES_KEPT)
+        self.by_piece = self.pieces.library("a1 b  c\n d.") == [i for p in ("a1", " b", "  c\n d.") for i in self.pieces.library(p)]
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(self.kind.itemsize, "little") for i in ids])
+
+    def _flat(self, piece: str) -> bytes:
+        return self._pack(self.pieces.of(piece))
+
+    def _after(self, piece: str) -> bytes:
+        """Ids of a piece with the space before it."""
+        if self.pieces.whole and (word := self.pieces.word.fullmatch(piece)):
+            if marks := word[2]:
+                return self.after[word[1]] + self.first[marks]
+            return self._pack(self.pieces.of_pretoken(f" {piece}"))
+        return self._flat(f" {piece}")
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_piece:
+            return np.array(self.pieces.library(text), self.kind).tobytes()
+        if any(s in text for s in _SPACES):
+            head, *rest = _CUT.split(text)
+        else:
+            head, *rest = text.split(" ")
+        return b"".join([self.first[head], *map(self.after.__getitem__, rest)])
 
 
 def width(size: int) -> np.dtype:
@@ -69,14 +86,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
     shared = prepared(docs.sparkSession).sparkContext.broadcast(definition)
-    key = hash(definition)
+    kind = width(max(load(definition).get_vocab_size(), end_id + 1))
+    key = hash((definition, kind.str))
 
     def write(batches):
         if key not in _coders:  # a worker keeps its memory from task to task
             _coders.clear()
-            _coders[key] = Coder(shared.value)
+            _coders[key] = Coder(shared.value, kind)
         coder = _coders[key]
-        kind = width(max(coder.size, end_id + 1))
         end = np.array([end_id], kind).tobytes()
         context = TaskContext.get()
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}"
@@ -90,7 +107,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
             if not outs:
                 outs = {k: store.open_output_stream(f"{base}/{name}.{k}") for k in ("ids", "offsets", "docs")}
                 outs["offsets"].write(np.zeros(1, "<u8").tobytes())
-            coded = [c + end for c in coder.encode([t or "" for t in batch.column("text").to_pylist()], kind)]
+            coded = [coder.encode(t or "") + end for t in batch.column("text").to_pylist()]
             outs["ids"].write(b"".join(coded))
             ends = n_tokens + np.cumsum([len(c) // kind.itemsize for c in coded], dtype="<u8")
             outs["offsets"].write(ends.astype("<u8").tobytes())
