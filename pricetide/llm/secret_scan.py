@@ -3,8 +3,8 @@
 Base kinds (``assign``, ``access``, ``hex``) are leftmost non-overlapping matches of fixed patterns. The method adds
 ``markov`` spans: tokens of 20 or more characters outside base spans whose mean log-likelihood ratio per transition,
 between a model of random strings and a model of ordinary identifiers, is at least ``LEAST``. Both models are
-first-order character chains with add-one smoothing, counted over labelled samples: values inside base spans
-(random) and other tokens of 8 or more characters (ordinary), from at most about ``SAMPLE_ROWS`` and ``PLAIN_ROWS``
+first-order character chains, smoothed by the share of each character, counted over labelled samples: values inside
+base spans (random) and word-like tokens of 8 or more characters outside them (ordinary), from at most about ``SAMPLE_ROWS`` and ``PLAIN_ROWS``
 rows picked by the hash of doc_id. At most 2 x 68 x 68 counts reach the driver and become one array literal.
 
 Defined results: null and empty texts have no spans. Without a labelled random string no ``markov`` span is added.
@@ -25,12 +25,16 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_VALUE = 8
+# Ordinary for the labels: words, joined words, a number behind them, or a number.
+ORDINARY = r"^([A-Za-z]+([-_/][A-Za-z]+)*[-_]?[0-9]*|[0-9]+)$"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1
 SAMPLE_ROWS = 8000
 PLAIN_ROWS = 800
 LEAST = 0.6
+# Weight, in transitions, of a character's overall share where a transition was seldom seen.
+BACKOFF = 10.0
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -85,26 +89,30 @@ def train(docs: DataFrame) -> list[float] | None:
         F.transform(F.concat("access", "hex"), lambda m: m["value"]),
     )
     random = sample.select(F.lit(1).alias("label"), F.explode(values).alias("token")).where(F.length("token") >= 16)
-    tokens = F.when(F.col("plain"), F.split("text", r"[^A-Za-z0-9+/_=-]+"))
-    spans = F.concat("assign", "access", "hex")
-    plain = sample.where(F.size(spans) == 0).select(F.lit(0).alias("label"), F.explode(tokens).alias("token")).where(F.length("token") >= LEAST_VALUE)
+    bare = F.col("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        bare = F.regexp_replace(bare, pattern, " ")
+    tokens = F.when(F.col("plain"), F.split(bare, r"[^A-Za-z0-9+/_=-]+"))
+    plain = sample.select(F.lit(0).alias("label"), F.explode(tokens).alias("token")).where((F.length("token") >= LEAST_VALUE) & F.col("token").rlike(ORDINARY))
     counts = (
         random.unionByName(plain).select("label", F.explode(transitions(F.col("token"))).alias("at"))
         .groupBy("label", "at").agg(F.count("*").alias("n")).collect()
     )
-    tables = [[1.0] * (WIDTH * WIDTH) for _ in range(2)]
-    for r in counts:
-        tables[r.label][r["at"]] += r.n
     if not any(r.label == 1 for r in counts):
         return None
-    ratios = []
-    for a in range(WIDTH):
-        own = slice(a * WIDTH, (a + 1) * WIDTH)
-        plain_row, random_row = tables[0][own], tables[1][own]
-        ratios += [
-            math.log(r / sum(random_row)) - math.log(p / sum(plain_row)) for p, r in zip(plain_row, random_row, strict=True)
-        ]
-    return ratios
+    logs = []
+    for label in (0, 1):
+        table = [0.0] * (WIDTH * WIDTH)
+        for r in counts:
+            if r.label == label:
+                table[r["at"]] = float(r.n)
+        total = sum(table) + 0.5 * WIDTH
+        single = [(sum(table[b::WIDTH]) + 0.5) / total for b in range(WIDTH)]
+        rows_of = [sum(table[a * WIDTH:(a + 1) * WIDTH]) for a in range(WIDTH)]
+        logs.append([
+            math.log((table[a * WIDTH + b] + BACKOFF * single[b]) / (rows_of[a] + BACKOFF)) for a in range(WIDTH) for b in range(WIDTH)
+        ])
+    return [r - p for p, r in zip(*logs, strict=True)]
 
 
 def scanned(docs: DataFrame, *keep: str, least: float = LEAST) -> DataFrame:
