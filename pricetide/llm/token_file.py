@@ -56,7 +56,7 @@ class Coder:
 
     def _after(self, piece: str) -> bytes:
         """Ids of a piece with the space before it."""
-        if self.pieces.whole and (word := self.pieces.word.fullmatch(piece)):
+        if self.pieces.whole and not self.pieces.lower and (word := self.pieces.word.fullmatch(piece)):
             if marks := word[2]:
                 return self.after[word[1]] + self.first[marks]
             return self._pack(self.pieces.of_pretoken(f" {piece}"))
