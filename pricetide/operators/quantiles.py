@@ -41,10 +41,7 @@ def exact_quantiles(
         stands_for.alias("__times"), *[c.alias(f"__x_{n}") for n, (_, c) in extra.items()],
     )
     counted = source.groupBy(*names, "__v").agg(F.sum("__times").alias("__qw"), *_folds(extra)).where("__qw > 0")
-    totals = counted.groupBy(*names) if keys else counted.withColumn("__all", F.lit(0)).groupBy()
-    totals = totals.agg(F.sum("__qw").alias("__n"), *_folds(extra))
-    if not keys:
-        totals = totals.withColumn("__all", F.lit(0))
+    totals = counted.groupBy(*keys).agg(F.sum("__qw").alias("__n"), *_folds(extra))
 
     placed = counted.select(*names, "__v", "__qw", _range(F.col("__v")).alias("__r"))
     group = Window.partitionBy(*names)
@@ -65,7 +62,11 @@ def exact_quantiles(
     here = F.filter("__slots", lambda s: (s["rank"] < F.col("__upto")) & (s["rank"] >= F.col("__upto") - F.col("__qw")))
     at = inside.select(*names, "__v", F.transform(here, lambda s: s["slot"]).alias("__at")).where(F.size("__at") > 0)
     picked = [F.max(F.when(F.array_contains("__at", s), F.col("__v"))).alias(f"__s{s}") for s in range(2 * len(quantiles))]
-    found = _joined(totals, at.groupBy(*names).agg(*picked), names, "left")
+    if keys:
+        found = _joined(totals, at.groupBy(*names).agg(*picked), names, "left")
+    else:  # two rows become one
+        both = totals.unionByName(at.agg(*picked), allowMissingColumns=True)
+        found = both.agg(*[F.max(c).alias(c) for c in both.columns])
 
     position = [F.lit(float(q)) * (F.col("__n") - 1) for q in quantiles.values()]
     blended = []

@@ -5,8 +5,11 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from pricetide.catalog import QUERIES
 
-# One row per calendar period, major number or rank bucket only.
-SMALL_WINDOWS = {"id_span", "version_sort", "rank_corr"}
+# One row per calendar period, major number, rank bucket or range of a histogram without keys only.
+SMALL_WINDOWS = {
+    "id_span", "version_sort", "rank_corr",
+    "backtest_bias", "decay_params", "decay_path", "scenario_fixed_peak", "scenario_paths", "scenario_table",
+}
 
 
 def plan_of(frame):
