@@ -32,8 +32,8 @@ from .tokens import Pieces, Table, load
 
 CHUNK_BITS = 11
 WINDOW = 16
-WORDS_KEPT = 300_000
-CORES_KEPT = 6_000
+WORDS_KEPT = 150_000
+CORES_KEPT = 3_000
 
 Piece = tuple[int, str, str]  # number of ids, decimal ids joined by one space, decoded text
 

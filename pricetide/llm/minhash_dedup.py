@@ -39,7 +39,7 @@ SHINGLE = 5
 COORDS = 48
 MATCHES = 22
 PREFIX = COORDS - MATCHES + 1
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)

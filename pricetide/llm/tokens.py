@@ -7,7 +7,7 @@ import re
 
 from tokenizers import Tokenizer
 
-PRETOKENS_KEPT = 300_000
+PRETOKENS_KEPT = 50_000
 
 # Letters and marks on whose classes Python, the library's patterns and its lower-casing agree.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"

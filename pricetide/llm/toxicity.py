@@ -27,7 +27,7 @@ SIZE = 1 << BITS
 SAMPLE_PER_CLASS = 3000
 # Toxic rows are the fewer ones.
 TOXIC_WEIGHT = 2.0
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 _CUT = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
