@@ -10,8 +10,9 @@ blocks of eight words or more with few links. Each page is also seen in other
 layouts: its containers are renamed, and blocks are added from other pages as side bars, notices, comments and so on,
 so that the paths and not one site's template are learned. Pages are labelled by the model alone.
 
-Defined results: a null or empty page has an empty text. Scripts, styles, templates, comments and what stands in the
-head are no blocks. Character references are decoded; white space within a block becomes one space; blocks are joined
+Defined results: a null or empty page has an empty text. Scripts, styles, templates, titles, text areas, comments and
+what stands in the head are no blocks; without an end tag a template is none, and the other elements reach to the end of the page. Drawings,
+formulas and fallbacks are text like any other. Character references are decoded; white space within a block becomes one space; blocks are joined
 by one line feed; nothing is capped. Unclosed elements end with their container. Repeated rows are labelled alike;
 extra columns are ignored.
 """
@@ -35,11 +36,20 @@ PATH, WORDS, PLAIN = 128, 32, 6
 HIDDEN = 16
 EPOCHS = 12
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|object|math|title|select|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-    r".*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)({_ATTRIBUTES})>|<[!?/][^>]*>", re.S)
+# Elements whose content is no markup: to their end tag, or to the end of the page.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("script", "style", "title", "textarea")}
+_TEMPLATE = re.compile(rf"<(/?)template(?=[\s/>]){_ATTRIBUTES}>", re.I)
+# Drawings and formulas stand in a line of text; an HTML element among their own ends them.
+_FOREIGN = frozenset(("svg", "math"))
+_BREAKS_OUT = frozenset(
+    "article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li main menu nav ol p pre section table ul".split()
 )
+# Elements with a fallback, which may also stand in a line.
+_EMBEDDED = frozenset("noscript object iframe select".split())
+# What may follow an element's name: custom elements such as title-bar and prefixed names are others.
+_SPACE = frozenset(("", " ", "\t", "\n", "\r", "\f", "/"))
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var wbr br img input label ins del big".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,12 +64,22 @@ class Block:
     linked: int
 
 
+def _template_end(page: str, at: int) -> int:
+    """Behind the end tag of the template whose content begins here; without one, here."""
+    depth = 1
+    for tag in _TEMPLATE.finditer(page, at):
+        depth += -1 if tag[1] else 1
+        if not depth:
+            return tag.end()
+    return at
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, with decoded text."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # element, its path name
     texts: list[str] = []
-    links, linked, at = 0, 0, 0
+    links, linked, at, foreign = 0, 0, 0, ""
     page = page or ""
 
     def close():
@@ -76,23 +96,43 @@ def blocks(page: str | None) -> list[Block]:
         if links:
             linked += len(piece)
 
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             add(page[at:token.start()])
         at = token.end()
-        name = (token[3] or "").lower()
+        name = (token[2] or "").lower()
         if not name:
             continue
+        ends, empty = bool(token[1]), token[3].endswith("/")
+        if name in _RAW and token[3][:1] in _SPACE:
+            if not ends and not (foreign and empty):
+                end = _RAW[name].search(page, at)
+                at = end.end() if end else len(page)
+            continue
+        if name == "template" and token[3][:1] in _SPACE:
+            at = at if ends else _template_end(page, at)
+            continue
+        if name in _FOREIGN and token[3][:1] in _SPACE:
+            foreign = "" if ends and name == foreign else foreign if ends or foreign or empty else name
+            continue
+        names = [n for n, _ in stack]
+        if foreign:
+            if name not in _BREAKS_OUT and not (ends and name in names):
+                if name in ("text", "desc", "mtext"):
+                    texts.append(" ")
+                continue
+            foreign = ""
         if name in _INLINE:
             if name == "a":
-                links = 0 if token[2] else 1
+                links = 0 if ends else 1
             elif name == "br":
                 texts.append(" ")
             continue
+        if name in _EMBEDDED and (name not in names if ends else names[-1:] == ["p"] or any(map(str.strip, texts))):
+            continue
         close()
         links = 0
-        names = [n for n, _ in stack]
-        if token[2]:
+        if ends:
             if name in names:
                 del stack[len(names) - 1 - names[::-1].index(name):]
         elif name not in _VOID:
@@ -102,7 +142,7 @@ def blocks(page: str | None) -> list[Block]:
                 stack.pop()
             elif names and names[-1] == "p" and name not in _SELF_CLOSING:
                 stack.pop()
-            words = " ".join(m.strip("\"'").lower() for m in _NAMES.findall(token[4]))
+            words = " ".join(m.strip("\"'").lower() for m in _NAMES.findall(token[3]))
             stack.append((name, f"{name} {words}".strip()))
     if at < len(page):
         add(page[at:])

@@ -1,0 +1,27 @@
+"""Cases in which an operator once did less than the whole job."""
+
+import numpy as np
+import pytest
+
+from pricetide.llm import html_text
+
+
+@pytest.mark.parametrize("tag, seen", [
+    ("<svg/>", ""), ('<svg class="icon" />', ""), ("<math/>", ""), ("<svg-icon name='x'></svg-icon>", ""), ("<title-bar></title-bar>", ""),
+    ("<select-box>", ""), ("<noscript>", ""), ("<object data='x'>", ""), ("<select>", ""), ("<iframe src='x'>", ""), ("<svg><path d='M0'/>", ""),
+    ("<svg><title/><style/></svg>", ""), ("<template>", ""), ("<template><p>a<template>b</template>c</p></template>", ""),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"), ("<noscript><p>shown</p></noscript>", "shown"), ("<object><p>shown</p></object>", "shown"),
+    ("<svg><text>shown</text></svg>", "shown"), ("<script>'</p>'</script>", ""), ("<style>p {}</style>", ""),
+])
+def test_nothing_behind_a_tag_is_lost(tag, seen):
+    page = f"<body><article><p>One.</p>{tag}<p>Two.</p></article><article><p>Three.</p></article></body>"
+    assert " ".join(b.text for b in html_text.blocks(page)).split() == f"One. {seen} Two. Three.".split()
+
+
+def test_drawings_and_fallbacks_do_not_cut_a_line():
+    page = "<p>Let <math><mi>x</mi></math> be <svg><path d='M0'/></svg>small<noscript><img src=x></noscript> and <svg/>even.</p><p>End.</p>"
+    assert [b.text for b in html_text.blocks(page)] == ["Let x be small and even.", "End."]
+
+
+def test_raw_elements_end_with_the_page():
+    assert [b.text for b in html_text.blocks("<p>One.</p><script>if (a) { <p>Two.</p>")] == ["One."]
