@@ -7,11 +7,12 @@ centres; the leaves it meets are visited in that order.
 
 How many leaves a query visits is calibrated: the true neighbours of ``CALIBRATION`` queries are found by brute force
 over all rows, and the number of visits grows by a quarter at a time until at least ``RECALL`` of these neighbours lie in the visited
-leaves. Scores of what is found are exact, summed in the order of the components.
+leaves. A query goes on beyond them until its leaves hold k + 1 rows, so it gets fewer than k neighbours only if there are
+fewer. Scores of what is found are exact, summed in the order of the components.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite components take no part. Rows
 with one vec_id are one vector, the smallest. Only vectors of equal length are compared; each length has its own tree. With
-few rows (at most 4 packs) all leaves are visited, so a query gets all candidates if there are fewer than k.
+few rows (at most 4 packs) all leaves are visited.
 """
 
 from __future__ import annotations
@@ -86,13 +87,14 @@ class KMeansTree:
             stack += [(child, at[near == j]) for j, child in enumerate(node.children) if (near == j).any()]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves in the order of a best-bin-first search."""
-        queue, out, turn = [(0.0, 0, self.root)], [], 1
-        while queue and len(out) < most:
+    def visit(self, query: np.ndarray, count: int, rows: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``count`` leaves in the order of a best-bin-first search, and more until they hold ``least`` rows."""
+        queue, out, turn, held = [(0.0, 0, self.root)], [], 1, 0
+        while queue and (len(out) < count or held < least):
             _, _, node = heapq.heappop(queue)
             if not node.children:
                 out.append(node.leaf)
+                held += rows.get(node.leaf, 0) if rows else 0
                 continue
             for child in node.children:
                 heapq.heappush(queue, (-float(query @ child.centre), turn, child))
@@ -236,10 +238,12 @@ def search(index: Index, is_query: Column, k: int) -> DataFrame:
     spark = index.rows.sparkSession
     shared = spark.sparkContext.broadcast(index.tree)
     visits = index.visits
+    # One count per leaf; a query is among the rows itself, so k + 1 rows hold k others.
+    counts = {r.leaf: r["count"] for r in index.rows.groupBy("leaf").count().collect()}
 
     def visit(batches):
         for batch in batches:
-            rows = [(i, v, shared.value.visit(np.array(v), visits)) for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True)]
+            rows = [(i, v, shared.value.visit(np.array(v), visits, counts, k + 1)) for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _, _ in rows], pa.int64()), batch.column("dim"), pa.array([v for _, v, _ in rows], pa.list_(pa.float64())),

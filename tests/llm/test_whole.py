@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pricetide.llm import html_text
+from pricetide.llm import ann_search, html_text
+from pricetide.llm.common import prepared
 
 
 @pytest.mark.parametrize("tag, seen", [
@@ -25,3 +27,20 @@ def test_drawings_and_fallbacks_do_not_cut_a_line():
 
 def test_raw_elements_end_with_the_page():
     assert [b.text for b in html_text.blocks("<p>One.</p><script>if (a) { <p>Two.</p>")] == ["One."]
+
+
+def test_small_clusters_beside_a_hot_one_get_all_neighbours(spark):
+    prepared(spark)
+    centres = np.eye(8)
+    tree = ann_search.KMeansTree(centres[:1], 1)
+    tree.root = ann_search.Node(centres.mean(axis=0), [ann_search.Node(c, leaf=i) for i, c in enumerate(centres)])
+    tree.leaves = len(centres)
+    # Leaf 0 holds 3,000 copies, the others 5 rows each.
+    rows = [(i, 8, [float(x) for x in centres[0 if i < 3000 else 1 + (i - 3000) // 5]]) for i in range(3035)]
+    placed = spark.createDataFrame([(i, d, v, v.index(1.0)) for i, d, v in rows], "vec_id long, dim int, vector array<double>, leaf int")
+    asked = F.col("vec_id") % 5 == 0
+    hits = ann_search._top(ann_search.search(ann_search.Index(tree, placed, 1), asked, 20), 20)
+    counts = {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()}
+    assert counts == {i: 20 for i in range(0, 3035, 5)}
+    own = {r.vec_id for r in hits.where("query_id = 3000 AND rank <= 4").collect()}
+    assert own == {3001, 3002, 3003, 3004}
