@@ -4,8 +4,8 @@ Base kinds (``assign``, ``access``, ``hex``) are leftmost non-overlapping matche
 ``markov`` spans: tokens of 20 or more characters outside base spans whose mean log-likelihood ratio per transition,
 between a model of random strings and a model of ordinary identifiers, is at least ``LEAST``. Both models are
 first-order character chains, smoothed by the share of each character, counted over labelled samples: values inside
-base spans (random) and word-like tokens of 8 or more characters outside them (ordinary), from at most about ``SAMPLE_ROWS`` and ``PLAIN_ROWS``
-rows picked by the hash of doc_id. At most 2 x 68 x 68 counts reach the driver and become one array literal.
+base spans (random) and word-like tokens of 8 or more characters outside them (ordinary). Base spans are looked for in all rows;
+about ``SAMPLE_ROWS`` of the rows that hold one, and about ``PLAIN_ROWS`` of all rows, picked by the hash of doc_id, are learned from. At most 2 x 68 x 68 counts reach the driver and become one array literal.
 
 Defined results: null and empty texts have no spans. Without a labelled random string no ``markov`` span is added.
 Repeated rows are scanned alike; extra columns are ignored.
@@ -78,28 +78,29 @@ def transitions(token: Column) -> Column:
 
 def train(docs: DataFrame) -> list[float] | None:
     """Log-likelihood ratios per transition, random against ordinary; None without labelled random strings."""
-    rows = docs.count()
-    if not rows:
-        return None
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("secrets")), F.lit(1 << 30))
-    sample = docs.select("text", (place / float(1 << 30)).alias("place")).where(F.col("place") < SAMPLE_ROWS / rows)
-    sample = sample.select("text", (F.col("place") < PLAIN_ROWS / rows).alias("plain"), *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    place = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("secrets")), F.lit(1 << 30)) / float(1 << 30)).alias("place")
+    held = docs.select(place, *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     values = F.concat(
         F.transform("assign", lambda m: F.regexp_extract(m["value"], ASSIGN, 2)),
         F.transform(F.concat("access", "hex"), lambda m: m["value"]),
     )
-    random = sample.select(F.lit(1).alias("label"), F.explode(values).alias("token")).where(F.length("token") >= 16)
+    held = held.select("place", F.filter(values, lambda v: F.length(v) >= 16).alias("values"))
+    labelled = F.size("values") > 0
+    rows, holding, first = held.agg(F.count("*"), F.count_if(labelled), F.min(F.when(labelled, F.col("place")))).first()
+    if not holding:
+        return None
+    # At least the first row by hash, also where all rows that hold a span have one place.
+    random = held.where(F.col("place") <= max(SAMPLE_ROWS / holding, first)).select(F.lit(1).alias("label"), F.explode("values").alias("token"))
+    sample = docs.select("text", place).where(F.col("place") < PLAIN_ROWS / rows)
     bare = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         bare = F.regexp_replace(bare, pattern, " ")
-    tokens = F.when(F.col("plain"), F.split(bare, r"[^A-Za-z0-9+/_=-]+"))
+    tokens = F.split(bare, r"[^A-Za-z0-9+/_=-]+")
     plain = sample.select(F.lit(0).alias("label"), F.explode(tokens).alias("token")).where((F.length("token") >= LEAST_VALUE) & F.col("token").rlike(ORDINARY))
     counts = (
         random.unionByName(plain).select("label", F.explode(transitions(F.col("token"))).alias("at"))
         .groupBy("label", "at").agg(F.count("*").alias("n")).collect()
     )
-    if not any(r.label == 1 for r in counts):
-        return None
     logs = []
     for label in (0, 1):
         table = [0.0] * (WIDTH * WIDTH)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide.llm import ann_search, html_text
+from pricetide.llm import ann_search, html_text, secret_scan
 from pricetide.llm.common import prepared
 
 
@@ -44,3 +44,15 @@ def test_small_clusters_beside_a_hot_one_get_all_neighbours(spark):
     assert counts == {i: 20 for i in range(0, 3035, 5)}
     own = {r.vec_id for r in hits.where("query_id = 3000 AND rank <= 4").collect()}
     assert own == {3001, 3002, 3003, 3004}
+
+
+def test_rare_secrets_are_learned_from_in_a_large_table(spark):
+    hexes = ["9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "2c26b46b68ffc68ff99b453c1d30413413422d70", "fcde2b2edba56bf408601fb721fe9b5c338d10ee"]
+    asked = "3b5d5c3712955042212316173ccf37b"  # too short for the hex pattern
+    text = F.concat(F.lit("an ordinary document about something, numbered "), F.col("doc_id").cast("string"))
+    for i, value in enumerate([*hexes, asked]):
+        text = F.when(F.col("doc_id") == 50_000 * i, F.lit(f"see {value} here")).otherwise(text)
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = secret_scan.op8_secret_scan(docs).where("spans != ''").orderBy("doc_id").collect()
+    assert [r.spans for r in got] == [*["hex:4:44"] * 3, "markov:4:35"]
+    assert "see [SECRET] here" == secret_scan.redacted(docs).where("doc_id = 150000").first()["text"]
