@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_text
+from ..session import settle
 from .segments import carry, neighbours
 
 
@@ -213,22 +214,45 @@ def contained_passages(
 ) -> DataFrame:
     """``(text_id, passage_id)`` for every passage found whole inside a text, without a shared key.
 
-    A text that holds a passage holds the passage's inner words as whole words, so the two
-    meet on a run of ``words`` inner words and only those pairs are compared in full.
-    A passage too short to hold such a run is an error.
+    A text that holds a passage holds the passage's inner words as whole words, so the two meet on a run of ``words``
+    inner words, or of all inner words if there are fewer, and only those pairs are compared in full. A passage's anchor
+    is its run that the fewest texts hold. A passage of one or two words has no inner word, and every text is searched for it.
     """
     t = texts.select(text_id, normalize_text(text).alias("__t"))
-    p = passages.select(passage_id, normalize_text(passage).alias("__p")).withColumn("__w", F.split("__p", " "))
-    short = F.raise_error(F.concat(F.lit("passage too short to anchor: "), F.col("__p"))).cast("bigint")
-    inner = F.xxhash64(*[F.get("__w", F.lit(i + 1)) for i in range(words)])
-    p = p.select(passage_id, "__p", F.when(F.size("__w") >= words + 2, inner).otherwise(short).alias("__a"))
-    split = t.select(text_id, F.split("__t", " ").alias("__w"))
-    shifted = F.arrays_zip(*[F.slice("__w", k + 1, F.size("__w")).alias(f"w{k}") for k in range(words)])
-    runs = F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(words)]))
-    anchored = split.select(text_id, F.explode(F.array_distinct(runs)).alias("__a")).join(p, "__a")
+    p = passages.select(passage_id, normalize_text(passage).alias("__p")).where(F.col("__p").isNotNull())
+    n_words = F.size(F.split("__p", " "))
+
+    def runs(w: str, n: int) -> Column:
+        """Hashes of the runs of n words."""
+        shifted = F.arrays_zip(*[F.slice(w, k + 1, F.size(w)).alias(f"w{k}") for k in range(n)])
+        hashes = F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(n)]))
+        return F.slice(hashes, 1, F.greatest(F.size(w) - (n - 1), F.lit(0)))
+
+    def keyed(hashes: Column, n: int) -> Column:
+        return F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+
+    none = F.expr("CAST(array() AS array<struct<n:int,h:bigint>>)")
+    long = p.where(n_words >= 3).select("__p").distinct().withColumn("__w", F.split("__p", " "))
+    long = long.withColumn("__n", F.least(F.size("__w") - 2, F.lit(words)))
+    inner = long.select("__p", "__n", F.slice("__w", 2, F.size("__w") - 2).alias("__w"))
+    own = F.concat(*[F.when(F.col("__n") == n, keyed(runs("__w", n), n)).otherwise(none) for n in range(1, words + 1)])
+    own = inner.select("__p", F.explode(own).alias("__a"))
+    # Texts post runs of the lengths that some passage asks for.
+    lengths = long.agg(F.collect_set("__n").alias("__ns"))  # one row
+    split = t.select(text_id, F.split("__t", " ").alias("__w")).crossJoin(lengths)
+    posts = F.concat(*[F.when(F.array_contains("__ns", n), keyed(runs("__w", n), n)).otherwise(none) for n in range(1, words + 1)])
+    posts = split.select(text_id, F.explode(posts).alias("__a"))
+    met = settle(posts.join(own.select("__a").distinct(), "__a", "left_semi"))
+    # The rarest run; a run that no text holds leaves its passage out.
+    counts = met.groupBy("__a").agg(F.count(F.lit(1)).alias("__c"))
+    counted = own.join(counts, "__a", "left").select("__p", "__a", F.coalesce("__c", F.lit(0)).alias("__c"))
+    anchor = counted.groupBy("__p").agg(F.min_by("__a", F.struct("__c", "__a")).alias("__a"), F.min("__c").alias("__c")).where("__c > 0")
     # The text itself comes back by id only for the texts that met an anchor.
-    pairs = anchored.join(t, text_id).where(F.contains("__t", "__p"))
-    return pairs.select(text_id, passage_id)
+    found = met.join(anchor.select("__p", "__a"), "__a").select(F.col(text_id).alias("__id"), "__p").distinct()
+    pairs = found.join(t, F.col("__id").eqNullSafe(F.col(text_id))).where(F.contains("__t", "__p")).select(text_id, "__p")
+    pairs = pairs.join(p.where(n_words >= 3), "__p").select(text_id, passage_id)
+    short = t.join(p.where(n_words < 3), F.contains("__t", "__p")).select(text_id, passage_id)
+    return pairs.unionByName(short)
 
 
 def repost_gap(df: DataFrame, keys: list[str], ts: str, tie: str, days: float, segment: str = "DAY") -> DataFrame:
