@@ -72,15 +72,22 @@ _NEUTRAL_AXIS = "srt:ConsolidationItemsAxis"
 def read_xml_facts(spark: SparkSession, path: str, tags: list[str], axes: list[str], prefix: str = "us-gaap:") -> DataFrame:
     """Facts of one instance folder whose context has exactly one breakdown axis."""
     file = F.col("_metadata.file_path").alias("file")
-    contexts = (
-        spark.read.format("xml").schema(schemas.XML_CONTEXT).option("rowTag", "xbrli:context").load(path)
-        .select(
-            file,
-            F.col("_id").alias("context"),
-            F.col("`xbrli:entity`.`xbrli:segment`.`xbrldi:explicitMember`").alias("members"),
-            F.col("`xbrli:period`.`xbrli:startDate`").alias("start"),
-            F.col("`xbrli:period`.`xbrli:endDate`").alias("end"),
+
+    def contexts_of(space: str) -> DataFrame:
+        return (
+            spark.read.format("xml").schema(schemas.XML_CONTEXT.replace("xbrli:", space)).option("rowTag", f"{space}context").load(path)
+            .select(
+                file,
+                F.col("_id").alias("context"),
+                F.col(f"`{space}entity`.`{space}segment`.`xbrldi:explicitMember`").alias("members"),
+                F.col(f"`{space}period`.`{space}startDate`").alias("start"),
+                F.col(f"`{space}period`.`{space}endDate`").alias("end"),
+            )
         )
+
+    # Instance files name the elements of XBRL with a prefix or by default.
+    contexts = (
+        contexts_of("xbrli:").unionByName(contexts_of(""))
         .where(F.col("start").isNotNull() & F.col("end").isNotNull())
         .withColumn("members", F.filter("members", lambda m: m["_dimension"] != _NEUTRAL_AXIS))
         .where(F.size("members") == 1)

@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
 from pricetide.operators.joins import contained_passages
+from pricetide.sources import readers as R
+
+from .test_sources import XML
 
 WORDS = "the cat sat on a mat and the dog sat on the log by the big red barn near old mill".split()
 
@@ -12,3 +15,10 @@ def test_short_passages_are_found_beside_long_ones(spark):
     have = contained_passages(spark.createDataFrame(texts, "d int, t string"), "d", "t", spark.createDataFrame(passages, "p int, q string"), "p", "q")
     want = [(d, p) for d, t in texts for p, q in passages if t is not None and q is not None and " ".join(q.lower().split()) in " ".join(t.lower().split())]
     assert sorted(map(tuple, have.collect()), key=str) == sorted(want, key=str)
+
+
+def test_xml_facts_with_a_default_namespace(spark, tmp_path):
+    (tmp_path / "one.xml").write_text(XML)
+    (tmp_path / "two.xml").write_text(XML.replace("xbrli:", "").replace("12.5", "13.5"))
+    rows = R.read_xml_facts(spark, str(tmp_path), ["Revenues"], ["srt:ProductOrServiceAxis"]).collect()
+    assert sorted((r["member"], r["val"], str(r["end"])) for r in rows) == [("x:DRAM", 12.5, "2024-03-31"), ("x:DRAM", 13.5, "2024-03-31")]
