@@ -2,7 +2,7 @@
 
 No operator here pairs up all rows of a group: nearest and next matches come from ordered
 carries or ``min_by``, intervals are matched through the calendar years they touch, and
-patterns are tested once per distinct name.
+patterns are tested once per distinct name. Only passages of one or two words are searched for in every text.
 """
 
 from __future__ import annotations
