@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, bpe_chunks, entropy_mix, exact_topk, html_text, language_id, minhash_dedup, secret_scan, token_file, toxicity
+from . import (
+    ann_search, bpe_chunks, entropy_mix, exact_topk, filter_audit, html_text, language_id, license_scan, minhash_dedup, secret_scan, spelling, token_file, toxicity,
+)
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +76,27 @@ def op3_ann_search(spark, sf_dir):
 @query
 def op5_html_text(spark, sf_dir):
     return html_text.op5_html_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_spelling_groups(spark, sf_dir):
+    return spelling.op11_spelling_groups(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_spelling_groups"] = spelling.SQL
+
+
+@query
+def op12_license_scan(spark, sf_dir):
+    return license_scan.op12_license_scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_license_scan"] = license_scan.SQL
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.op13_filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+SQL["op13_filter_audit"] = filter_audit.SQL
