@@ -1,19 +1,21 @@
 """Main text of web pages: a recurrent block labeller.
 
 A page is cut into leaf blocks. Each block has two vectors: its tag path (element names, class and id words, hashed)
-and its words (hashed), with its length, link share and place. A bidirectional LSTM in numpy reads the blocks of a page
+and its words (hashed), with its length, link share, place, and the share of the page's unlinked text that its nearest two
+containers hold. A bidirectional LSTM in numpy reads the blocks of a page
 in both directions and decides for each, with the whole page as context, whether it is main text.
 
 Training: at most ``SAMPLE_PAGES`` pages, picked by the hash of page_id. Blocks inside article or main elements, but
 not inside menus, forms and the like, are labelled main text, and all others not; on a page without such elements,
 blocks of eight words or more with few links. Each page is also seen in other
-layouts: its containers are renamed, and blocks are added from other pages as side bars, notices, comments and so on,
-so that the paths and not one site's template are learned. Pages are labelled by the model alone.
+layouts: its containers are renamed, its text is partly laid out as lists, tables, quotes and short paragraphs, and blocks are
+added from other pages as side bars, notices, comments and so on, so that the paths and not one site's template are learned. Pages are labelled by the model alone.
 
 Defined results: a null or empty page has an empty text. Scripts, styles, templates, titles, text areas, comments and
 what stands in the head are no blocks; without an end tag a template is none, and the other elements reach to the end of the page. Drawings,
 formulas and fallbacks are text like any other. Character references are decoded; white space within a block becomes one space; blocks are joined
-by one line feed; nothing is capped. Unclosed elements end with their container. Repeated rows are labelled alike;
+by one line feed; nothing is capped. Unclosed elements end with their container. Tags end as quotes in their attributes say; from a tag on
+whose quotes never close, quotes do not count, and what follows the page's last > is text. Reading a page takes time in proportion to its length. Repeated rows are labelled alike;
 extra columns are ignored.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,15 +35,16 @@ from pyspark.sql import functions as F
 from .common import prepared
 
 SAMPLE_PAGES = 240
-PATH, WORDS, PLAIN = 128, 32, 6
+PATH, WORDS, PLAIN = 128, 32, 8
 HIDDEN = 16
 EPOCHS = 12
+LAYOUTS = 3
 
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)({_ATTRIBUTES})>|<[!?/][^>]*>", re.S)
+# What a tag begins with; where it ends is found by hand, as a pattern would search to the end of the page at every <.
+_START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9-]*)|[!?/])")
+_PLAIN = re.compile("[^>\"']*")
 # Elements whose content is no markup: to their end tag, or to the end of the page.
-_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("script", "style", "title", "textarea")}
-_TEMPLATE = re.compile(rf"<(/?)template(?=[\s/>]){_ATTRIBUTES}>", re.I)
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title", "textarea")}
 # Drawings and formulas stand in a line of text; an HTML element among their own ends them.
 _FOREIGN = frozenset(("svg", "math"))
 _BREAKS_OUT = frozenset(
@@ -57,67 +61,170 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _SELF_CLOSING = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 
 
+_MAIN = {"article", "main"}
+_OTHER = {"nav", "aside", "footer", "header", "form", "menu", "button"}
+
+
+_codes: dict[str, int] = {}
+_bits: dict[str, int] = {}
+
+
+def _code(word: str) -> int:
+    if word not in _codes:
+        if len(_codes) > 300_000:
+            _codes.clear()
+        _codes[word] = zlib.crc32(word.encode("utf-8", "replace"))
+    return _codes[word]
+
+
+def _name_bits(name: str) -> int:
+    if name not in _bits:
+        if len(_bits) > 100_000:
+            _bits.clear()
+        _bits[name] = sum({1 << _code(word) % PATH for word in re.split(r"[^a-z0-9]+", name) if word})
+    return _bits[name]
+
+
+class Place:
+    """An open element: what its path says, and its container. Only the path below the root element counts."""
+
+    __slots__ = ("bits", "depth", "element", "main", "name", "other", "text", "up")
+
+    def __init__(self, up: Place | None, name: str):
+        self.up, self.name, self.element = up, name, name.split(" ")[0]
+        self.depth, self.text = (up.depth if up else 0) + 1, 0
+        self.bits = up.bits if up else 0
+        if up:
+            self.bits |= _name_bits(name)
+        self.main = bool(up and up.main) or self.element in _MAIN
+        self.other = bool(up and up.other) or self.element in _OTHER
+
+
+def place_of(*names: str) -> Place | None:
+    """The place of a path from the root element down."""
+    at = None
+    for name in names:
+        at = Place(at, name)
+    return at
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    place: Place | None
     text: str
     linked: int
 
 
-def _template_end(page: str, at: int) -> int:
-    """Behind the end tag of the template whose content begins here; without one, here."""
-    depth = 1
-    for tag in _TEMPLATE.finditer(page, at):
-        depth += -1 if tag[1] else 1
-        if not depth:
-            return tag.end()
-    return at
+class Tags:
+    """The tags of a page, in one pass: ``next(at)`` is (start, end, ends, name, rest), comments and the like without a name."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        """Behind the > that ends a tag whose attributes begin here."""
+        start = at
+        while self.quotes:
+            at = _PLAIN.match(self.page, at).end()
+            if self.page[at:at + 1] == ">":
+                return at + 1
+            # An opening quote, or the end of the page.
+            at = self.page.find(self.page[at], at + 1) + 1 if at < len(self.page) else 0
+            if not at:
+                self.quotes = False
+        return self.page.index(">", start) + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        found = _START.search(self.page, at)
+        if not found:
+            return None
+        start, behind = found.span()
+        if found[1]:
+            end = self.page.find("-->", behind)
+            return start, end + 3 if end >= 0 else len(self.page), False, "", ""
+        if behind > self.last:
+            return None
+        end = self._end(behind) if found[3] else self.page.index(">", behind) + 1
+        return start, end, bool(found[2]), (found[3] or "").lower(), self.page[behind:end - 1]
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Behind the end tag of an element without markup whose content begins here; without one, the end of the page."""
+    found = _RAW[name].search(page, at)
+    end = page.find(">", found.end()) if found else -1
+    return end + 1 if end >= 0 else len(page)
+
+
+def template_ends(page: str) -> dict[int, int]:
+    """Where the content of each closed template begins -> behind its end tag."""
+    out: dict[int, int] = {}
+    if not re.search("<template", page, re.I):
+        return out
+    tags, at, open_ = Tags(page), 0, []
+    while token := tags.next(at):
+        _, at, ends, name, rest = token
+        if name == "template" and rest[:1] in _SPACE:
+            if not ends:
+                open_.append(at)
+            elif open_:
+                out[open_.pop()] = at
+    return out
 
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, with decoded text."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # element, its path name
-    texts: list[str] = []
-    links, linked, at, foreign = 0, 0, 0, ""
     page = page or ""
+    tags, templates = Tags(page), template_ends(page)
+    here: Place | None = None
+    open_: Counter[str] = Counter()  # open elements by name
+    texts: list[str] = []
+    links, linked, at, foreign, inked = 0, 0, 0, "", False
 
     def close():
-        nonlocal linked
+        nonlocal linked, inked
         text = " ".join(html.unescape("".join(texts)).split())
-        if text and not any(name == "head" for name, _ in stack):
-            out.append(Block(tuple(n for _, n in stack), text, min(linked, len(text))))
+        if text and not open_["head"]:
+            out.append(Block(here, text, min(linked, len(text))))
         texts.clear()
-        linked = 0
+        linked, inked = 0, False
 
     def add(piece: str):
-        nonlocal linked
+        nonlocal linked, inked
         texts.append(piece)
+        inked = inked or bool(piece.strip())
         if links:
             linked += len(piece)
 
-    while token := _TOKEN.search(page, at):
-        if token.start() > at:
-            add(page[at:token.start()])
-        at = token.end()
-        name = (token[2] or "").lower()
+    def leave(name: str):
+        """Close elements up to the nearest one of this name."""
+        nonlocal here
+        while open_[name]:
+            open_[here.element] -= 1
+            here, done = here.up, here.element == name
+            if done:
+                return
+
+    while token := tags.next(at):
+        start, end, ends, name, rest = token
+        if start > at:
+            add(page[at:start])
+        at = end
         if not name:
             continue
-        ends, empty = bool(token[1]), token[3].endswith("/")
-        if name in _RAW and token[3][:1] in _SPACE:
+        empty, named = rest.endswith("/"), rest[:1] in _SPACE
+        if name in _RAW and named:
             if not ends and not (foreign and empty):
-                end = _RAW[name].search(page, at)
-                at = end.end() if end else len(page)
+                at = _raw_end(page, name, at)
             continue
-        if name == "template" and token[3][:1] in _SPACE:
-            at = at if ends else _template_end(page, at)
+        if name == "template" and named:
+            at = at if ends else templates.get(at, at)
             continue
-        if name in _FOREIGN and token[3][:1] in _SPACE:
+        if name in _FOREIGN and named:
             foreign = "" if ends and name == foreign else foreign if ends or foreign or empty else name
             continue
-        names = [n for n, _ in stack]
         if foreign:
-            if name not in _BREAKS_OUT and not (ends and name in names):
+            if name not in _BREAKS_OUT and not (ends and open_[name]):
                 if name in ("text", "desc", "mtext"):
                     texts.append(" ")
                 continue
@@ -128,53 +235,52 @@ def blocks(page: str | None) -> list[Block]:
             elif name == "br":
                 texts.append(" ")
             continue
-        if name in _EMBEDDED and (name not in names if ends else names[-1:] == ["p"] or any(map(str.strip, texts))):
+        last = here.element if here else ""
+        if name in _EMBEDDED and (not open_[name] if ends else last == "p" or inked):
             continue
         close()
         links = 0
         if ends:
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name):]
+            leave(name)
         elif name not in _VOID:
-            if name == "body" and "head" in names:
-                del stack[names.index("head"):]
-            elif name in _SELF_CLOSING and names and names[-1] == name:
-                stack.pop()
-            elif names and names[-1] == "p" and name not in _SELF_CLOSING:
-                stack.pop()
-            words = " ".join(m.strip("\"'").lower() for m in _NAMES.findall(token[3]))
-            stack.append((name, f"{name} {words}".strip()))
+            if name == "body" and open_["head"]:
+                while open_["head"]:
+                    leave("head")
+            elif (name in _SELF_CLOSING and last == name) or (last == "p" and name not in _SELF_CLOSING):
+                leave(last)
+            words = " ".join(m.strip("\"'").lower() for m in _NAMES.findall(rest))
+            here = Place(here, f"{name} {words}".strip())
+            open_[name] += 1
     if at < len(page):
         add(page[at:])
     close()
     return out
 
 
-_codes: dict[str, int] = {}
-
-
-def _code(word: str) -> int:
-    if word not in _codes:
-        if len(_codes) > 300_000:
-            _codes.clear()
-        _codes[word] = zlib.crc32(word.encode("utf-8", "replace"))
-    return _codes[word]
-
-
 def vectors(page: list[Block]) -> np.ndarray:
     """One row per block: path, words, and plain features."""
     out = np.zeros((len(page), PATH + WORDS + PLAIN), np.float32)
-    for i, block in enumerate(page):
-        for name in block.path[1:]:
-            for word in re.split(r"[^a-z0-9]+", name):
-                if word:
-                    out[i, _code(word) % PATH] = 1
+    above = [[p for p in (b.place, b.place and b.place.up, b.place and b.place.up and b.place.up.up) if p][1:] for b in page]
+    for places in above:
+        for p in places:
+            p.text = 0
+    total = 1
+    for block, places in zip(page, above, strict=True):
+        own = len(block.text) - block.linked
+        total += own
+        for p in places:
+            p.text += own
+    for i, (block, places) in enumerate(zip(page, above, strict=True)):
+        bits = block.place.bits if block.place else 0
+        out[i, :PATH] = np.unpackbits(np.frombuffer(bits.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
         codes = np.fromiter(map(_code, block.text.split()), np.int64)
         n = len(codes)
         counts = np.bincount(codes % WORDS, np.where(codes >> 8 & 1, 1.0, -1.0), WORDS)
         out[i, PATH:PATH + WORDS] = counts / max(1.0, np.sqrt(counts @ counts))
+        held = [p.text / total for p in places] + [0.0, 0.0]
         out[i, -PLAIN:] = (
-            np.log1p(n) / 5, block.linked / len(block.text), n < 4, block.text[-1] in ".!?…", i / len(page), len(block.path) / 10,
+            np.log1p(n) / 5, block.linked / len(block.text), n < 4, block.text[-1] in ".!?…", i / len(page),
+            min(block.place.depth if block.place else 0, 50) / 10, held[0], held[1],
         )
     return out
 
@@ -300,11 +406,9 @@ class Labeller:
         return out
 
 
-_MAIN = {"article", "main"}
-_OTHER = {"nav", "aside", "footer", "header", "form", "menu", "button"}
 _MAIN_LAYOUTS = [
     ("article",), ("main",), ("main", "article"), ("div content", "article post"), ("div container", "main main"), ("section story", "article entry"),
-    ("div main content", "div article body"), ("div post content",), ("div page", "div entry content"), ("div story body",), ("td content",),
+    ("div main content", "div article body"), ("div post content",), ("div page", "div entry content"), ("div story body",), ("td content",), ("div",), ("div", "div"), ("div text",), ("section",), ("table", "tr", "td"),
 ]
 _LEAVES = [("ul", "li"), ("ol", "li"), ("h2",), ("h3",), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("figure", "figcaption"), ("div", "p"), ("dl", "dd")]
 _OTHER_LAYOUTS = {
@@ -323,40 +427,59 @@ _AFTER = ["side", "comment", "comment", "foot", "ad", "form", "note", "nav", "fo
 
 def weak_labels(page: list[Block]) -> np.ndarray:
     """Labels from markup that names the main part, or else from the amount of text outside links."""
-    heads = [{name.split(" ")[0] for name in b.path} for b in page]
-    marked = any(h & _MAIN for h in heads)
-    good = [bool(h & _MAIN) if marked else len(b.text.split()) >= 8 and b.linked < 0.3 * len(b.text) for b, h in zip(page, heads, strict=True)]
-    return np.array([g and not h & _OTHER for g, h in zip(good, heads, strict=True)], np.float32)
+    marked = any(b.place and b.place.main for b in page)
+    good = [bool(b.place and b.place.main) if marked else len(b.text.split()) >= 8 and b.linked < 0.3 * len(b.text) for b in page]
+    return np.array([g and not (b.place and b.place.other) for g, b in zip(good, page, strict=True)], np.float32)
 
 
 def varied(page: list[Block], labels: np.ndarray, others: list[str], random: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     """The page in another layout: main blocks in a renamed container, other blocks and foreign ones around and between."""
     container = _MAIN_LAYOUTS[random.integers(len(_MAIN_LAYOUTS))]
     shell = ("html", "body", *(("div wrapper",) if random.random() < 0.5 else ()))
+    base = place_of(*shell)
+
+    def under(at: Place, path: tuple[str, ...]) -> Place:
+        for name in path:
+            at = Place(at, name)
+        return at
+
+    def short(text: str) -> str:
+        words = text.split()
+        cut = random.integers(0, len(words))
+        return " ".join(words[cut:cut + random.integers(1, 7)])
 
-    def extra(kinds: list[str], most: int, inside: tuple[str, ...] = ()) -> list[Block]:
+    def extra(kinds: list[str], most: int, at: Place) -> list[Block]:
         made = []
         for _ in range(random.integers(0, most + 1)):
             kind = kinds[random.integers(len(kinds))]
-            layouts = _OTHER_LAYOUTS[kind]
-            path = shell + inside + layouts[random.integers(len(layouts))]
+            path = _OTHER_LAYOUTS[kind][random.integers(len(_OTHER_LAYOUTS[kind]))]
+            group = under(at, path[:-1])
             for _ in range(random.integers(1, 9 if kind in ("nav", "comment") else 4)):
                 text = others[random.integers(len(others))]
                 if kind in ("nav", "form", "note") or random.random() < 0.3:
-                    words = text.split()
-                    cut = random.integers(0, len(words))
-                    text = " ".join(words[cut:cut + random.integers(1, 7)])
-                made.append(Block(path, text, len(text) if kind == "nav" else 0))
+                    text = short(text)
+                made.append(Block(Place(group, path[-1]), text, len(text) if kind == "nav" else 0))
         return made
 
-    def leaf(block: Block) -> tuple[str, ...]:
-        return _LEAVES[random.integers(len(_LEAVES))] if random.random() < 0.25 else (block.path[-1].split(" ")[0],)
-
-    main = [Block(shell + container + leaf(b), b.text, b.linked) for b, y in zip(page, labels, strict=True) if y]
-    before, after = extra(_BEFORE, 4), extra(_AFTER, 5)
+    top = under(base, container)
+    main: list[Block] = []
+    for b in (b for b, y in zip(page, labels, strict=True) if y):
+        if random.random() < 0.25:
+            path = _LEAVES[random.integers(len(_LEAVES))]
+            main.append(Block(under(top, path), b.text, b.linked))
+        else:
+            main.append(Block(Place(top, b.place.element if b.place else "p"), b.text, b.linked))
+        # Lists, tables, quotes and lines between the paragraphs belong to the text, short as they are.
+        if random.random() < 0.3:
+            path = _LEAVES[random.integers(len(_LEAVES))] if random.random() < 0.8 else ("p",)
+            group = under(top, path[:-1])
+            for _ in range(random.integers(1, 6)):
+                text = others[random.integers(len(others))]
+                main.append(Block(Place(group, path[-1]), short(text) if random.random() < 0.7 else text, 0))
+    before, after = extra(_BEFORE, 4, base), extra(_AFTER, 5, base)
     if len(main) > 2 and random.random() < 0.4:
         cut = int(random.integers(1, len(main)))
-        between = extra(["ad", "side", "note", "form"], 2, container)
+        between = extra(["ad", "side", "note", "form"], 2, top)
         body = main[:cut] + between + main[cut:]
         marks = [1] * cut + [0] * len(between) + [1] * (len(main) - cut)
     else:
@@ -374,7 +497,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller:
     random = np.random.default_rng(5)
     real = [(page, weak_labels(page)) for row in rows if (page := blocks(row.html))]
     others = [b.text for page, _ in real for b in page] or ["more"]
-    seen = [(p, y) for page, y in real for p, y in ((page, y), varied(page, y, others, random), varied(page, y, others, random)) if p]
+    seen = [(p, y) for page, y in real for p, y in ((page, y), *(varied(page, y, others, random) for _ in range(LAYOUTS))) if p]
     labeller = Labeller()
     if seen:
         labeller.fit([vectors(p) for p, _ in seen], [y for _, y in seen], EPOCHS)
