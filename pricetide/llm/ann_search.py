@@ -1,45 +1,54 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on at most ``SAMPLE_ROWS`` vectors (and at most ``SAMPLE_VALUES`` values), picked by hash; every
-vector is then put into its leaf, and a leaf is cut into packs of about ``PACK_ROWS`` rows, so a leaf that holds very
-many equal vectors is spread over tasks. A query takes nodes from a priority queue by inner product with their
-centres; the leaves it meets are visited in that order.
-
-How many leaves a query visits is calibrated: the true neighbours of ``CALIBRATION`` queries are found by brute force
-over all rows, and the number of visits grows by a quarter at a time until at least ``RECALL`` of these neighbours lie in the visited
-leaves. A query goes on beyond them until its leaves hold k + 1 rows, so it gets fewer than k neighbours only if there are
-fewer. Scores of what is found are exact, summed in the order of the components.
+Equal vectors are one entry of the index, named by their smallest vec_id and holding their k + 1 smallest ones, which is all
+that any answer can need of them. Queries with equal vectors are searched once, for k + 1 ids; each then leaves out its own.
+
+The tree is fitted on at most ``SAMPLE_ROWS`` entries (and at most ``SAMPLE_VALUES`` values) at a time, picked by hash: leaves
+that hold more than twice the wanted number of entries (``LEAF_ROWS``, or the square root of all if that is more) get a sample of
+their own and are split again until none is left or none can be split. Every entry is then put into its leaf. So the tree
+has about as many leaves as the square root of the entries, and its size (leaves x dimension) is the bound of the broadcast. A
+leaf is read in packs of about ``PACK_ROWS`` entries.
+
+A query takes nodes from a priority queue by inner product with their centres; the leaves it meets are visited in that
+order. How many it visits is calibrated, at every size of table alike: the true neighbours of ``CALIBRATION`` queries are found by
+brute force over all entries, and the number of visits grows by a quarter at a time until at least ``RECALL`` of these neighbours
+lie in the visited leaves. A query goes on beyond them until its leaves hold k + 1 entries, so it gets fewer than k neighbours
+only if there are fewer. The first leaves, up to k + 1 entries, give a query a k-th score; from its other leaves only what reaches
+this score leaves the task. Scores of what is found are exact, summed in the order of the components.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite components take no part. Rows
-with one vec_id are one vector, the smallest. Only vectors of equal length are compared; each length has its own tree. With
-few rows (at most 4 packs) all leaves are visited.
+with one vec_id are one vector, the smallest. Only vectors of equal length are compared; each length has its own tree.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepared, written
-from .vectors import bucket, packed, unpacked, usable
+from .vectors import packed, unpacked, usable
 
 SAMPLE_ROWS = 20_000
 SAMPLE_VALUES = 4_000_000
+SAMPLE_PER_LEAF = 20
 LEAF_ROWS = 256
-MAX_LEAVES = 1000
 BRANCHES = 8
 PACK_ROWS = 2048
 PACK_QUERIES = 512
 CALIBRATION = 64
 RECALL = 0.95
 KEPT_QUERIES = 20_000
+SALTS = 16
 
 HITS = "query_id long, vec_id long, score double"
+QUERY_PACK = "dim int, shard int, part int, query_ids binary, queries binary, least binary"
 
 
 @dataclass
@@ -74,6 +83,23 @@ class KMeansTree:
         near = _nearest(rows, centres)
         return [rows[near == j] for j in range(k) if (near == j).any()]
 
+    def split(self, node: Node, rows: np.ndarray, leaves: int) -> bool:
+        """Grow a leaf into several, fitted on its own sample; False if the sample cannot be parted."""
+        grown = self._grow(rows, max(1, len(rows) // max(2, leaves))) if len(rows) > 1 else Node(node.centre)
+        if not grown.children:
+            return False
+        node.children, node.leaf = grown.children, -1
+        return True
+
+    def leaf_nodes(self) -> dict[int, Node]:
+        out, stack = {}, [self.root]
+        while stack:
+            node = stack.pop()
+            stack += node.children
+            if not node.children:
+                out[node.leaf] = node
+        return out
+
     def place(self, rows: np.ndarray) -> np.ndarray:
         """The leaf of each row: the nearest child at every node."""
         out = np.zeros(len(rows), np.int32)
@@ -87,39 +113,45 @@ class KMeansTree:
             stack += [(child, at[near == j]) for j, child in enumerate(node.children) if (near == j).any()]
         return out
 
-    def visit(self, query: np.ndarray, count: int, rows: dict[int, int] | None = None, least: int = 0) -> list[int]:
-        """The first ``count`` leaves in the order of a best-bin-first search, and more until they hold ``least`` rows."""
-        queue, out, turn, held = [(0.0, 0, self.root)], [], 1, 0
+    def visit(self, query: np.ndarray, count: int, rows: dict[int, int], least: int) -> tuple[list[int], int]:
+        """The first ``count`` leaves with rows in the order of a best-bin-first search, and more until they hold ``least`` rows.
+
+        The second number tells with how many of them these rows are reached.
+        """
+        queue, out, turn, held, enough = [(0.0, 0, self.root)], [], 1, 0, 0
         while queue and (len(out) < count or held < least):
             _, _, node = heapq.heappop(queue)
             if not node.children:
-                out.append(node.leaf)
-                held += rows.get(node.leaf, 0) if rows else 0
+                if rows.get(node.leaf):
+                    out.append(node.leaf)
+                    enough += held < least
+                    held += rows[node.leaf]
                 continue
             for child in node.children:
                 heapq.heappush(queue, (-float(query @ child.centre), turn, child))
                 turn += 1
-        return out
+        return out, enough
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
-    """(query row, vec_id, score): the k best other rows of each query, equal scores by vec_id."""
+def best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, least: np.ndarray | None = None):
+    """(query row, vec_id, score): the k best rows of each query, equal scores by vec_id, none below ``least``."""
     rough = queries @ vectors.T
-    rough[query_ids[:, None] == ids] = -np.inf
-    if len(ids) > k:
-        kth = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
-    else:
-        kth = np.full(len(queries), -np.inf)
+    kth = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(queries), -np.inf)
+    if least is not None:
+        kth = np.maximum(kth, least)
     # A matrix product may round equal vectors apart: all within its error of the k-th are scored again, in order.
     scale = np.sqrt((queries**2).sum(axis=1)) * np.sqrt((vectors**2).sum(axis=1).max(initial=0.0))
-    q, v = np.nonzero((rough >= (kth - 1e-12 * scale)[:, None]) & (rough > -np.inf))
+    q, v = np.nonzero(rough >= (kth - 1e-12 * scale)[:, None])
     score = np.zeros(len(q))
     for d in range(queries.shape[1]):
         score += queries[q, d] * vectors[v, d]
+    if least is not None:
+        high = score >= least[q]
+        q, v, score = q[high], v[high], score[high]
     return _first(q, ids[v], score, k)
 
 
@@ -132,7 +164,7 @@ def _first(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
 
 
 def _search(k: int):
-    """Rows (dim, ids, vectors, query_ids, queries) -> hits; a task keeps the k best so far of its queries."""
+    """Rows (dim, ids, vectors, query_ids, queries, least) -> hits; a task keeps the k best so far of its queries."""
 
     def hits(batches):
         held: list[tuple] = []
@@ -146,7 +178,7 @@ def _search(k: int):
             for row in batch.to_pylist():
                 ids, vectors = unpacked(row["ids"], row["vectors"], row["dim"])
                 query_ids, queries = unpacked(row["query_ids"], row["queries"], row["dim"])
-                q, v, s = best(query_ids, queries, ids, vectors, k)
+                q, v, s = best(queries, ids, vectors, k, np.frombuffer(row["least"], "<f8"))
                 held.append((query_ids[q], v, s))
                 if sum(len(h[0]) for h in held) > KEPT_QUERIES * k:
                     flush()
@@ -164,117 +196,168 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _as_queries(packs: DataFrame) -> DataFrame:
-    return packs.select("dim", "shard", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+def entries(vectors: DataFrame, k: int) -> DataFrame:
+    """vec_id, dim, vector, ids: one row per distinct vector with its k + 1 smallest ids."""
+    kept = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit("fold")), F.lit(SALTS)))
+    # Salted first: what a hot vector sends to its last task does not grow with the number of tasks.
+    for by in (["dim", "vector", "salt"], ["dim", "vector"]):
+        kept = kept.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    ids = kept.groupBy("dim", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    return ids.select(F.get("ids", F.lit(0)).alias("vec_id"), "dim", "vector", "ids")
 
 
 @dataclass
 class Index:
     tree: KMeansTree
-    rows: DataFrame  # vec_id, dim, vector, leaf
+    rows: DataFrame  # vec_id, dim, vector, ids, leaf
+    held: dict[int, int]  # entries per leaf
     visits: int
 
 
-def build(vectors: DataFrame, n: int, is_query: Column, k: int) -> Index:
-    """Tree, rows with their leaves, and the calibrated number of visits for vectors of one length."""
-    spark = vectors.sparkSession
-    dim = vectors.select("dim").first()[0]
-    want = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
-    place = F.pmod(F.xxhash64("vec_id", F.lit("tree")), F.lit(1 << 30))
-    sample = vectors.where(place < (1 << 30) * min(1.0, 1.2 * want / n)).orderBy(place, "vec_id").limit(want).select("vector").collect()
-    tree = KMeansTree(np.array([r.vector for r in sample]).reshape(-1, dim), min(MAX_LEAVES, -(-n // LEAF_ROWS), max(1, len(sample) // 20)))
-    shared = spark.sparkContext.broadcast(tree)
+def _placed(rows: DataFrame, tree: KMeansTree) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def leaf(batches):
         for batch in batches:
-            rows = np.array(batch.column("vector").to_pylist(), float).reshape(batch.num_rows, -1)
-            yield batch.append_column("leaf", pa.array(shared.value.place(rows) if batch.num_rows else [], pa.int32()))
-
-    placed = written(vectors.mapInArrow(leaf, "vec_id long, dim int, vector array<double>, leaf int"), "leaves")
-    if n <= 4 * PACK_ROWS:
-        return Index(tree, placed, tree.leaves)
-    # True neighbours of a few queries over all rows, and how late a search would come to their leaves.
-    order = F.xxhash64("vec_id", F.lit("calibrate"))
-    asked = placed.where(is_query).orderBy(order, "vec_id").limit(CALIBRATION).select("vec_id", "vector").collect()
-    if not asked:
-        return Index(tree, placed, 1)
-    ids, queries = np.array([r.vec_id for r in asked]), np.array([r.vector for r in asked], float)
-    known = spark.sparkContext.broadcast((ids, queries))
+            vectors = np.array(batch.column("vector").to_pylist(), float).reshape(batch.num_rows, -1)
+            yield batch.append_column("leaf", pa.array(shared.value.place(vectors) if batch.num_rows else [], pa.int32()))
+
+    return rows.mapInArrow(leaf, f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, leaf int")
+
+
+def _sampled(rows: DataFrame, n: int, want: int) -> DataFrame:
+    """About ``want`` of ``n`` rows, never more, by the hash of their id."""
+    place = F.pmod(F.xxhash64("vec_id", F.lit("tree")), F.lit(1 << 30))
+    return rows.where(place < (1 << 30) * min(1.0, 1.2 * want / n)).orderBy(place, "vec_id").limit(want)
+
+
+def grown(rows: DataFrame, n: int, dim: int) -> tuple[KMeansTree, dict[int, int]]:
+    """The tree and the number of entries of each leaf."""
+    want, wide = max(2, min(SAMPLE_ROWS, SAMPLE_VALUES // dim)), max(LEAF_ROWS, math.isqrt(n))
+    sample = np.array([r.vector for r in _sampled(rows, n, want).select("vector").collect()], float).reshape(-1, dim)
+    tree = KMeansTree(sample, min(-(-n // wide), max(1, len(sample) // SAMPLE_PER_LEAF)))
+    final: set[int] = set()
+    while True:
+        at = _placed(rows.select("vec_id", "vector"), tree)
+        held = {r.leaf: r["count"] for r in at.groupBy("leaf").count().collect()}
+        large = {leaf: c for leaf, c in held.items() if c > 2 * wide and leaf not in final}
+        if not large:
+            return tree, held
+        inside = at.where(F.col("leaf").isin(list(large)))
+        parts: dict[int, list] = {}
+        for r in _sampled(inside, sum(large.values()), want).select("leaf", "vector").collect():
+            parts.setdefault(r.leaf, []).append(r.vector)
+        nodes = tree.leaf_nodes()
+        for leaf, c in large.items():
+            own = np.array(parts.get(leaf, []), float).reshape(-1, dim)
+            if not tree.split(nodes[leaf], own, min(-(-c // wide), max(2, len(own) // SAMPLE_PER_LEAF))):
+                final.add(leaf)
+
+
+def build(rows: DataFrame, asked: DataFrame, n: int, dim: int, k: int) -> Index:
+    """Tree, entries with their leaves, and the calibrated number of visits for vectors of one length."""
+    spark = rows.sparkSession
+    tree, held = grown(rows, n, dim)
+    placed = written(_placed(rows, tree), "leaves")
+    # True neighbours of a few queries over all entries, and how late a search would come to their leaves.
+    some = asked.orderBy(F.xxhash64("vec_id", F.lit("calibrate")), "vec_id").limit(CALIBRATION).select("vec_id", "vector").collect()
+    own_ids, queries = np.array([r.vec_id for r in some], np.int64), np.array([r.vector for r in some], float).reshape(-1, dim)
+    known = spark.sparkContext.broadcast(queries)
 
     def brute(batches):
-        q_ids, qs = known.value
-        held = []
+        qs, found = known.value, None
         for batch in batches:
-            if batch.num_rows:
-                rows = np.array(batch.column("vector").to_pylist(), float)
-                own, leaves = batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy()
-                q, v, s = best(q_ids, qs, own, rows, k)
-                order = own.argsort(kind="stable")
-                held.append((q, v, s, leaves[order[np.searchsorted(own, v, sorter=order)]]))
-        if held:
-            q, v, s, at = (np.concatenate(c) for c in zip(*held, strict=True))
-            turn = np.lexsort((v, -s, q))
-            starts = np.searchsorted(q[turn], np.arange(len(q_ids)))
-            rank = np.arange(len(turn)) - starts[q[turn]]
-            turn = turn[rank < k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[q[turn]], pa.int64()), pa.array(v[turn], pa.int64()), pa.array(s[turn], pa.float64()), pa.array(at[turn], pa.int32())],
-                ["query_id", "vec_id", "score", "leaf"],
-            )
-
-    near = placed.select("vec_id", "vector", "leaf").mapInArrow(brute, HITS + ", leaf int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    truth = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "leaf").collect()
-    turns = {int(i): {leaf: t for t, leaf in enumerate(tree.visit(q, tree.leaves))} for i, q in zip(ids, queries, strict=True)}
-    late = np.array([turns[r.query_id][r.leaf] for r in truth])
-    visits = 1
-    while visits < tree.leaves and (late < visits).mean() < RECALL:
+            if not batch.num_rows:
+                continue
+            own = batch.column("vec_id").to_numpy()
+            hits = best(qs, own, np.array(batch.column("vector").to_pylist(), float), k + 1)
+            found = hits if found is None else _first(*(np.concatenate(c) for c in zip(found, hits, strict=True)), k + 1)
+        if found is not None:
+            q, v, s = found
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+
+    near = _top(placed.select("vec_id", "vector").mapInArrow(brute, HITS), k + 1)
+    truth: dict[int, list] = {}
+    for r in near.join(placed.select("vec_id", "ids", "leaf"), "vec_id").select("query_id", "score", "ids", "leaf").collect():
+        truth.setdefault(r.query_id, []).extend((-r.score, i, r.leaf) for i in r.ids)
+    late = []
+    for q, found in truth.items():
+        turns = {leaf: t for t, leaf in enumerate(tree.visit(queries[q], len(held), held, 0)[0])}
+        late += [turns[leaf] for _, i, leaf in sorted(found)[:k + 1] if i != own_ids[q]][:k]
+    visits, late = 1, np.array(late)
+    while visits < len(held) and len(late) and (late < visits).mean() < RECALL:
         visits = -(-visits * 5 // 4) + 1
-    return Index(tree, placed, min(visits, tree.leaves))
+    return Index(tree, placed, held, min(visits, len(held)))
 
 
-def search(index: Index, is_query: Column, k: int) -> DataFrame:
-    """Hits of every query among the rows of the leaves it visits."""
-    spark = index.rows.sparkSession
-    shared = spark.sparkContext.broadcast(index.tree)
-    visits = index.visits
-    # One count per leaf; a query is among the rows itself, so k + 1 rows hold k others.
-    counts = {r.leaf: r["count"] for r in index.rows.groupBy("leaf").count().collect()}
+def _met(packs: DataFrame, each: DataFrame, k: int) -> DataFrame:
+    """Hits of queries (vec_id, dim, vector, least, shard) in the packs of their shards."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        return pd.DataFrame({
+            "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "part": [pdf["part"].iloc[0]],
+            "query_ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "queries": [np.stack(pdf["vector"].to_list()).astype("<f8").tobytes()],
+            "least": [pdf["least"].to_numpy("<f8").tobytes()],
+        })
+
+    sizes = each.groupBy("shard").agg(F.ceil(F.count("*") / PACK_QUERIES).alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id", F.lit("queries")), F.col("parts")).cast("int")
+    keyed = each.join(sizes, "shard").select("vec_id", "dim", "vector", "least", "shard", part.alias("part"))
+    asked = written(keyed.groupBy("dim", "shard", "part").applyInPandas(pack, QUERY_PACK), "asked")
+    met = packs.join(asked, ["dim", "shard"]).select("dim", "ids", "vectors", "query_ids", "queries", "least")
+    return met.mapInArrow(_search(k), HITS)
+
+
+def search(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best entries for each asked entry (vec_id, dim, vector) among the leaves it visits."""
+    shared = asked.sparkSession.sparkContext.broadcast(index.tree)
+    visits, held = index.visits, index.held
 
     def visit(batches):
         for batch in batches:
-            rows = [(i, v, shared.value.visit(np.array(v), visits, counts, k + 1)) for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([i for i, _, _ in rows], pa.int64()), batch.column("dim"), pa.array([v for _, v, _ in rows], pa.list_(pa.float64())),
-                    pa.array([leaves for _, _, leaves in rows], pa.list_(pa.int32())),
-                ],
-                ["vec_id", "dim", "vector", "leaves"],
-            )
-
-    # Packs of rows and of queries, both of bounded size, meet by leaf.
+            seen = [shared.value.visit(np.array(v), visits, held, k) for v in batch.column("vector").to_pylist()]
+            yield batch.append_column("leaves", pa.array([leaves for leaves, _ in seen], pa.list_(pa.int32()))).append_column("enough", pa.array([e for _, e in seen], pa.int32()))
+
+    # Packs of entries and of queries, both of bounded size, meet by leaf.
     sizes = index.rows.groupBy("leaf").agg(F.ceil(F.count("*") / PACK_ROWS).alias("packs"))
     part = F.pmod(F.xxhash64("vec_id", F.lit("pack")), F.col("packs"))
-    rows = packed(index.rows.join(sizes, "leaf").select("vec_id", "dim", "vector", F.col("leaf").alias("shard"), part.alias("part")))
-    queries = index.rows.where(is_query).select("vec_id", "dim", "vector").mapInArrow(visit, "vec_id long, dim int, vector array<double>, leaves array<int>")
-    queries = written(queries, "visits")
-    asked = queries.count()
-    parts = bucket("vec_id", max(1, -(-asked // PACK_QUERIES)), "queries")
-    each = queries.select("vec_id", "dim", "vector", F.explode("leaves").alias("shard"), parts.alias("part"))
-    met = written(rows, "rows").join(written(_as_queries(packed(each)), "asked"), ["dim", "shard"])
-    return met.select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(_search(k), HITS)
+    packs = written(packed(index.rows.join(sizes, "leaf").select("vec_id", "dim", "vector", F.col("leaf").alias("shard"), part.alias("part"))), "packs")
+    queries = written(asked.select("vec_id", "dim", "vector").mapInArrow(visit, "vec_id long, dim int, vector array<double>, leaves array<int>, enough int"), "visits")
+    lowest = F.lit(float("-inf")).alias("least")
+    first = queries.select("vec_id", "dim", "vector", lowest, F.explode(F.slice("leaves", F.lit(1), F.col("enough"))).alias("shard"))
+    near = written(_top(_met(packs, first, k), k), "near")
+    # A query that has k entries already takes from its other leaves only what reaches the k-th score.
+    bounds = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    rest = queries.where(F.size("leaves") > F.col("enough")).join(bounds, "vec_id", "left")
+    rest = rest.select("vec_id", "dim", "vector", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.explode(F.slice("leaves", F.col("enough") + 1, F.size("leaves"))).alias("shard"))
+    return _top(near.select("query_id", "vec_id", "score").unionByName(_met(packs, rest, k)), k)
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: about the k largest inner products for each row that ``is_query`` holds of."""
     spark = prepared(rows.sparkSession)
     vectors = written(usable(rows, zero=False), "vectors")
-    dims = vectors.groupBy("dim").count().orderBy("dim").collect()  # one row per length of vector
-    hits = spark.createDataFrame([], HITS)
-    for dim, n in dims:
-        own = vectors.where(F.col("dim") == dim)
-        hits = hits.unionByName(search(build(own, n, is_query, k), is_query, k))
-    return _top(hits, k)
+    distinct = written(entries(vectors, k), "entries")
+    # Each query and the entry that stands for its vector.
+    stands = distinct.select(F.col("vec_id").alias("entry"), "dim", "vector")
+    asking = written(vectors.where(is_query).join(stands, ["dim", "vector"]).select(F.col("vec_id").alias("query_id"), "entry"), "queries")
+    asked = written(distinct.join(asking.select(F.col("entry").alias("vec_id")).distinct(), "vec_id", "left_semi"), "asked-entries")
+    dims = asked.groupBy("dim").count().orderBy("dim").collect()  # one row per length of vector
+    sizes = {r["dim"]: r["count"] for r in distinct.groupBy("dim").count().collect()}
+    hits = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for dim, _ in dims:
+        own = asked.where(F.col("dim") == dim)
+        index = build(distinct.where(F.col("dim") == dim), own, sizes[dim], dim, k)
+        hits = hits.unionByName(search(index, own, k + 1).select("query_id", "vec_id", "score"))
+    # From entries to ids: of k + 1 ids one may be the query's own.
+    each = hits.join(distinct.select("vec_id", "ids"), "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score")
+    answers = _top(each, k + 1).groupBy(F.col("query_id").alias("entry")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("found")
+    )
+    others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = asking.join(answers, "entry").select("query_id", F.posexplode(others).alias("place", "x"))
+    return out.select("query_id", (F.col("place") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op3_ann_search(rows: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def test_sql(spark, duck, data_dir, name):
     result = duck.execute(SQL[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(frame.columns)
-    assert sorted(tuple(r[c] for c in columns) for r in frame.collect()) == sorted(result.fetchall())
+    assert sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr) == sorted(result.fetchall(), key=repr)
 
 
 def jaccard(a, b):

@@ -29,21 +29,81 @@ def test_raw_elements_end_with_the_page():
     assert [b.text for b in html_text.blocks("<p>One.</p><script>if (a) { <p>Two.</p>")] == ["One."]
 
 
+def neighbours_of(rows):
+    out = {}
+    for r in rows.collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(found) for q, found in out.items()}
+
+
 def test_small_clusters_beside_a_hot_one_get_all_neighbours(spark):
+    """3,000 copies, and clusters of five: one visited leaf is not enough."""
     prepared(spark)
     centres = np.eye(8)
     tree = ann_search.KMeansTree(centres[:1], 1)
     tree.root = ann_search.Node(centres.mean(axis=0), [ann_search.Node(c, leaf=i) for i, c in enumerate(centres)])
     tree.leaves = len(centres)
-    # Leaf 0 holds 3,000 copies, the others 5 rows each.
-    rows = [(i, 8, [float(x) for x in centres[0 if i < 3000 else 1 + (i - 3000) // 5]]) for i in range(3035)]
-    placed = spark.createDataFrame([(i, d, v, v.index(1.0)) for i, d, v in rows], "vec_id long, dim int, vector array<double>, leaf int")
-    asked = F.col("vec_id") % 5 == 0
-    hits = ann_search._top(ann_search.search(ann_search.Index(tree, placed, 1), asked, 20), 20)
-    counts = {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()}
-    assert counts == {i: 20 for i in range(0, 3035, 5)}
-    own = {r.vec_id for r in hits.where("query_id = 3000 AND rank <= 4").collect()}
-    assert own == {3001, 3002, 3003, 3004}
+    rng = np.random.default_rng(1)
+    vectors = [centres[0 if i < 300 else 1 + (i - 300) // 5] * (1 + rng.random()) for i in range(335)]
+    placed = spark.createDataFrame(
+        [(i, 8, v.tolist(), [i], int(v.argmax())) for i, v in enumerate(vectors)], "vec_id long, dim int, vector array<double>, ids array<long>, leaf int"
+    )
+    asked = placed.where("vec_id % 5 = 0").select("vec_id", "dim", "vector")
+    held = {0: 300, **{i: 5 for i in range(1, 8)}}
+    got = neighbours_of(ann_search.search(ann_search.Index(tree, placed, held, 1), asked, 21))
+    assert {q: len(found) for q, found in got.items()} == {i: 21 for i in range(0, 335, 5)}
+    assert {v for _, v, _ in got[300][:5]} == {300, 301, 302, 303, 304}
+
+
+def test_equal_vectors_are_searched_once(spark):
+    """10,000 equal vectors among others: ties to smaller ids, own id left out, no hit per pair."""
+    rng = np.random.default_rng(2)
+    hot, others = [3.0, 0.0, 1.0, 0.0], rng.normal(size=(200, 4)).tolist()
+    rows = [(i, hot if i % 51 else others[i // 51]) for i in range(10_200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours_of(ann_search.op3_ann_search(table))
+    assert len(got) == 510 and all([r for r, _, _ in found] == list(range(1, 21)) for found in got.values())
+    vectors = np.array([v for _, v in rows])
+    hit = total = 0
+    for q, found in got.items():
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        true = np.lexsort((np.arange(len(rows)), -scores))[:20]
+        hit, total = hit + len(set(true) & {v for _, v, _ in found}), total + 20
+        if q % 51:
+            ten = 10.0 * np.ones(20)
+            assert [s for _, v, s in found if rows[v][1] == hot] == [s for s in ten[:sum(rows[v][1] == hot for _, v, _ in found)]]
+            own = [v for _, v, _ in found if rows[v][1] == hot]
+            assert own == [i for i in range(10_200) if i % 51 and i != q][:len(own)]
+    assert hit / total >= 0.9
+    entries = ann_search.entries(ann_search.usable(table, zero=False), 20)
+    assert entries.count() == 201 and entries.agg(F.max(F.size("ids"))).first()[0] == 21
+
+
+def test_large_leaves_are_split_until_small(spark):
+    """A dense half and a scattered half: no leaf stays large, and all sizes take one path."""
+    rng = np.random.default_rng(3)
+    vectors = np.vstack([rng.normal(size=(1, 6)) + 0.001 * rng.normal(size=(4000, 6)), rng.normal(size=(4000, 6))])
+    rows = ann_search.entries(ann_search.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"), False), 20)
+    tree, held = ann_search.grown(rows, 8000, 6)
+    assert sum(held.values()) == 8000 and max(held.values()) <= 2 * ann_search.LEAF_ROWS
+    assert ann_search.build(rows, rows.where("vec_id % 20 = 0"), 8000, 6, 20).visits < len(held)
+
+
+def test_recall_on_many_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(500, 24))
+    vectors = centres[rng.integers(500, size=50_000)] + 0.2 * rng.normal(size=(50_000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = neighbours_of(ann_search.op3_ann_search(rows))
+    assert len(got) == 2500 and all(len(found) == 20 for found in got.values())
+    hits = 0
+    for q in range(0, 50_000, 500):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len({v for _, v, _ in got[q]} & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+        assert all(s == pytest.approx(scores[v], abs=1e-12) for _, v, s in got[q])
+    assert hits / (100 * 20) >= 0.9
 
 
 def test_rare_secrets_are_learned_from_in_a_large_table(spark):
