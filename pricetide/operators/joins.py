@@ -2,16 +2,17 @@
 
 No operator here pairs up all rows of a group: nearest and next matches come from ordered
 carries or ``min_by``, intervals are matched through the calendar years they touch, and
-patterns are tested once per distinct name. Only passages of one or two words are searched for in every text.
+patterns are tested once per distinct name; passages meet texts on runs of words or characters.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_text
-from ..session import settle
 from .segments import carry, neighbours
 
 
@@ -210,49 +211,63 @@ def quote_check(quotes: DataFrame, pages: DataFrame, key: str, quote: str = "quo
 
 
 def contained_passages(
-    texts: DataFrame, text_id: str, text: str, passages: DataFrame, passage_id: str, passage: str, words: int = 4
+    texts: DataFrame, text_id: str, text: str, passages: DataFrame, passage_id: str, passage: str, words: int = 4, grams: int = 3
 ) -> DataFrame:
     """``(text_id, passage_id)`` for every passage found whole inside a text, without a shared key.
 
     A text that holds a passage holds the passage's inner words as whole words, so the two meet on a run of ``words``
-    inner words, or of all inner words if there are fewer, and only those pairs are compared in full. A passage's anchor
-    is its run that the fewest texts hold. A passage of one or two words has no inner word, and every text is searched for it.
+    inner words, or of all inner words if there are fewer. A passage of one or two words has no inner word and may stand within
+    words: it meets texts on its runs of ``grams`` characters (of all its characters if it is shorter). Texts post the kinds of runs that
+    some passage asks for; a passage's anchor is its run that the fewest texts hold, and only texts that hold the anchor are
+    compared in full. An empty passage is in every text that is not null. One lazy plan: both uses of the posts share one shuffle.
     """
     t = texts.select(text_id, normalize_text(text).alias("__t"))
     p = passages.select(passage_id, normalize_text(passage).alias("__p")).where(F.col("__p").isNotNull())
-    n_words = F.size(F.split("__p", " "))
+    runs = [(n, partial(_word_runs, n=n)) for n in range(1, words + 1)] + [(-n, partial(_character_runs, n=n)) for n in range(1, grams + 1)]
+    none = F.expr("CAST(array() AS array<struct<kind:int,h:bigint>>)")
+
+    def keyed(text: Column, wanted) -> Column:
+        """(kind, hash) of the runs of the wanted kinds."""
+        def of_kind(k: int, hashes: Column) -> Column:
+            return F.transform(hashes, lambda h: F.struct(F.lit(k).alias("kind"), h.alias("h")))
 
-    def runs(w: str, n: int) -> Column:
-        """Hashes of the runs of n words."""
-        shifted = F.arrays_zip(*[F.slice(w, k + 1, F.size(w)).alias(f"w{k}") for k in range(n)])
-        hashes = F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(n)]))
-        return F.slice(hashes, 1, F.greatest(F.size(w) - (n - 1), F.lit(0)))
-
-    def keyed(hashes: Column, n: int) -> Column:
-        return F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
-
-    none = F.expr("CAST(array() AS array<struct<n:int,h:bigint>>)")
-    long = p.where(n_words >= 3).select("__p").distinct().withColumn("__w", F.split("__p", " "))
-    long = long.withColumn("__n", F.least(F.size("__w") - 2, F.lit(words)))
-    inner = long.select("__p", "__n", F.slice("__w", 2, F.size("__w") - 2).alias("__w"))
-    own = F.concat(*[F.when(F.col("__n") == n, keyed(runs("__w", n), n)).otherwise(none) for n in range(1, words + 1)])
-    own = inner.select("__p", F.explode(own).alias("__a"))
-    # Texts post runs of the lengths that some passage asks for.
-    lengths = long.agg(F.collect_set("__n").alias("__ns"))  # one row
-    split = t.select(text_id, F.split("__t", " ").alias("__w")).crossJoin(lengths)
-    posts = F.concat(*[F.when(F.array_contains("__ns", n), keyed(runs("__w", n), n)).otherwise(none) for n in range(1, words + 1)])
-    posts = split.select(text_id, F.explode(posts).alias("__a"))
-    met = settle(posts.join(own.select("__a").distinct(), "__a", "left_semi"))
-    # The rarest run; a run that no text holds leaves its passage out.
-    counts = met.groupBy("__a").agg(F.count(F.lit(1)).alias("__c"))
-    counted = own.join(counts, "__a", "left").select("__p", "__a", F.coalesce("__c", F.lit(0)).alias("__c"))
-    anchor = counted.groupBy("__p").agg(F.min_by("__a", F.struct("__c", "__a")).alias("__a"), F.min("__c").alias("__c")).where("__c > 0")
+        return F.concat(*[F.when(wanted(k), of_kind(k, of(text))).otherwise(none) for k, of in runs])
+
+    n_words = F.size(F.split("__p", " "))
+    kind = F.when(n_words >= 3, F.least(n_words - 2, F.lit(words))).otherwise(-F.least(F.length("__p"), F.lit(grams)))
+    distinct = p.where("__p != ''").select("__p").distinct().withColumn("__kind", kind)
+    inner = F.when(n_words >= 3, F.array_join(F.slice(F.split("__p", " "), F.lit(2), n_words - 2), " ")).otherwise(F.col("__p"))
+    own = distinct.select("__p", "__kind", inner.alias("__x"))
+    own = own.select("__p", F.explode(keyed(F.col("__x"), lambda k: F.col("__kind") == k)).alias("__a"))
+    # Kinds that no passage asks for are not posted; the set is one value, read as a subquery.
+    asked = distinct.agg(F.collect_set("__kind")).scalar()
+    posts = keyed(F.col("__t"), lambda k: F.array_contains(asked, F.lit(k)))
+    posts = t.select(F.col(text_id).alias("__id"), F.explode(posts).alias("__a"))
+    met = posts.join(own.select("__a").distinct(), "__a", "left_semi")
+    # An id is taken along so that this shuffle of posts is the same one that the pairs read.
+    counts = met.groupBy("__a").agg(F.count(F.lit(1)).alias("__c"), F.max("__id").alias("__some"))
+    anchor = own.join(counts, "__a").groupBy("__p").agg(F.min_by("__a", F.struct("__c", "__a", "__some")).alias("__a"))
     # The text itself comes back by id only for the texts that met an anchor.
-    found = met.join(anchor.select("__p", "__a"), "__a").select(F.col(text_id).alias("__id"), "__p").distinct()
+    found = met.join(anchor, "__a").select("__id", "__p").distinct()
     pairs = found.join(t, F.col("__id").eqNullSafe(F.col(text_id))).where(F.contains("__t", "__p")).select(text_id, "__p")
-    pairs = pairs.join(p.where(n_words >= 3), "__p").select(text_id, passage_id)
-    short = t.join(p.where(n_words < 3), F.contains("__t", "__p")).select(text_id, passage_id)
-    return pairs.unionByName(short)
+    pairs = pairs.join(p, "__p").select(text_id, passage_id)
+    empty = p.where("__p = ''").agg(F.collect_list(passage_id)).scalar()
+    everywhere = t.where(F.col("__t").isNotNull()).select(text_id, F.explode(empty).alias(passage_id))
+    return pairs.unionByName(everywhere)
+
+
+def _word_runs(text: Column, n: int) -> Column:
+    """Hashes of the distinct runs of n words."""
+    w = F.split(text, " ")
+    shifted = F.arrays_zip(*[F.slice(w, k + 1, F.size(w)).alias(f"w{k}") for k in range(n)])
+    hashes = F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(n)]))
+    return F.array_distinct(F.slice(hashes, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0))))
+
+
+def _character_runs(text: Column, n: int) -> Column:
+    """Hashes of the distinct runs of n characters, from one pass of a pattern that looks ahead."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    return F.transform(found, lambda x: F.xxhash64(x))
 
 
 def repost_gap(df: DataFrame, keys: list[str], ts: str, tie: str, days: float, segment: str = "DAY") -> DataFrame:

@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 from pricetide.operators.joins import contained_passages
 from pricetide.sources import readers as R
 
@@ -17,6 +19,19 @@ def test_short_passages_are_found_beside_long_ones(spark):
     assert sorted(map(tuple, have.collect()), key=str) == sorted(want, key=str)
 
 
+def test_passages_inside_words(spark):
+    """Pieces of one to eight characters, cut anywhere, with spaces inside or not."""
+    rng = random.Random(1)
+    texts = [(i, "".join(rng.choices("abé d", k=rng.randint(0, 60)))) for i in range(120)]
+    pieces = ["".join(rng.choices("abé d", k=rng.randint(1, 8))) for _ in range(150)] + ["z", "zz", "aéb😀", "😀"]
+    texts += [(500, "x😀y aéb😀 end")]
+    passages = list(enumerate(pieces))
+    have = contained_passages(spark.createDataFrame(texts, "d int, t string"), "d", "t", spark.createDataFrame(passages, "p int, q string"), "p", "q")
+    assert "NestedLoop" not in have._jdf.queryExecution().executedPlan().toString()
+    want = {(d, p) for d, t in texts for p, q in passages if " ".join(q.split()) in " ".join(t.split())}
+    assert {tuple(r) for r in have.collect()} == want and len(want) > 500
+
+
 def test_xml_facts_with_a_default_namespace(spark, tmp_path):
     (tmp_path / "one.xml").write_text(XML)
     (tmp_path / "two.xml").write_text(XML.replace("xbrli:", "").replace("12.5", "13.5"))
