@@ -61,16 +61,12 @@ def chain_index(spark, folder):
     return rounded(rounded(rounded(index, 6, "log_level"), 4, "index"), 9, "p_median", "p_min")
 
 
-@query("intersect_items", f"""WITH q AS ({QUOTES_SQL})
-  SELECT section, key FROM q WHERE month = DATE '1998-01-01' INTERSECT
-  SELECT section, key FROM q WHERE month = DATE '1998-02-01'""")
+@query("intersect_items", f"""WITH q AS ({QUOTES_SQL}), m AS (SELECT DISTINCT month, section, key FROM q)
+  SELECT month, section, key FROM m INTERSECT SELECT CAST(month - INTERVAL 1 MONTH AS DATE), section, key FROM m""")
 def intersect_items(spark, folder):
-    q = quotes(spark, folder).withColumn("month", bucket("day"))
-
-    def items(month: str):
-        return q.where(F.col("month") == F.lit(month).cast("date")).select("section", "key")
-
-    return items("1998-01-01").intersect(items("1998-02-01"))
+    """Items of each month that the next month has too."""
+    q = quotes(spark, folder).select(bucket("day").alias("month"), "section", "key").distinct()
+    return q.intersect(q.withColumn("month", F.add_months("month", -1)))
 
 
 @query("monthly_median", f"""WITH q AS ({PART_QUOTES_SQL})
@@ -104,11 +100,11 @@ def quarterly_pool(spark, folder):
 
 
 @query("two_level_mean", f"""WITH q AS ({PART_QUOTES_SQL}),
-  m AS (SELECT month, p_brand, quantile_cont(price, 0.5) AS med FROM q WHERE p_type = 'ECONOMY' GROUP BY 1, 2)
-  SELECT month, round(avg(med), 4) AS value FROM m GROUP BY 1""")
+  m AS (SELECT p_type, month, p_brand, quantile_cont(price, 0.5) AS med FROM q GROUP BY 1, 2, 3)
+  SELECT p_type, month, round(avg(med), 4) AS value FROM m GROUP BY 1, 2""")
 def two_level_mean(spark, folder):
-    q = part_quotes(spark, folder).where("p_type = 'ECONOMY'").withColumn("month", bucket("day"))
-    return rounded(A.two_level(q, ["month"], ["p_brand"], "price"), 4, "value")
+    q = part_quotes(spark, folder).withColumn("month", bucket("day"))
+    return rounded(A.two_level(q, ["p_type", "month"], ["p_brand"], "price"), 4, "value")
 
 
 @query("quarterly_increments", f"""WITH q AS ({PART_QUOTES_SQL}),

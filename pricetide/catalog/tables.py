@@ -143,10 +143,10 @@ def sample_hash(spark, folder):
 
 # --- sections, horizons, refreshes ---------------------------------------------
 
-@query("cutover_union", f"""WITH q AS ({QUOTES_SQL}), u AS (SELECT month, price FROM q WHERE section = 'N' OR (section = 'A' AND day < DATE '1998-07-01'))
+@query("cutover_union", f"""WITH q AS ({QUOTES_SQL}), u AS (SELECT month, price FROM q WHERE section = 'N' OR day < DATE '1998-07-01')
   SELECT month, round(quantile_cont(price, 0.5), 9) AS value, count(*) AS n FROM u GROUP BY 1""")
 def cutover_union(spark, folder):
-    used = I.spliced(quotes(spark, folder).where(F.col("section").isin("A", "N")), "section", "day", "N", "1998-07-01")
+    used = I.spliced(quotes(spark, folder), "section", "day", "N", "1998-07-01")
     return rounded(A.monthly(used, [], "day", "price", count="n"), 9, "value")
 
 
@@ -256,12 +256,14 @@ def basket_summary(spark, folder):
     return rounded(A.basket(listings, ["p_brand", "month"], "price", "in_stock"), 9, "median_listing", "price", "min_any_listing")
 
 
-@query("pattern_join", """SELECT p_partkey, CASE p_name WHEN 'blue bolt' THEN 'cool' WHEN 'red ring' THEN 'warm' END AS label
-  FROM part WHERE p_name IN ('blue bolt', 'red ring')""")
+# One pattern per distinct name: its last character may be any letter.
+@query("pattern_join", """WITH patterns AS (SELECT DISTINCT replace(p_name, ' ', '_') AS label, '^' || regexp_replace(p_name, '.$', '[a-z]') || '$' AS pattern FROM part)
+  SELECT p_partkey, label FROM part JOIN patterns ON regexp_matches(p_name, pattern)""")
 def pattern_join(spark, folder):
-    patterns = {"cool": "^blue bol", "warm": "^red r.*g$"}
-    return J.pattern_join(table(spark, folder, "part").select("p_partkey", "p_name"), patterns, "p_name").drop("p_name")
-
+    parts = table(spark, folder, "part").select("p_partkey", "p_name")
+    pattern = F.concat(F.lit("^"), F.regexp_replace("p_name", ".$", "[a-z]"), F.lit("$")).alias("pattern")
+    patterns = parts.select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("label"), pattern).distinct()
+    return J.pattern_join(parts, patterns, "p_name").drop("p_name")
 
 
 # --- aging, attribution, generations --------------------------------------------

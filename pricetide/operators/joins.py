@@ -82,14 +82,40 @@ def month_targets(per_month: int) -> list[int]:
     return [1 + round(i * 30 / per_month) for i in range(per_month)]
 
 
-def pattern_join(df: DataFrame, patterns: dict[str, str], name: str, label: str = "label") -> DataFrame:
+def plain_part(pattern: Column) -> Column:
+    """The longest run of characters that every match of a pattern holds; empty where the pattern names none.
+
+    Groups, classes, escapes and what a quantifier makes optional count as unknown; so does all of a pattern with alternatives
+    outside of groups.
+    """
+    cut = F.regexp_replace(pattern, r"\\.", "\u0001")
+    cut = F.regexp_replace(cut, r"\[\^?\]?[^\]]*\](?:[*?+]|\{[^}]*\})?", "\u0001")
+    for _ in range(4):  # groups from the inside out
+        cut = F.regexp_replace(cut, r"\([^()]*\)(?:[*?+]|\{[^}]*\})*", "\u0001")
+    nested, either = F.contains(cut, F.lit("(")), F.contains(cut, F.lit("|"))
+    cut = F.regexp_replace(cut, r"(?s).(?:[*?]|\{[^}]*\})[?+]?", "\u0001")
+    runs = F.split(F.regexp_replace(cut, r"[.^$+*?{}()|]", "\u0001"), "\u0001+")
+    longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))), -1)["r"]
+    return F.when(nested | either, F.lit("")).otherwise(longest)
+
+
+def pattern_join(df: DataFrame, patterns: DataFrame | dict[str, str], name: str, label: str = "label") -> DataFrame:
     """Rows labelled by each pattern their name matches; a pattern that matches several names is an error.
 
-    Names are reduced to distinct values before any pattern is tested. A name that several
-    patterns match gives a row for each.
+    Names are reduced to distinct values before any pattern is tested. A name that several patterns match gives a row for
+    each. ``patterns`` is a table of ``(label, pattern)``, which meets names on the plain part of each pattern, or a handful
+    of rules as a dict, each of which is tested on every name. A pattern of the table without a plain part is an error.
     """
-    hits = F.array_compact(F.array(*[F.when(F.col(name).rlike(rx), F.lit(key)) for key, rx in patterns.items()]))
-    labelled = df.select(name).distinct().select(name, F.explode(hits).alias(label))
+    distinct = df.select(name).where(F.col(name).isNotNull()).distinct()
+    if isinstance(patterns, dict):
+        hits = F.array_compact(F.array(*[F.when(F.col(name).rlike(rx), F.lit(key)) for key, rx in patterns.items()]))
+        labelled = distinct.select(name, F.explode(hits).alias(label))
+    else:
+        plain = normalize_text(plain_part(F.col("pattern")))
+        complaint = F.concat(F.lit("no plain part in pattern "), F.col("pattern"))
+        rules = patterns.select(label, "pattern", F.when(plain != "", plain).otherwise(F.raise_error(complaint).cast("string")).alias("__plain"))
+        met = contained_passages(distinct.withColumn("__name", F.col(name)), name, "__name", rules.select("__plain", F.col("__plain").alias("__q")).distinct(), "__plain", "__q")
+        labelled = met.join(rules, "__plain").where(F.rlike(F.col(name), F.col("pattern"))).select(name, label)
     names = labelled.groupBy(label).agg(F.count("*").alias("__n"), F.min(name).alias("__one"), F.max(name).alias("__other"))
     complaint = F.concat(F.col(label), F.lit(" matches several names: "), F.col("__one"), F.lit(", "), F.col("__other"))
     single = F.when(F.col("__n") == 1, F.col("__one")).otherwise(F.raise_error(complaint).cast("string"))

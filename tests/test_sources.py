@@ -169,3 +169,18 @@ def test_value_in_text(spark):
     df = spark.createDataFrame([(i, t, v, d, 900) for i, (t, v, d, _) in enumerate(rows)], "i int, t string, v int, d boolean, y int")
     for r in value_in_text(df, "t", "v", "revenue|sales", "d", "y").collect():
         assert r["match_type"] == rows[r["i"]][3], rows[r["i"]][0]
+
+
+def test_patterns_as_a_table(spark):
+    from pyspark.sql import functions as F
+
+    from pricetide.operators.joins import plain_part
+
+    want = {r"^RTX 3080$": "RTX 3080", r"\bGTX 10[678]0( Ti)?\b": "GTX 10", r"RX ?9070 XT(?! 2)": "9070 XT", "a|b": "", "((a)b)+cd*ef": "ef", "x{2}yz[ab]+": "yz", r"\.": ""}
+    rows = spark.createDataFrame(list(want.items()), "pattern string, want string").select(plain_part(F.col("pattern")).alias("have"), "want").collect()
+    assert all(r.have == r.want for r in rows), rows
+    names = spark.createDataFrame([("GTX 1080 Ti", 1), ("GTX 1080", 2), ("RX 9070 XT", 3), ("RX 9070 XT", 4), (None, 5), ("other", 6)], "device string, n int")
+    rules = spark.createDataFrame([("p", r"^GTX 1080$"), ("ti", r"1080 Ti"), ("amd", r"^RX ?9070 XT(?! 2)")], "label string, pattern string")
+    assert {tuple(r) for r in pattern_join(names, rules, "device").select("n", "label").collect()} == {(2, "p"), (1, "ti"), (3, "amd"), (4, "amd")}
+    with pytest.raises(Exception, match="no plain part"):
+        pattern_join(names, spark.createDataFrame([("x", "a|b")], "label string, pattern string"), "device").collect()
