@@ -66,8 +66,7 @@ VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 def flat(text: Column) -> Column:
     """The words of a text, one space before, between and behind them; one space if there is none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    trimmed = F.trim(F.regexp_replace(lowered, NOT_WORD, " "))
-    return F.when(trimmed == "", " ").otherwise(F.concat(F.lit(" "), trimmed, F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), NOT_WORD, " ")
 
 
 def spaces(text: Column) -> Column:
@@ -132,7 +131,9 @@ def template_share(words: Column, present: Column, text: str, keys: list[str], i
         return F.aggregate(table, F.lit(0.0), lambda acc, t: acc + hit(t)) / F.lit(sum(idf[w] for w in own))
 
     best = F.array_max(F.transform(F.filter(agreed, verified), share))
-    return F.when(F.size(rare) == ANCHORS, F.coalesce(best, F.lit(0.0))).otherwise(0.0)
+    # A file without some word of the key phrases need not be asked for starts.
+    lacking = F.array_except(F.array(*map(F.lit, sorted({w for key in keys for w in key.split()}))), present)
+    return F.when((F.size(lacking) == 0) & (F.size(rare) == ANCHORS), F.coalesce(best, F.lit(0.0))).otherwise(0.0)
 
 
 def scanned(docs: DataFrame, *keep: str) -> DataFrame:
@@ -147,9 +148,7 @@ def scanned(docs: DataFrame, *keep: str) -> DataFrame:
     places = [F.col(f"_p{i}") for i in range(len(base))]
     # A template needs its first key phrase, so a text without the rarest word of any first phrase is passed by.
     telling = [min(keys[0].split(), key=lambda w: (-idf[w], w)) for _, _, keys in TEMPLATES]
-    asked = F.lit(False)
-    for word in sorted(set(telling)):
-        asked = asked | F.contains(line, F.lit(f" {word} "))
+    asked = line.rlike(f" (?:{'|'.join(sorted(set(telling)))}) ")
     rows = rows.withColumn("_words", F.when(asked, words_of(line)).otherwise(empty))
     rows = rows.withColumn("_present", F.array_intersect(F.array(*map(F.lit, VOCABULARY)), F.col("_words")))
     shares = [template_share(F.col("_words"), F.col("_present"), text, keys, idf) for _, text, keys in TEMPLATES]
