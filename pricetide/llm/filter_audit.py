@@ -1,8 +1,9 @@
 """Filter interaction audit: what each filter removes, alone and behind the others, in every order of the filters.
 
 The files of a table are read as a stream, in available-now micro-batches. Four filters are functions of the text alone and are
-computed while it is scanned; the fifth (a smaller doc_id has the same text) needs memory. Each text is a key of a stateful
-operator (its SHA-256; texts themselves are not kept) whose state is the smallest doc_id seen so far and the counts of its rows.
+computed while it is scanned; the fifth (a smaller doc_id has the same text) needs memory. The state of a stateful operator keeps
+for each text (by its SHA-256; texts themselves are not kept) the smallest doc_id seen so far and the counts of its rows. Texts share
+a state key by their digest, about ``KEY_TEXTS`` of them whatever the size of the table, so that Python is called once for many.
 A row with a larger id adds one to the counter of its mask with the duplicate bit. A smaller id takes the place of the
 least one: the rows counted for the old one are taken back (a negative count) and added again with the duplicate bit.
 Changes are summed per micro-batch into a table of part counters; a batch that is run again writes the same folder again.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,9 +38,10 @@ LEAST_WORDS = 50
 FOLDED_TEXTS = 50_000
 SALTS = 8
 ROUNDS = 4
+KEY_TEXTS = 256
 
 CHANGE = "part string, mask int, good int, toxic int, n long"
-ENTRY = "digest string, id long, " + CHANGE
+ENTRY = "bucket long, digest string, id long, " + CHANGE
 
 
 def text_mask(text: Column) -> Column:
@@ -53,77 +56,83 @@ def text_mask(text: Column) -> Column:
     return bits.cast("int")
 
 
-def folded(batches):
+def folded(buckets: int):
     """Rows of one task: one entry per text for its smallest id; all other rows as certain counts."""
-    sure: dict[tuple, int] = {}
-    least: dict[str, list] = {}
-
-    def count(held: dict, key: tuple, n: int) -> None:
-        held[key] = held.get(key, 0) + n
-
-    def flush() -> pa.RecordBatch:
-        rows = [(d, ident, *key, n) for d, (ident, held) in least.items() for key, n in held.items()]
-        # Certain counts belong to no text; their key only spreads them.
-        rows += [("sure:" + str(hash(key) % 4096), None, *key, n) for key, n in sure.items()]
-        least.clear()
-        sure.clear()
-        types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        columns = zip(*rows, strict=True) if rows else [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["digest", "id", "part", "mask", "good", "toxic", "n"])
-
-    for batch in batches:
-        for digest, ident, part, mask, good, toxic in zip(*(batch.column(c).to_pylist() for c in ("digest", "id", "part", "mask", "good", "toxic")), strict=True):
-            key = (part, mask, good, toxic)
-            if ident is None:
-                count(sure, key, 1)
-                continue
-            held = least.get(digest)
-            if held is None:
-                least[digest] = [ident, {key: 1}]
-            elif ident == held[0]:
-                count(held[1], key, 1)
-            else:
-                if ident < held[0]:
-                    older, least[digest] = held[1], [ident, {key: 1}]
+
+    def fold(batches):
+        sure: dict[tuple, int] = {}
+        least: dict[str, list] = {}
+
+        def count(held: dict, key: tuple, n: int) -> None:
+            held[key] = held.get(key, 0) + n
+
+        def flush() -> pa.RecordBatch:
+            rows = [(int(d[:15], 16) % buckets, d, ident, *key, n) for d, (ident, held) in least.items() for key, n in held.items()]
+            # Certain counts belong to no text (and have an id only as a null would turn ids into floats); their bucket spreads them.
+            rows += [(zlib.crc32(repr(key).encode()) % buckets, None, 0, *key, n) for key, n in sure.items()]
+            least.clear()
+            sure.clear()
+            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 8
+            names = ["bucket", "digest", "id", "part", "mask", "good", "toxic", "n"]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+        for batch in batches:
+            for digest, ident, part, mask, good, toxic in zip(*(batch.column(c).to_pylist() for c in ("digest", "id", "part", "mask", "good", "toxic")), strict=True):
+                key = (part, mask, good, toxic)
+                if ident is None:
+                    count(sure, key, 1)
+                    continue
+                held = least.get(digest)
+                if held is None:
+                    least[digest] = [ident, {key: 1}]
+                elif ident == held[0]:
+                    count(held[1], key, 1)
                 else:
-                    older = {key: 1}
-                for (p, m, g, t), n in older.items():
-                    count(sure, (p, m | TWIN, g, t), n)
-        if len(least) >= FOLDED_TEXTS or len(sure) >= FOLDED_TEXTS:
-            yield flush()
-    yield flush()
+                    if ident < held[0]:
+                        older, least[digest] = held[1], [ident, {key: 1}]
+                    else:
+                        older = {key: 1}
+                    for (p, m, g, t), n in older.items():
+                        count(sure, (p, m | TWIN, g, t), n)
+            if len(least) >= FOLDED_TEXTS or len(sure) >= FOLDED_TEXTS:
+                yield flush()
+        yield flush()
+
+    return fold
 
 
 def changes(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Counter changes that the new rows of one text make; the state is its smallest id and that id's counts."""
+    """Counter changes that new rows make; the state holds the smallest id of each text and that id's counts."""
     out: dict[tuple, int] = {}
 
     def add(part, mask, good, toxic, n):
         out[part, mask, good, toxic] = out.get((part, mask, good, toxic), 0) + n
 
-    sure = key[0].startswith("sure:")
-    ident, held = None, {}
-    if not sure and state.exists:
-        ident, kept = state.get
-        held = {tuple(k): n for *k, n in json.loads(kept)}
+    texts: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+    before = bool(texts)
     for frame in frames:
-        for new, *what, n in zip(*(frame[c].tolist() for c in ("id", "part", "mask", "good", "toxic", "n")), strict=True):
-            if sure:
-                add(*what, n)
+        for digest, new, part, mask, good, toxic, n in zip(*(frame[c].tolist() for c in ("digest", "id", "part", "mask", "good", "toxic", "n")), strict=True):
+            if not isinstance(digest, str):
+                add(part, mask, good, toxic, n)
                 continue
-            new, (part, mask, good, toxic) = int(new), what
-            if ident is None or new < ident:
-                for (p, m, g, t), count in held.items():
+            ident, held = int(new), texts.get(digest)
+            if held is None or ident < held[0]:
+                for p, m, g, t, count in held[1] if held else []:
                     add(p, m, g, t, -count)
                     add(p, m | TWIN, g, t, count)
-                ident, held = new, {}
-            if new == ident:
-                held[part, mask, good, toxic] = held.get((part, mask, good, toxic), 0) + n
+                held = texts[digest] = [ident, []]
+            if ident == held[0]:
+                same = next((x for x in held[1] if x[:4] == [part, mask, good, toxic]), None)
+                if same:
+                    same[4] += n
+                else:
+                    held[1].append([part, mask, good, toxic, n])
                 add(part, mask, good, toxic, n)
             else:
                 add(part, mask | TWIN, good, toxic, n)
-    if not sure:
-        state.update((ident, json.dumps([[*k, n] for k, n in held.items()])))
+    if texts or before:
+        state.update((json.dumps(texts),))
     rows = [(*k, n) for k, n in out.items() if n]
     yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
 
@@ -154,8 +163,9 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, rounds: int = RO
     joined = rows.join(known, (F.col("near") == F.col("label_id")) & (F.col("salt") == F.col("label_salt")) & F.col("id").isNotNull(), "left").select(
         "digest", "id", "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"),
     )
-    changed = joined.mapInArrow(folded, ENTRY).groupBy("digest").applyInPandasWithState(
-        changes, CHANGE, "least long, held string", "append", GroupStateTimeout.NoTimeout,
+    buckets = max(1, table.count() // KEY_TEXTS)
+    changed = joined.mapInArrow(folded(buckets), ENTRY).groupBy("bucket").applyInPandasWithState(
+        changes, CHANGE, "texts string", "append", GroupStateTimeout.NoTimeout,
     )
     sink, progress = fresh_path(spark, "audit-counters"), fresh_path(spark, "audit-progress")
     # The folder is there even if no batch runs.

@@ -1,6 +1,7 @@
 """Spelling groups, licence scans and the filter audit: brute force, retractions, hot groups and odd rows."""
 
 import itertools
+import json
 import random
 import re
 import zlib
@@ -243,10 +244,14 @@ def test_a_smaller_id_takes_counts_back():
 
     import pandas as pd
     state, total = State(), Counter()
-    for ident, part in [(9, "a"), (4, "b"), (4, "c"), (6, "a"), (2, "a")]:
-        frame = pd.DataFrame([(ident, part, 1, 0, 0, 1)], columns=["id", "part", "mask", "good", "toxic", "n"])
-        for out in filter_audit.changes(("text",), iter([frame]), state):
+    for ident, part in [(9, "a"), (4, "b"), (4, "c"), (6, "a"), (2, "a"), (2**60 + 1, "d")]:
+        rows = [("text", ident, part, 1, 0, 0, 1), ("other", 2**60 + ident, "z", 0, 0, 0, 1), (None, 0, "s", 3, 0, 0, 5)]
+        frame = pd.DataFrame(rows, columns=["digest", "id", "part", "mask", "good", "toxic", "n"])
+        for out in filter_audit.changes((7,), iter([frame]), state):
             for r in out.itertuples():
                 total[r.part, r.mask] += r.n
-    assert {k: n for k, n in total.items() if n} == {("a", 17): 2, ("b", 17): 1, ("c", 17): 1, ("a", 1): 1}
-    assert state.get[0] == 2
+    assert {k: n for k, n in total.items() if n} == {
+        ("a", 17): 2, ("b", 17): 1, ("c", 17): 1, ("a", 1): 1, ("d", 17): 1, ("z", 0): 1, ("z", 16): 5, ("s", 3): 30,
+    }
+    kept = json.loads(state.get[0])
+    assert kept["text"][0] == 2 and kept["other"][0] == 2**60 + 2
