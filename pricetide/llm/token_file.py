@@ -162,7 +162,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    parts = based.select("part", "name", "width", "base").repartition(F.col("part"))
+    # One task per file: the number is given, as the manifest alone looks small enough for one task.
+    files = manifest.agg(F.max("part")).first()[0]
+    parts = based.select("part", "name", "width", "base").repartitionByRange((files or 0) + 1, "part")
     return parts.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
