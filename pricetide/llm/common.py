@@ -47,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
 def count_words(text: Column) -> Column:
     """Number of words; a null text has none."""
     cut = F.split(F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")), " ")
@@ -58,19 +67,18 @@ def crc_of_id(ident: str, modulus: int) -> Column:
     return F.crc32(F.col(ident).cast("string").cast("binary")) % modulus
 
 
-def class_sample(df: DataFrame, label: str, ident: str, per_class: int, max_classes: int) -> DataFrame:
-    """At most ``per_class`` rows of each of the ``max_classes`` most frequent labels.
+def class_sample(df: DataFrame, label: str, ident: str, per_class: int, most: int) -> DataFrame:
+    """At most ``per_class`` rows of each label, and about ``most`` rows of all labels together; no label is left out.
 
-    Rows are picked by the hash of their id, so reruns agree. One count per label goes to the driver
-    (``max_classes`` of them); rows are thinned by hash first, so only about 1.5 x the sample is ranked.
+    Rows are picked by the hash of their id, so reruns agree. The number of labels goes to the driver; rows are thinned by hash
+    first, so only about 1.5 x the sample is ranked.
     """
     known = df.where(F.col(label).isNotNull() & F.col(ident).isNotNull())
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
-    if not counts:
-        return known.limit(0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, (1.5 * per_class + 50) / r[1]))])
+    counts = known.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_count"))
+    labels = counts.count()
+    each = min(per_class, max(1, most // max(1, labels)))
+    share = F.least(F.lit(1.0), F.lit(1.5 * each + 50) / F.col("_count"))
     place = F.pmod(F.xxhash64(F.col(ident), F.lit("sample")), F.lit(1 << 30))
-    near = known.withColumn("_place", place).where(F.col("_place") < share[F.col(label)] * float(1 << 30))
+    near = known.withColumn("_place", place).join(counts, F.col(label) == F.col("_label")).where(F.col("_place") < share * float(1 << 30))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_place", ident))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank", "_place")
-
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank", "_place", "_label", "_count")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepared, written
+from .common import prepared, whole_row, written
 
 # Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -157,6 +157,6 @@ def mixture(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id, or have none, get the copies of the one with most.
     """
     copies = mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole_row(docs).alias("row"))
     joined = rows.join(copies, rows["id"].eqNullSafe(copies["doc_id"]))
     return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

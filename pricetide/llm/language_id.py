@@ -18,8 +18,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import class_sample, crc_of_id, prepared
+from .common import class_sample, crc_of_id, prepared, whole_row
 from .linear import Ftrl, softmax, temperature
 
 BITS = 15
@@ -27,7 +28,7 @@ SIZE = 1 << BITS
 UNKNOWN = "und"
 # Bounds of the sample the weights are fitted on; document frequencies are counted over all learning rows.
 SAMPLE_PER_CLASS = 800
-MAX_CLASSES = 200
+SAMPLE_ROWS = 160_000
 
 _LETTER = regex.compile(r"\p{L}")
 _letters: list[np.ndarray] = []
@@ -90,9 +91,9 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return found[:SIZE], int(found[SIZE])
 
 
-def train(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_classes: int = MAX_CLASSES) -> Model:
-    """A model from the rows whose crc32(doc_id) mod 5 is not 0. At most ``per_class`` rows of each language are
-    fitted on, of the ``max_classes`` most frequent languages."""
+def train(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS, most: int = SAMPLE_ROWS) -> Model:
+    """A model from the rows whose crc32(doc_id) mod 5 is not 0. At most ``per_class`` rows of each language, and
+    about ``most`` of all, are fitted on; every language is learned."""
     rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").where(crc_of_id("doc_id", 5) != 0)
     found, n = _document_frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + found)) + 1
@@ -109,7 +110,7 @@ def train(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_classes: int =
                 ["doc_id", "lang", "at", "value"],
             )
 
-    sample = class_sample(rows, "lang", "doc_id", per_class, max_classes)
+    sample = class_sample(rows, "lang", "doc_id", per_class, most)
     got = sorted(
         sample.mapInArrow(vectors, "doc_id long, lang string, at binary, value binary").collect(),
         key=lambda r: (r.doc_id, r.lang, r["at"], r.value),
@@ -163,8 +164,8 @@ def op10_language_id(docs: DataFrame) -> DataFrame:
     return labelled.select("doc_id", held, "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents whose language is recognised: not ``und`` and a calibrated score of at least ``least``.
+def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The documents whose language is recognised: not ``und`` and, where asked for, a calibrated score of at least ``least``.
 
     Decided within one pass over the rows, so repeated ids are judged by their own text.
     """
@@ -181,6 +182,8 @@ def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
                     at, value = _features(text, m.idf)
                     ok = float(softmax((value @ m.weights[at] + m.weights[-1]) / m.temperature).max()) >= least
                 kept.append(ok)
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield batch.filter(pa.array(kept, pa.bool_())).select(["row"])
 
-    return docs.mapInArrow(keep, docs.schema)
+    # The row goes through as one column, as names with dots do not.
+    rows = docs.select("text", whole_row(docs).alias("row"))
+    return rows.mapInArrow(keep, StructType([rows.schema["row"]])).select("row.*")

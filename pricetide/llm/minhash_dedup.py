@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared, written
+from .common import prepared, whole_row, written
 
 SHINGLE = 5
 COORDS = 48
@@ -268,11 +268,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates: of each component the row with the smallest doc_id.
 
-    Rows that repeat this doc_id are reduced to one, the smallest by all columns; rows with a null doc_id stay.
+    Rows that share this doc_id and its text are reduced to one, the first by all other columns as text. Rows with unlike texts are no
+    duplicates of each other, whatever their doc_id: each text of a component that the kept id names stays. Rows with a
+    null doc_id stay. A component whose smallest id names several unlike texts keeps them all.
     """
     marks = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
-    one = rows.join(marks, rows["id"] == marks["kept_id"]).groupBy("id").agg(F.min("row").alias("row")).select("row.*")
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("print"), whole_row(docs).alias("row"))
+    # As text, for columns (maps, for one) that have no order; null texts and empty ones are alike.
+    order = F.to_json(F.struct(F.col("row"), F.lit(0).alias("_")))
+    one = rows.join(marks, rows["id"] == marks["kept_id"]).groupBy("id", "print").agg(F.min_by("row", order).alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 

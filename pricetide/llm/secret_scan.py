@@ -7,6 +7,10 @@ first-order character chains, smoothed by the share of each character, counted o
 base spans (random) and word-like tokens of 8 or more characters outside them (ordinary). Base spans are looked for in all rows;
 about ``SAMPLE_ROWS`` of the rows that hold one, and about ``PLAIN_ROWS`` of all rows, picked by the hash of doc_id, are learned from. At most 2 x 68 x 68 counts reach the driver and become one array literal.
 
+Positions are running sums over the matches of a text. Arrays cannot be appended to in place, so sums (and running maxima) are
+folded in two levels, blocks of about the square root of their number: work per text grows with the power 1.5 of its matches at
+most, and tokens meet spans in one sorted pass.
+
 Defined results: null and empty texts have no spans. Without a labelled random string no ``markov`` span is added.
 Repeated rows are scanned alike; extra columns are ignored.
 """
@@ -18,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 # Fixed patterns of the contract; the least length is that of the whole match, for assign of its second group.
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,30 +39,58 @@ WIDTH = len(ALPHABET) + 1
 SAMPLE_ROWS = 8000
 PLAIN_ROWS = 800
 LEAST = 0.6
+# Code points of a text that are cut at once.
+BLOCK = 4096
 # Weight, in transitions, of a character's overall share where a transition was seldom seen.
 BACKOFF = 10.0
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, also where lambdas use it for each of their elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, step, start: Column) -> Column:
+    """Running results of ``step`` over an array of numbers, in two levels of blocks."""
+
+    def walk(items: Column, before: Column) -> Column:
+        return F.aggregate(items, F.array(before), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+
+    def folded(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        count = F.ceil(F.size(v) / width).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(v, b * width + 1, width))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(
+            bs, F.slice(walk(F.transform(bs, lambda x: F.aggregate(x, start, step)), start), F.lit(1), F.size(bs)),
+            lambda x, before: F.slice(walk(x, before), F.lit(2), F.size(x)),
+        )))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, folded(v)).otherwise(v))
+
+
+def added(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, F.lit(0))
+
+
+LOWEST = -(1 << 30)
+
+
+def highest(values: Column) -> Column:
+    return running(values, lambda a, b: F.greatest(a, b), F.lit(LOWEST))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches with code-point positions: array of (start, end, value), end exclusive.
 
     The matches and the pieces between them come from the same left-to-right search; positions are running lengths.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)").alias("out"))
-    walked = F.aggregate(
-        steps, start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value"),
-            ))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) > 0, walked).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)"))
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = added(F.zip_with(gaps, found, lambda g, v: F.length(g) + F.length(v)))
+        spans = F.zip_with(found, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+        return F.when(F.size(found) > 0, spans).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)"))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -65,9 +99,26 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def outside(found: Column, spans: list[Column]) -> Column:
-    """The found entries that touch none of the spans."""
-    clear = lambda m: ~F.exists(F.concat(*spans), lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    return F.when(F.size(found) > 0, F.filter(found, clear)).otherwise(found)
+    """The found entries that touch none of the spans: one sorted pass over both."""
+    def marked(entries: Column, span: bool) -> Column:
+        value = F.lit("") if span else None
+        return F.transform(entries, lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), F.lit(span).alias("span"), (m["value"] if value is None else value).alias("value"),
+        ))
+
+    def clear(line: Column) -> Column:
+        # The last end of the spans that stand before an entry, and the first start of those behind it.
+        before = highest(F.transform(line, lambda m: F.when(m["span"], m["end"]).otherwise(LOWEST)))
+        behind = F.reverse(highest(F.reverse(F.transform(line, lambda m: F.when(m["span"], -m["start"]).otherwise(LOWEST)))))
+        seen = F.zip_with(line, before, lambda m, b: F.struct(m.alias("m"), (~m["span"] & (b <= m["start"])).alias("free")))
+        kept = F.zip_with(seen, behind, lambda x, b: F.when(
+            x["free"] & (-b >= x["m"]["end"]), F.struct(x["m"]["start"].alias("start"), x["m"]["end"].alias("end"), x["m"]["value"].alias("value")),
+        ))
+        return F.filter(kept, lambda x: x.isNotNull())
+
+    both = F.array_sort(F.concat(*[marked(s, True) for s in spans], marked(found, False)))
+    held = F.size(F.concat(*spans)) > 0
+    return F.when((F.size(found) > 0) & held, let(both, clear)).otherwise(found)
 
 
 def transitions(token: Column) -> Column:
@@ -163,19 +214,31 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows with every span replaced by ``mark``; a null text stays null, and n_chars, where it is a column,
     follows the new text."""
     columns = docs.columns
-    found = scanned(docs.select("doc_id", "text", F.struct(*columns).alias("row")), "row").withColumn("spans", ordered(KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
-    walked = F.aggregate(
-        "spans", start,
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark)).alias("out"),
-        )),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    found = scanned(docs.select("doc_id", "text", whole_row(docs).alias("row")), "row").withColumn("spans", ordered(KINDS))
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def between(text: Column, start: Column, end: Column) -> Column:
+        """Code points of a text in blocks, without a walk from its beginning."""
+        first = F.floor(start / BLOCK).cast("int")
+        held = F.array_join(F.slice(text, first + 1, F.ceil(end / BLOCK).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(held, start - first * BLOCK + 1, end - start)).otherwise("")
+
+    def walked(spans: Column) -> Column:
+        ends = highest(F.transform(spans, lambda s: s["end"]))
+        before = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(spans))
+        return F.zip_with(spans, before, lambda s, b: F.struct(s["start"].alias("start"), s["end"].alias("end"), b.alias("before")))
+
+    def pieces(text: Column) -> Column:
+        # A span within what is already replaced adds nothing.
+        cut = F.transform(let(F.col("spans"), walked), lambda s: F.when(s["end"] <= s["before"], "").otherwise(
+            F.concat(between(text, s["before"], s["start"]), F.lit(mark))
+        ))
+        last = F.array_max(F.transform("spans", lambda s: s["end"]))
+        return F.concat(F.array_join(cut, ""), between(text, last, F.length("text")))
+
     changed = F.size("spans") > 0
-    out = found.select("row", changed.alias("changed"), F.when(changed, walked).otherwise(F.col("row.text")).alias("new"))
+    old = F.col("row.text")
+    out = found.select("row", changed.alias("changed"), F.when(changed, let(blocks, pieces)).otherwise(old).alias("new"))
     made = {"text": F.col("new")}
     if "n_chars" in columns:
         made["n_chars"] = F.when(F.col("changed"), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))

@@ -76,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     """A model from labelled rows whose crc32(doc_id) mod 3 is not 1; at most ``per_class`` rows of each label."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(crc_of_id("doc_id", 3) != 1)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = class_sample(marks, "toxic", "doc_id", per_class, 2)
+    chosen = class_sample(marks, "toxic", "doc_id", per_class, 2 * per_class)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def vectors(batches):
