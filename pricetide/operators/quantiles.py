@@ -1,19 +1,20 @@
-"""Exact quantiles per group in one lazy plan, the same for small groups and for one that holds most rows.
+"""Exact quantiles per group in one lazy plan, for small groups and for one that holds most rows.
 
-Values are counted per (group, value) first, which combines before its shuffle and spreads a large group over its
-values. A coarse histogram of each group (order-preserving ranges, 256 to a doubling of the value) tells which range
-holds each wanted rank; only the counts of those ranges meet again, per (group, range), and are summed in order. No
-task holds a group, and no job runs while the plan is built.
+Two passes, each one aggregation that combines before its shuffle. The first counts each group and brackets the wanted ranks with
+a mergeable rank sketch of bounded size. The second counts what lies at or below each bracket and gathers only the values strictly
+inside it, from which the exact rank is taken; ties at the ends of a bracket are counted, not gathered. The sketch is right within
+1 / ``ACCURACY`` of a group's rows, so a bracket holds less than a thousandth of a large group, however its values are
+distributed. A group of at most four times ``ACCURACY`` rows is one bracket. No job runs while the plan is built.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_OCTAVE = 256
+ACCURACY = 20_000
 
 _FOLD = {"min": F.min, "max": F.max, "sum": F.sum}
 
@@ -26,65 +27,59 @@ def exact_quantiles(
     count: str | None = None,
     extra: dict[str, tuple[str, Column]] | None = None,
     weight: str | None = None,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per key group with the named quantiles of ``value`` (nulls ignored), linearly interpolated.
 
     ``count`` names an optional row-count column; ``extra`` maps an output name to
     ``("min" | "max" | "sum", column)``. ``weight`` is a column of whole numbers: how many
-    rows each row stands for. Without keys there is one row, also for an empty input.
+    rows each row stands for. Without keys there is one row, also for an empty input. ``accuracy`` sets the size
+    of the sketch and, four times that, how many rows of a group are gathered whole.
     """
     extra = extra or {}
-    names = keys or ["__all"]
+    names, ranks = keys or ["__all"], list(quantiles.values())
     stands_for = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     source = df.where(F.col(value).isNotNull()).select(
         *([F.col(k) for k in keys] or [F.lit(0).alias("__all")]), F.col(value).cast("double").alias("__v"),
         stands_for.alias("__times"), *[c.alias(f"__x_{n}") for n, (_, c) in extra.items()],
     )
-    counted = source.groupBy(*names, "__v").agg(F.sum("__times").alias("__qw"), *_folds(extra)).where("__qw > 0")
-    totals = counted.groupBy(*keys).agg(F.sum("__qw").alias("__n"), *_folds(extra))
-
-    placed = counted.select(*names, "__v", "__qw", _range(F.col("__v")).alias("__r"))
-    group = Window.partitionBy(*names)
-    ranges = placed.groupBy(*names, "__r").agg(F.sum("__qw").alias("__in"))
-    ranges = ranges.withColumns({"__n": F.sum("__in").over(group), "__upto": F.sum("__in").over(group.orderBy("__r"))})
-    # Two wanted ranks (below, above) per quantile; the slot tells them apart.
-    wanted = F.array(*[
-        F.struct(F.lit(2 * i + up).alias("slot"), (F.ceil if up else F.floor)(F.lit(float(q)) * (F.col("__n") - 1)).alias("rank"))
-        for i, q in enumerate(quantiles.values()) for up in (0, 1)
-    ])
-    before = F.col("__upto") - F.col("__in")
-    held = F.filter(wanted, lambda w: (w["rank"] >= before) & (w["rank"] < F.col("__upto")))
-    ranges = ranges.select(*names, "__r", before.alias("__before"), held.alias("__slots")).where(F.size("__slots") > 0)
-
-    inside = _joined(placed, ranges, [*names, "__r"])
-    running = Window.partitionBy(*names, "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("__upto", F.col("__before") + F.sum("__qw").over(running))
-    here = F.filter("__slots", lambda s: (s["rank"] < F.col("__upto")) & (s["rank"] >= F.col("__upto") - F.col("__qw")))
-    at = inside.select(*names, "__v", F.transform(here, lambda s: s["slot"]).alias("__at")).where(F.size("__at") > 0)
-    picked = [F.max(F.when(F.array_contains("__at", s), F.col("__v"))).alias(f"__s{s}") for s in range(2 * len(quantiles))]
-    if keys:
-        found = _joined(totals, at.groupBy(*names).agg(*picked), names, "left")
-    else:  # two rows become one
-        both = totals.unionByName(at.agg(*picked), allowMissingColumns=True)
-        found = both.agg(*[F.max(c).alias(c) for c in both.columns])
-
-    position = [F.lit(float(q)) * (F.col("__n") - 1) for q in quantiles.values()]
-    blended = []
-    for i, (name, p) in enumerate(zip(quantiles, position, strict=True)):
-        low, high = F.col(f"__s{2 * i}"), F.col(f"__s{2 * i + 1}")
-        blended.append(F.when(low == high, low).otherwise(low + (high - low) * (p - F.floor(p))).alias(name))
+    if weight:  # rows again, a thousand at a time
+        source = source.where("__times > 0").select(
+            "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__times") - 1) / 1000))).alias("__k")
+        ).select("*", F.explode(F.array_repeat(F.lit(1), F.least(F.lit(1000), F.col("__times") - F.col("__k") * 1000).cast("int"))))
+    # Three times the sketch's error to both sides: in a group of more than 4 x accuracy rows the rank lies between them.
+    ends = [min(1.0, max(0.0, q + side / accuracy)) for q in ranks for side in (-3, 3)]
+    first = source.groupBy(*names).agg(F.count("*").alias("__n"), F.percentile_approx("__v", ends, accuracy).alias("__ends"), *_folds(extra))
+    within = _joined(source, first.select(*names, "__n", "__ends"), names)
+    v, small = F.col("__v"), F.col("__n") <= 4 * accuracy
+    low, high = ([F.get("__ends", F.lit(2 * i + up)) for i in range(len(ranks))] for up in (0, 1))
+    inside = [F.collect_list(F.when(~small & (v > lo) & (v < hi), v)).alias(f"__in{i}") for i, (lo, hi) in enumerate(zip(low, high, strict=True))]
+    below = [F.count_if(~small & (v <= lo)).alias(f"__upto{i}") for i, lo in enumerate(low)]
+    # The sum reads all columns, so that both passes read the same rows.
+    read = F.sum(F.hash("__v", *[f"__x_{n}" for n in extra])).alias("__read")
+    second = within.groupBy(*names).agg(F.collect_list(F.when(small, v)).alias("__whole"), *inside, *below, read).where(F.col("__read").isNotNull())
+    found = _joined(first, second, names)
+
+    def value_at(i: int, rank: Column, whole: Column) -> Column:
+        place = (rank - F.col(f"__upto{i}")).cast("int")
+        large = F.when(place < 0, low[i]).otherwise(F.coalesce(F.get(F.sort_array(f"__in{i}"), place), high[i]))
+        return F.when(small, F.get(whole, rank.cast("int"))).otherwise(large)
+
+    def blended(whole: Column) -> Column:
+        out = []
+        for i, q in enumerate(ranks):
+            at = F.lit(float(q)) * (F.col("__n") - 1)
+            lower, upper = value_at(i, F.floor(at), whole), value_at(i, F.ceil(at), whole)
+            out.append(F.when(lower == upper, lower).otherwise(lower + (upper - lower) * (at - F.floor(at))))
+        return F.array(*out)
+
+    values = F.get(F.transform(F.array(F.sort_array("__whole")), blended), F.lit(0))
+    found = found.select(*names, "__n", values.alias("__p"), *[f"__x_{n}" for n in extra])
+    if not keys:  # at most one row, and one for no rows
+        found = found.agg(*[F.max(c).alias(c) for c in found.columns])
     counts = [F.coalesce("__n", F.lit(0)).cast("long").alias(count)] if count else []
-    return found.select(*keys, *blended, *counts, *[F.col(f"__x_{n}").alias(n) for n in extra])
-
-
-def _range(value: Column) -> Column:
-    """A whole number that grows with the value: its sign and the logarithm of its size."""
-    size = F.floor((F.log2(F.abs(value)) + 1100) * PER_OCTAVE) + 1
-    sign = F.signum(value).cast("long")
-    return (
-        F.when(F.isnan(value), F.lit(1 << 40)).when(value == 0, F.lit(0).cast("long"))
-        .when(F.abs(value) == float("inf"), sign * (1 << 39)).otherwise(sign * size)
-    )
+    picked = [F.get("__p", F.lit(i)).alias(name) for i, name in enumerate(quantiles)]
+    return found.select(*keys, *picked, *counts, *[F.col(f"__x_{n}").alias(n) for n in extra])
 
 
 def _folds(extra) -> list[Column]:

@@ -1,4 +1,4 @@
-"""The hot-group way gives the same quantiles as the ordinary one and as numpy."""
+"""Brackets give the same quantiles as whole groups and as numpy."""
 
 import numpy as np
 import pytest
@@ -25,10 +25,11 @@ def groups():
     }
 
 
-def test_matches_numpy(spark):
+@pytest.mark.parametrize("accuracy", [20_000, 10, 100])
+def test_matches_numpy(spark, accuracy):
     data = groups()
     out = exact_quantiles(
-        frame(spark, data), ["g"], "v", QS, count="n", extra={"v": ("max", F.col("v"))}
+        frame(spark, data), ["g"], "v", QS, count="n", extra={"v": ("max", F.col("v"))}, accuracy=accuracy
     ).collect()
     assert len(out) == len(data)
     for row in out:
@@ -46,23 +47,35 @@ def test_without_keys_and_with_null_keys(spark):
     assert by_key == {None: 5.0, "a": 1.0}
 
 
-def test_bunched_and_extreme_values(spark):
+@pytest.mark.parametrize("accuracy", [20_000, 10])
+def test_bunched_and_extreme_values(spark, accuracy):
     rng = np.random.default_rng(5)
     data = {
         "bunched": 1e6 + rng.random(3000) * 1e-3, "below": -np.abs(rng.lognormal(0, 3, 500)), "zero": np.array([0.0, -0.0, 0.0, 1e-300, -1e300]),
         "infinite": np.array([1.0, 2.0, np.inf, np.inf, np.inf]),
+        "tiny": np.array([5e-324, 1e-310, -1e-310, 2.0**-1022, 1e-300]), "powers": np.concatenate([2.0 ** np.arange(-40, 40), np.nextafter(2.0 ** np.arange(-40, 40), 0)]),
     }
-    for row in exact_quantiles(frame(spark, data), ["g"], "v", {"m": 0.5, "u": 0.9}).collect():
+    for row in exact_quantiles(frame(spark, data), ["g"], "v", {"m": 0.5, "u": 0.9}, accuracy=accuracy).collect():
         values = np.sort(data[row["g"]])
         want = [np.inf, np.inf] if row["g"] == "infinite" else np.quantile(values, [0.5, 0.9])
         assert [row["m"], row["u"]] == pytest.approx(list(want), rel=1e-12)
 
 
-def test_weights_and_empty_input(spark):
+@pytest.mark.parametrize("accuracy", [20_000, 10])
+def test_weights_and_empty_input(spark, accuracy):
     df = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1), ("b", 2.0, 0)], "g string, v double, w long")
-    rows = exact_quantiles(df, ["g"], "v", {"m": 0.5}, count="n", weight="w").collect()
+    rows = exact_quantiles(df, ["g"], "v", {"m": 0.5}, count="n", weight="w", accuracy=accuracy).collect()
     assert [(r["g"], r["m"], r["n"]) for r in rows] == [("a", 1.0, 4)]
-    assert [tuple(r) for r in exact_quantiles(df.limit(0), [], "v", {"m": 0.5}, count="n").collect()] == [(None, 0)]
+    assert [tuple(r) for r in exact_quantiles(df.limit(0), [], "v", {"m": 0.5}, count="n", accuracy=accuracy).collect()] == [(None, 0)]
+    whole = exact_quantiles(df, [], "v", {"m": 0.5}, count="n", accuracy=accuracy).collect()
+    assert [tuple(r) for r in whole] == [(2.0, 3)]
+
+
+def test_a_million_distinct_values_in_a_narrow_range(spark):
+    df = spark.range(1_000_000).selectExpr("100 + 0.2 * rand(3) AS v").union(spark.sql("SELECT 1e300D AS v"))
+    row = exact_quantiles(df, [], "v", QS, count="n").first()
+    values = np.array([r.v for r in df.collect()])
+    assert row.n == 1_000_001 and [row[q] for q in QS] == pytest.approx(np.quantile(values, list(QS.values())).tolist(), rel=1e-13)
 
 
 def test_no_job_while_the_plan_is_built(spark):
