@@ -57,6 +57,7 @@ def priority_coalesce(spark, folder):
       row_number() OVER (PARTITION BY c.o_custkey, c.quarter, c.tag ORDER BY b.rep DESC, b.filed DESC, b.o_orderkey DESC, b.tag_no) AS k
     FROM one c JOIN one b ON b.o_custkey = c.o_custkey AND b.quarter = c.quarter AND b.tag_no < c.tag_no)
   SELECT o_custkey, quarter, CASE WHEN (cf, ck) > (bf, bk) THEN ct ELSE bt END AS kept_tag, CASE WHEN (cf, ck) > (bf, bk) THEN cv ELSE bv END AS kept_value,
+         greatest(cf, bf) AS kept_filed, least(cf, bf) AS other_filed,
          CASE WHEN (cf, ck) > (bf, bk) THEN bt ELSE ct END AS other_tag, CASE WHEN (cf, ck) > (bf, bk) THEN bv ELSE cv END AS other_value
   FROM pairs WHERE k = 1 AND cr = 1 AND br = 1 AND bv <> 0 AND abs(bv - cv) / abs(bv) > 0.005""")
 def conflict_log(spark, folder):

@@ -136,9 +136,9 @@ def value_in_text(spark, folder):
     return Q.value_in_text(rows, "text", "v", "revenue|sales", "derived").select("o_orderkey", "match_type")
 
 
-@query("sample_hash")
+@query("sample_hash", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 40")
 def sample_hash(spark, folder):
-    return Q.sample(table(spark, folder, "orders"), "o_orderkey", 40)
+    return Q.sample(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 40)
 
 
 # --- sections, horizons, refreshes ---------------------------------------------

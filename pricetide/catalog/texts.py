@@ -263,6 +263,46 @@ def guidance_range(spark, folder):
     return S.guidance_range(rows, "text", ["s_suppkey"]).drop("unit", "text")
 
 
+# Releases made from suppliers: an amount before the outlook section that must not count, and all four forms of guidance inside it.
+@query("outlook_guidance", """WITH s AS (SELECT s_suppkey, 'FQ' || (s_suppkey % 4 + 1) || '-FY' || (2000 + s_nationkey) AS guidance_for, s_suppkey + 1 AS k, s_suppkey % 30 + 1.5 AS m FROM supplier WHERE s_suppkey % 5 <> 4)
+  SELECT s_suppkey, guidance_for, 'revenue' AS metric, 'GAAP' AS basis, CAST(k * 1000 AS DOUBLE) AS mid, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 200 ELSE 500 END AS DOUBLE) AS plus_minus FROM s
+  UNION ALL SELECT s_suppkey, guidance_for, 'gross_margin_pct', 'GAAP', m, 1.0 FROM s
+  UNION ALL SELECT s_suppkey, guidance_for, 'gross_margin_pct', 'non-GAAP', m + 1, 1.0 FROM s
+  UNION ALL SELECT s_suppkey, guidance_for, 'diluted_eps', 'GAAP', -m, 0.1 FROM s
+  UNION ALL SELECT s_suppkey, guidance_for, 'diluted_eps', 'non-GAAP', m, 0.1 FROM s""")
+def outlook_guidance(spark, folder):
+    key = F.col("s_suppkey")
+    k, m, more = (c.cast("string") for c in (key + 1, key % 30 + F.lit(1.5), key % 30 + F.lit(2.5)))
+    quarter = F.element_at(F.array(*[F.lit(q) for q in ("first", "second", "third", "fourth")]), (key % 4 + 1).cast("int"))
+    revenue = F.when(key % 2 == 0, F.concat(F.lit("Revenue $"), k, F.lit(" billion ± $200 million"))).otherwise(
+        F.concat(F.lit("Revenue $"), (key + F.lit(0.5)).cast("string"), F.lit(" billion - $"), (key + F.lit(1.5)).cast("string"), F.lit(" billion"))
+    )
+    section = F.concat(
+        F.lit("Business Outlook The following table presents "), F.col("s_name"), F.lit("'s guidance for the "), quarter, F.lit(" quarter of fiscal "),
+        (F.col("s_nationkey") + 2000).cast("string"), F.lit(": "), revenue, F.lit(" Gross margin "), m, F.lit("% ± 1.0% "), more, F.lit("% ± 1.0% "),
+        F.lit("Diluted earnings (loss) per share ($"), m, F.lit(") ± $0.10 $"), m, F.lit(" ± $0.10"),
+    )
+    text = F.concat(F.lit("Revenue $77 billion ± $1 million was the record. "), F.when(key % 5 != 4, section).otherwise("No outlook is given."))
+    rows = text_table(spark, folder, "supplier", "s_suppkey", "s_name", "s_nationkey").select("s_suppkey", text.alias("text"))
+    return S.outlook_guidance(rows, "text", ["s_suppkey"]).select("s_suppkey", "guidance_for", "metric", "basis", "mid", "plus_minus")
+
+
+@query("days_of_inventory", """SELECT o_orderkey, CAST(10 + o_orderkey % 190 AS DOUBLE) AS days FROM orders WHERE o_orderkey % 6 < 5""")
+def days_of_inventory(spark, folder):
+    """Remarks made from orders, in each of the forms, and in none."""
+    days = (10 + F.col("o_orderkey") % 190).cast("string")
+    forms = [
+        ("Inventory ended the quarter with days of inventory (DIO) at ", "."), ("Average days of inventory for the quarter were down to ", " days, as expected."),
+        ("We hold $8.4 billion of inventory, or ", " days."), ("Days of inventory was ", ", better than before."), ("The year ended with ", " days of inventory."),
+        ("Demand rose for ", " days in a row."),
+    ]
+    text = F.lit(None).cast("string")
+    for i, (before, behind) in enumerate(forms):
+        text = F.when(F.col("o_orderkey") % 6 == i, F.concat(F.lit("Sales of 99 days were fine. " + before), days, F.lit(behind))).otherwise(text)
+    rows = text_table(spark, folder, "orders", "o_orderkey").select("o_orderkey", S.days_of_inventory(text).alias("found"))
+    return rows.where("found IS NOT NULL").select("o_orderkey", "found.days")
+
+
 @query("paired_changes", """SELECT p_partkey, 'dram_bit_shipments_qoq_pct' AS metric, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size % 2 = 0
   UNION ALL SELECT p_partkey, 'dram_asp_qoq_pct', CAST(p_size + 1 AS DOUBLE) FROM part WHERE p_size % 2 = 0
   UNION ALL SELECT p_partkey, 'nand_asp_qoq_pct', -CAST(p_size AS DOUBLE) FROM part WHERE p_size % 2 = 1""")

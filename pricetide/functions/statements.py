@@ -245,6 +245,47 @@ def _range_row(metric: str, basis: str, mid: Column, spread: Column, unit: str,
     ))
 
 
+# Where an outlook table begins, what it is for, and how many characters of it are read.
+OUTLOOK = (
+    r"(?:Business )?Outlook The (?:following )?table (?:below )?presents .{1,40}?s guidance for the "
+    r"(first|second|third|fourth) quarter (?:of )?(?:fiscal )?(\d{4})(.{0,900})"
+)
+# Days of inventory in remarks, the first form that occurs counts.
+INVENTORY_DAYS = [
+    r"days of inventory (?:\(DIO\) )?at (\d{2,3})",
+    r"(?:[Aa]verage days(?: of inventory)?(?: for the quarter)?|average DIO for the quarter)[^.]{0,30}?(?:were|was)(?: down to)? (\d{2,3}) days",
+    r"\$[\d.]+ billion(?: of inventory)?,? or (\d{2,3}) days",
+    r"[Dd]ays of inventory (?:was|were) (\d{2,3})",
+    r"ended with (\d{2,3}) days of inventory",
+]
+
+
+def outlook(text: str | Column) -> Column:
+    """``(guidance_for, body)`` of the outlook section, such as ``FQ2-FY2024``; null without one."""
+    body = F.col(text) if isinstance(text, str) else text
+    quarter, year, rest = (F.regexp_extract(body, OUTLOOK, k) for k in (1, 2, 3))
+    number = F.array_position(F.array(*[F.lit(q) for q in ("first", "second", "third", "fourth")]), quarter)
+    label = F.concat(F.lit("FQ"), number.cast("string"), F.lit("-FY"), year)
+    return F.when(body.rlike(OUTLOOK), F.struct(label.alias("guidance_for"), rest.alias("body")))
+
+
+def outlook_guidance(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``guidance_range`` within the outlook section only, with the quarter it is for; texts without a section have no rows."""
+    section = df.select(*keep, outlook(text).alias("__o")).where(F.col("__o").isNotNull())
+    return guidance_range(section.select(*keep, "__o.guidance_for", F.col("__o.body").alias("__body")), "__body", [*keep, "guidance_for"])
+
+
+def days_of_inventory(text: str | Column) -> Column:
+    """``(days, source_text)`` of the first form of words that occurs, with 80 characters before and 40 behind it; or null."""
+    body = F.col(text) if isinstance(text, str) else text
+    forms = []
+    for pattern in INVENTORY_DAYS:
+        around = f"(?s).{{0,80}}?{pattern}.{{0,40}}"
+        seen = F.struct(F.regexp_extract(body, pattern, 1).cast("double").alias("days"), F.regexp_extract(body, around, 0).alias("source_text"))
+        forms.append(F.when(body.rlike(pattern), seen))
+    return F.coalesce(*forms)
+
+
 def guidance_range(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Outlook table to rows ``metric, basis, mid, plus_minus, low, high, unit, text``."""
     body = F.col(text)

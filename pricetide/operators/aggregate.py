@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, guarded_ratio
 from .quantiles import exact_quantiles
+from .segments import equi_depth
 
 
 def monthly(
@@ -238,16 +239,16 @@ def coverage(df: DataFrame, reference: DataFrame, keys: list[str], got: str, tot
     return df.join(reference, keys, "left").withColumn("ratio", F.bround(guarded_ratio(got, total), digits))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, width: float) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Rank of each distinct value, ties averaged.
 
-    Values are counted first, then cut into buckets of ``width``: the running count is a
-    small window over buckets plus a window inside each bucket.
+    Values are counted first, then cut into pieces of like many distinct values: the running count is a window over the
+    pieces, a bounded number for each key, plus a window inside each piece.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.floor(F.col(value) / width))
-    per_bucket = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__nb"))
+    counts = equi_depth(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), keys, value, "__b")
+    per_piece = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__nb"))
     lower = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("__below", F.coalesce(F.sum("__nb").over(lower), F.lit(0))).drop("__nb")
+    offsets = per_piece.withColumn("__below", F.coalesce(F.sum("__nb").over(lower), F.lit(0))).drop("__nb")
     inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     rank = F.col("__below") + F.col("__in") - (F.col("__n") - 1) / 2.0
     return (
@@ -256,13 +257,13 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, width:
     )
 
 
-def rank_corr(df: DataFrame, x: str, y: str, keys: list[str] | None = None, width: float = 0.01) -> DataFrame:
+def rank_corr(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Spearman correlation: Pearson correlation of the average ranks."""
     keys = keys or []
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both
     for value in (x, y):
-        ranked = ranked.join(average_ranks(both, keys, value, f"__r_{value}", width), [*keys, value])
+        ranked = ranked.join(average_ranks(both, keys, value, f"__r_{value}"), [*keys, value])
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.corr(f"__r_{x}", f"__r_{y}").alias("rank_corr")
     )

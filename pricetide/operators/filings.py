@@ -82,7 +82,8 @@ def conflicts(
 ) -> DataFrame:
     """Equivalents that disagree by more than ``rel_tol``: each against the best one before it.
 
-    One row per equivalent and key, so a group is as small as the list of equivalents.
+    One row per equivalent and key, so a group is as small as the list of equivalents. The first column of ``order`` is the
+    filing date.
     """
     before = Window.partitionBy(*keys).orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
     me = F.struct(*_standing(derivation, order), (-F.col(sequence)).alias("s"), F.col(tag).alias("tag"), F.col(val).alias("val"))
@@ -93,6 +94,6 @@ def conflicts(
     newer = F.struct(*[this[c] for c in order]) > F.struct(*[best[c] for c in order])
     kept, other = F.when(newer, this).otherwise(best), F.when(newer, best).otherwise(this)
     return rows.select(
-        *keys, kept["tag"].alias("kept_tag"), kept["val"].alias("kept_value"),
-        other["tag"].alias("other_tag"), other["val"].alias("other_value"),
+        *keys, kept["tag"].alias("kept_tag"), kept["val"].alias("kept_value"), kept[order[0]].alias("kept_filed"),
+        other["tag"].alias("other_tag"), other["val"].alias("other_value"), other[order[0]].alias("other_filed"),
     )

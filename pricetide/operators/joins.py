@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_text
-from .segments import carry, neighbours
+from .segments import carry, equi_depth, neighbours
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], last: bool = False) -> DataFrame:
@@ -124,7 +124,7 @@ def pattern_join(df: DataFrame, patterns: DataFrame | dict[str, str], name: str,
 
 def first_event_after(
     periods: DataFrame, events: DataFrame, key: str, period_end: str, event_day: str,
-    lo_days: int = 1, hi_days: int = 100, segment: str = "YEAR",
+    lo_days: int = 1, hi_days: int = 100,
 ) -> DataFrame:
     """Date of the first event ``lo_days`` to ``hi_days`` after each period's end, or null.
 
@@ -136,8 +136,8 @@ def first_event_after(
     line = line.unionByName(moved.withColumn("__moved", F.lit(True)), allowMissingColumns=True)
     # Same day: the event must come at or after the period on the line, so order by (day, event last).
     place = F.unix_date("__t") * 2 + F.when(F.col("__moved"), 1).otherwise(0)
-    line = line.withColumn("__at", place)
-    known = carry(line, [key], "__at", F.trunc("__t", segment), {"first_event": "__event"}, backward=True)
+    line = equi_depth(line.withColumn("__at", place), [key], "__at")
+    known = carry(line, [key], "__at", F.col("__segment"), {"first_event": "__event"}, backward=True)
     late = F.datediff("first_event", F.col(period_end).cast("date")) > hi_days
     return known.where(F.col("__moved").isNull()).select(
         *periods.columns, F.when(~late, F.col("first_event")).alias("first_event")
@@ -167,7 +167,7 @@ def label(df: DataFrame, lookup: DataFrame, code: str, name: str = "label", defa
 
 
 def interpolate_at(
-    series: DataFrame, dates: DataFrame, key: str, day: str, value: str, at: str, segment: str = "YEAR"
+    series: DataFrame, dates: DataFrame, key: str, day: str, value: str, at: str
 ) -> DataFrame:
     """Linear value at each date between the observations before and after it.
 
@@ -177,9 +177,10 @@ def interpolate_at(
     line = series.where(F.col(value).isNotNull()).select(key, F.col(day).cast("date").alias("__t"), seen.alias("__obs"))
     asked = dates.withColumn("__t", F.col(at).cast("date")).withColumn("__ask", F.lit(True))
     line = line.unionByName(asked, allowMissingColumns=True)
-    span = F.trunc("__t", segment)
+    span = F.col("__segment")
     # An observation on the very day lies before the question going forward and after it going back.
     line = line.withColumn("__at", F.unix_date("__t") * 2 + F.when(F.col("__ask"), 1).otherwise(0))
+    line = equi_depth(line, [key], "__at")
     line = carry(line, [key], "__at", span, {"__prev": "__obs"})
     line = carry(line, [key], "__at", span, {"__next": "__obs"}, backward=True)
     prev, nxt = F.col("__prev"), F.col("__next")

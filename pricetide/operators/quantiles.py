@@ -37,10 +37,10 @@ def exact_quantiles(
     of the sketch and, four times that, how many rows of a group are gathered whole.
     """
     extra = extra or {}
-    names, ranks = keys or ["__all"], list(quantiles.values())
+    ranks = list(quantiles.values())
     stands_for = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     source = df.where(F.col(value).isNotNull()).select(
-        *([F.col(k) for k in keys] or [F.lit(0).alias("__all")]), F.col(value).cast("double").alias("__v"),
+        *keys, F.col(value).cast("double").alias("__v"),
         stands_for.alias("__times"), *[c.alias(f"__x_{n}") for n, (_, c) in extra.items()],
     )
     if weight:  # rows again, a thousand at a time
@@ -49,16 +49,16 @@ def exact_quantiles(
         ).select("*", F.explode(F.array_repeat(F.lit(1), F.least(F.lit(1000), F.col("__times") - F.col("__k") * 1000).cast("int"))))
     # Three times the sketch's error to both sides: in a group of more than 4 x accuracy rows the rank lies between them.
     ends = [min(1.0, max(0.0, q + side / accuracy)) for q in ranks for side in (-3, 3)]
-    first = source.groupBy(*names).agg(F.count("*").alias("__n"), F.percentile_approx("__v", ends, accuracy).alias("__ends"), *_folds(extra))
-    within = _joined(source, first.select(*names, "__n", "__ends"), names)
+    first = source.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", ends, accuracy).alias("__ends"), *_folds(extra))
+    within = _beside(source, first.select(*keys, "__n", "__ends"), keys)
     v, small = F.col("__v"), F.col("__n") <= 4 * accuracy
     low, high = ([F.get("__ends", F.lit(2 * i + up)) for i in range(len(ranks))] for up in (0, 1))
     inside = [F.collect_list(F.when(~small & (v > lo) & (v < hi), v)).alias(f"__in{i}") for i, (lo, hi) in enumerate(zip(low, high, strict=True))]
     below = [F.count_if(~small & (v <= lo)).alias(f"__upto{i}") for i, lo in enumerate(low)]
     # The sum reads all columns, so that both passes read the same rows.
     read = F.sum(F.hash("__v", *[f"__x_{n}" for n in extra])).alias("__read")
-    second = within.groupBy(*names).agg(F.collect_list(F.when(small, v)).alias("__whole"), *inside, *below, read).where(F.col("__read").isNotNull())
-    found = _joined(first, second, names)
+    second = within.groupBy(*keys).agg(F.collect_list(F.when(small, v)).alias("__whole"), *inside, *below, read)
+    found = _beside(second.where(F.col("__read").isNotNull()) if keys else second, first, keys)
 
     def value_at(i: int, rank: Column, whole: Column) -> Column:
         place = (rank - F.col(f"__upto{i}")).cast("int")
@@ -74,9 +74,7 @@ def exact_quantiles(
         return F.array(*out)
 
     values = F.get(F.transform(F.array(F.sort_array("__whole")), blended), F.lit(0))
-    found = found.select(*names, "__n", values.alias("__p"), *[f"__x_{n}" for n in extra])
-    if not keys:  # at most one row, and one for no rows
-        found = found.agg(*[F.max(c).alias(c) for c in found.columns])
+    found = found.select(*keys, "__n", values.alias("__p"), *[f"__x_{n}" for n in extra])
     counts = [F.coalesce("__n", F.lit(0)).cast("long").alias(count)] if count else []
     picked = [F.get("__p", F.lit(i)).alias(name) for i, name in enumerate(quantiles)]
     return found.select(*keys, *picked, *counts, *[F.col(f"__x_{n}").alias(n) for n in extra])
@@ -86,8 +84,11 @@ def _folds(extra) -> list[Column]:
     return [_FOLD[how](f"__x_{name}").alias(f"__x_{name}") for name, (how, _) in extra.items()]
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on null-safe keys, so that a null group stays a group."""
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of the right row with the same keys, where null is a key like any other; without keys, of its one row."""
+    if not keys:
+        held = left.withColumn("__row", right.select(F.struct(*right.columns)).scalar())
+        return held.select(*left.columns, *[F.col("__row")[c].alias(c) for c in right.columns])
     r = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
     match = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__k_{k}"]) for k in keys])
-    return left.join(r, match, how).drop(*[f"__k_{k}" for k in keys])
+    return left.join(r, match).drop(*[f"__k_{k}" for k in keys])

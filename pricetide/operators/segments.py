@@ -11,6 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def equi_depth(df: DataFrame, keys: list[str], order: str, name: str = "__segment", parts: int = 64) -> DataFrame:
+    """Add a segment that cuts each key's line, wherever its rows lie, into about ``parts`` pieces of like many rows.
+
+    The cuts come from a mergeable sketch of the key's own order (a number), so one key that holds all rows within a short span of
+    time is spread like any other. A run of one order value stays in one piece.
+    """
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 50 * parts).alias("__cuts"))
+    below = F.aggregate("__cuts", F.lit(0), lambda n, cut: n + F.when(cut < F.col(order), 1).otherwise(0))
+    if not keys:  # one row of cuts, as a subquery rather than a join
+        return df.withColumn("__cuts", cuts.scalar()).withColumn(name, F.coalesce(below, F.lit(0))).drop("__cuts")
+    renamed = cuts.select(*[F.col(k).alias(f"__c_{k}") for k in keys], "__cuts")
+    match = F.lit(True)
+    for k in keys:
+        match = match & df[k].eqNullSafe(renamed[f"__c_{k}"])
+    return df.join(renamed, match, "left").withColumn(name, F.coalesce(below, F.lit(0))).drop("__cuts", *[f"__c_{k}" for k in keys])
+
+
 def neighbours(
     df: DataFrame,
     keys: list[str],

@@ -37,20 +37,26 @@ def decay_path(
 
     With a ratio below 1 the increments only shrink, so their number follows from the
     logarithm of ``stop / inc``, or from the months to the cap if these are fewer, and their
-    sum is a geometric one. A ratio of 1 or more is an error.
+    sum is a geometric one. Increments of at least ``stop`` with a ratio of 1 or more never end, so they are an error unless
+    a cap ends them.
     """
     i, r = F.col(inc), F.col(ratio)
     refuse = F.raise_error(F.lit("decay ratio must be below 1")).cast("double")
-    safe = F.when(r < 1, r).otherwise(refuse)
+    endless = (r >= 1) & (i * r >= stop) & (F.col(cap).isNotNull() if cap else F.lit(False))
+    grows = (r >= 1) & (F.col(cap).isNull() if cap else F.lit(True))
+    safe = F.when(grows, refuse).when(r < 1, r).when(r.isNotNull(), F.lit(0.5))
     rough = F.floor(F.ln(F.lit(stop) / i) / F.ln(safe))
     # The logarithms may be off by one at a whole number.
     counted = F.when(i * F.pow(safe, rough + 1) >= stop, rough + 1).when(i * F.pow(safe, rough) >= stop, rough).otherwise(rough - 1)
-    steps = F.when((i > 0) & (safe > 0), F.greatest(counted, F.lit(0))).otherwise(F.lit(0))
+    steps = F.when((i > 0) & (safe > 0) & (r < 1), F.greatest(counted, F.lit(0))).otherwise(F.lit(0))
     if cap:
+        # A growing increment below the stop ends at once; any other goes on to the cap.
+        steps = F.when(endless, F.lit(1 << 30)).otherwise(steps)
         left = months_apart(F.col(start), F.col(cap)) - (F.dayofmonth(cap) < F.dayofmonth(start)).cast("int")
         steps = F.when(F.col(cap).isNull(), steps).otherwise(F.least(steps, F.greatest(F.floor(left / 3), F.lit(0))))
     walked = rows.withColumn("__steps", steps.cast("int"))
-    total = i * safe * (1 - F.pow(safe, F.col("__steps"))) / (1 - safe)
+    n = F.col("__steps")
+    total = F.when(r == 1, i * n).when(r > 1, i * r * (F.pow(r, n) - 1) / (r - 1)).otherwise(i * safe * (1 - F.pow(safe, n)) / (1 - safe))
     return walked.withColumn("peak_q", F.add_months(F.col(start), F.col("__steps") * 3)).withColumn(
         "further_rise", F.when(F.col("__steps") > 0, total).otherwise(F.lit(0.0))
     ).drop("__steps")

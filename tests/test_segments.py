@@ -64,3 +64,30 @@ def test_first_event_bounds(spark):
     events = spark.createDataFrame([("a", "2024-03-31"), ("a", "2024-04-01"), ("a", "2024-10-08"), ("b", "2024-07-10")], "k string, d string").withColumn("d", F.to_date("d"))
     out = {(r["k"], str(r["e"])): r["first_event"] and str(r["first_event"]) for r in first_event_after(periods, events, "k", "e", "d").collect()}
     assert out == {("a", "2024-03-31"): "2024-04-01", ("a", "2024-06-30"): "2024-10-08", ("b", "2024-03-31"): None}
+
+
+def test_a_key_within_one_day_is_spread(spark):
+    """All rows of a hot key lie in few days: pieces follow its rows, not the calendar."""
+    from pyspark.sql import functions as F
+
+    from pricetide.operators.segments import equi_depth
+
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 100 = 0 THEN NULL ELSE 'hot' END AS k", "19000 + CAST(id % 5000 AS double) / 5000 AS at")
+    cut = equi_depth(rows, ["k"], "at")
+    sizes = {(r.k, r["__segment"]): r["count"] for r in cut.groupBy("k", "__segment").count().collect()}
+    assert sum(sizes.values()) == 20_000 and max(sizes.values()) < 20_000 / 40 and len(sizes) > 100
+    ordered = cut.where("k = 'hot'").groupBy("__segment").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("__segment").collect()
+    assert all(a.hi < b.lo for a, b in zip(ordered, ordered[1:]))
+
+
+def test_average_ranks_of_bunched_values(spark):
+    import numpy as np
+
+    from pricetide.operators.aggregate import average_ranks
+
+    rng = np.random.default_rng(1)
+    values = np.round(100 + rng.random(3000) * 1e-3, 6)
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = {r.v: r.rank for r in average_ranks(frame, [], "v", "rank").collect()}
+    order = np.sort(values)
+    assert got == {float(v): (np.searchsorted(order, v, "left") + np.searchsorted(order, v, "right") + 1) / 2 for v in set(values.tolist())}

@@ -222,3 +222,17 @@ def test_entities_scripts_and_marks(spark):
         assert r["have"] == r["want"]
     marks = spark.range(1).select(normalize_text(F.lit("Ryzen™ 9® X")).alias("t")).collect()[0]["t"]
     assert marks == "ryzentm 9 x"
+
+
+def test_outlook_and_inventory_forms(spark):
+    from pricetide.functions import statements as S
+
+    head = "Outlook The table below presents the company's guidance for the second quarter of fiscal 2024 "
+    rows = [(1, "Revenue $9 billion ± $1 million. " + head + "Revenue $3.0 billion - $3.5 billion"), (2, "Revenue $9 billion ± $1 million."), (3, None)]
+    got = S.outlook_guidance(spark.createDataFrame(rows, "k int, t string"), "t", ["k"]).collect()
+    assert [(r.k, r.guidance_for, r.metric, r.low, r.high) for r in got] == [(1, "FQ2-FY2024", "revenue", 3000.0, 3500.0)]
+    long = "x" * 100 + " Average DIO. Our average DIO for the quarter was 133 days, ended with 99 days of inventory" + "y" * 60
+    found = spark.createDataFrame([(long,), ("none",), (None,)], "t string").select(S.days_of_inventory("t").alias("d")).collect()
+    assert found[0]["d"]["days"] == 133 and found[1]["d"] is None and found[2]["d"] is None
+    at = long.index("average DIO for")
+    assert found[0]["d"]["source_text"] == long[at - 80:at + len("average DIO for the quarter was 133 days") + 40]
