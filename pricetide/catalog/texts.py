@@ -10,7 +10,7 @@ from ..functions.deals import categorize
 from ..functions.topics import topic_flags as flags
 from ..operators import aggregate as A
 from ..operators import joins as J
-from ..plans.deals import judge, monthly_series, parse_titles
+from ..plans.deals import judge, monthly_series, parse_titles, post_counts
 from ..session import settle
 from ..sources.pages import carry_down, extract_rows
 from .base import query, rounded, table, text_table
@@ -223,6 +223,16 @@ def deal_monthly(spark, folder):
     return rounded(monthly_series(judged.where(F.col("reject").isNull()), "2001-01-01"), 9, "median", "p25", "p75")
 
 
+@query("deal_post_counts", f"""WITH {JUDGED},
+  u AS (SELECT category, verdict AS reject, day FROM j UNION ALL SELECT category, reject, day FROM p WHERE reject IS NOT NULL),
+  m AS (SELECT *, CAST(date_trunc('month', day) AS DATE) AS month FROM u)
+  SELECT 'posts_all' AS series, month, count(*) AS n FROM m GROUP BY 1, 2
+  UNION ALL SELECT 'posts_' || lower(category), month, count(*) FROM m GROUP BY 1, 2
+  UNION ALL SELECT 'accepted_' || lower(category), month, count(*) FROM m WHERE reject IS NULL GROUP BY 1, 2""")
+def deal_post_counts(spark, folder):
+    return post_counts(judge(parse_titles(deal_posts(spark, folder))))
+
+
 @query("verbal_range", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN 'flat' WHEN l_linenumber % 3 = 1 THEN 'increase' ELSE 'decrease' END AS direction,
   CASE l_linenumber % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 17.0 ELSE -(l_quantity + 1) END AS low,
   CASE l_linenumber % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 19.0 ELSE -(l_quantity + 1) END AS high FROM lineitem""")

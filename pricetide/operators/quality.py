@@ -46,7 +46,8 @@ def _found(text: Column, number: Column, keywords: str) -> Column:
         amount = F.concat(
             F.lit(rf"(?is)(?=(?:{keywords})).{{1,200}}?(?<![\d,.])\(?\$?\s?"), spelled, F.lit(r"(?![\d,]|\.\d)")
         )
-        hits.append(F.coalesce(F.regexp(text, amount), F.lit(False)))
+        # A pattern of the row's own is made only where the number stands in the text at all.
+        hits.append(F.coalesce(F.when(F.contains(text, spelled), F.regexp(text, amount)), F.lit(False)))
     return hits[0] | hits[1]
 
 

@@ -151,3 +151,16 @@ def monthly_series(accepted: DataFrame, recent_since: str = "2025-01-01") -> Dat
         name = F.concat(F.lit(category.lower() + ":"), F.col("model"))
         rows = rows.unionByName(keep_keys(chips, top, ["model"]).select("ts", name.alias("series"), F.col("price").alias("value")))
     return distribution(rows, ["series"], "ts", "value")
+
+
+def post_counts(judged: DataFrame) -> DataFrame:
+    """``(series, month, n)``: posts of each category before any rejection, accepted ones, and all posts.
+
+    A post counts in up to three series, all in one pass and one combining aggregation.
+    """
+    known = F.col("category").isNotNull()
+    names = F.array_compact(F.array(
+        F.lit("posts_all"), F.when(known, F.concat(F.lit("posts_"), F.lower("category"))),
+        F.when(known & F.col("reject").isNull(), F.concat(F.lit("accepted_"), F.lower("category"))),
+    ))
+    return judged.select(F.explode(names).alias("series"), bucket("ts").alias("month")).groupBy("series", "month").agg(F.count(F.lit(1)).alias("n"))

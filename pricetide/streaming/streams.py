@@ -38,10 +38,13 @@ def ingest_stream(
         if _has_data(session, sink):
             months = rows.select("month").distinct()
             rows = session.read.parquet(sink).join(months, "month", "left_semi").unionByName(rows)
-        newest = first_per(rows, ["id"], [F.col("source_time")], last=True)
-        # The old month partitions are read while they are replaced, so the result is settled first.
-        staged = fresh_path(session, "intake")
-        newest.write.partitionBy("month").parquet(staged)
+        # Of files with one time the row that comes last as text wins, so that the order of reading does not matter.
+        content = F.to_json(F.struct(*[c for c in rows.columns if c != "source_time"]))
+        newest = first_per(rows, ["id"], [F.col("source_time"), content], last=True)
+        # The old month partitions are read while they are replaced, so the result is settled first. One folder serves all
+        # batches: a replay after a failure writes it anew and publishes the same months.
+        staged = f"{checkpoint.rstrip('/')}-staged"
+        newest.write.mode("overwrite").partitionBy("month").parquet(staged)
         session.read.parquet(staged).withColumn("month", F.col("month").cast("date")).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("month").parquet(sink)

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pricetide.operators.joins import drop_reposts
@@ -26,6 +27,30 @@ def test_intake_rewrites_a_month(spark, tmp_path):
     assert rows == [("a", "new", "2025-01-01"), ("b", "b", "2025-01-01"), ("c", "c", "2025-02-01"), ("d", "d", "2025-01-01")]
 
 
+def test_intake_after_a_failure_between_its_writes(spark, tmp_path, monkeypatch):
+    """The first run dies when it publishes; the replay gives the sink of an undisturbed run, and no folder is left per batch."""
+    from pyspark.sql import DataFrameWriter
+
+    folder, sink, progress = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "progress")
+    folder.mkdir()
+    (folder / "a.jsonl").write_text("\n".join(json.dumps({"id": i, "created_utc": 1735689600, "title": t}) for i, t in [("a", "x"), ("a", "y"), ("b", "z")]))
+    write = DataFrameWriter.parquet
+
+    def failing(self, path, *args, **kwargs):
+        if path == sink:
+            raise RuntimeError("lost")
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(Exception):
+        S.ingest_stream(spark, str(folder), schemas.POSTS, sink, progress).awaitTermination()
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    S.ingest_stream(spark, str(folder), schemas.POSTS, sink, progress).awaitTermination()
+    rows = sorted((r["id"], r["title"]) for r in spark.read.parquet(sink).collect())
+    assert rows == [("a", "y"), ("b", "z")]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["in", "progress", "progress-staged", "sink"]
+
+
 def reposts(spark, tmp_path):
     rng = np.random.default_rng(2)
     at = np.sort(rng.integers(0, 40 * 86400, 300))
