@@ -70,15 +70,16 @@ def crc_of_id(ident: str, modulus: int) -> Column:
 def class_sample(df: DataFrame, label: str, ident: str, per_class: int, most: int) -> DataFrame:
     """At most ``per_class`` rows of each label, and about ``most`` rows of all labels together; no label is left out.
 
-    Rows are picked by the hash of their id, so reruns agree. The number of labels goes to the driver; rows are thinned by hash
+    Rows are picked by the hash of their id, so reruns agree. One count per label goes to the driver; rows are thinned by hash
     first, so only about 1.5 x the sample is ranked.
     """
     known = df.where(F.col(label).isNotNull() & F.col(ident).isNotNull())
-    counts = known.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_count"))
-    labels = counts.count()
-    each = min(per_class, max(1, most // max(1, labels)))
-    share = F.least(F.lit(1.0), F.lit(1.5 * each + 50) / F.col("_count"))
+    counts = known.groupBy(label).count().collect()
+    if not counts:
+        return known.limit(0)
+    each = min(per_class, max(1, most // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in sorted(counts, key=lambda r: str(r[0])) for x in (r[0], min(1.0, (1.5 * each + 50) / r[1]))])
     place = F.pmod(F.xxhash64(F.col(ident), F.lit("sample")), F.lit(1 << 30))
-    near = known.withColumn("_place", place).join(counts, F.col(label) == F.col("_label")).where(F.col("_place") < share * float(1 << 30))
+    near = known.withColumn("_place", place).where(F.col("_place") < share[F.col(label)] * float(1 << 30))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_place", ident))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank", "_place", "_label", "_count")
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank", "_place")
