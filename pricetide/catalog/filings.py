@@ -9,6 +9,7 @@ from ..functions.columns import bucket
 from ..operators import aggregate as A
 from ..operators import filings as L
 from ..operators import joins as J
+from ..plans import financials as Q
 from ..sources.readers import explode_facts
 from .base import day, query, rounded, table
 
@@ -164,7 +165,7 @@ def pivot_ratios(spark, folder):
     rows = sums.withColumn("gross_profit", F.when(kind != 0, F.col("revenue") - F.col("cost"))).withColumn(
         "cost_of_revenue", F.when(kind != 1, F.col("cost"))
     ).unpivot(["l_suppkey", "start", "end"], ["revenue", "gross_profit", "cost_of_revenue", "inventory"], "metric", "value")
-    return A.derive_ratios(rows, ["l_suppkey"], "metric", "value", "start", "end")
+    return A.derive_ratios(rows, ["l_suppkey"], "metric", "value", "start", "end").drop("margin_from")
 
 
 @query("fact_explode", """SELECT o_orderkey, o_orderpriority AS tag, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS start, CAST(o_orderdate AS DATE) AS "end",
@@ -179,3 +180,80 @@ def fact_explode(spark, folder):
     units = F.struct(F.create_map(F.lit("USD"), F.array(fact)).alias("units"))
     documents = orders(spark, folder).select("o_orderkey", F.to_json(F.create_map("o_orderpriority", units)).alias("body"))
     return explode_facts(documents, "body", ["o_orderkey"]).select("o_orderkey", "tag", "start", "end", "val", "form")
+
+
+# Nations as filers: priorities 1 to 3 are tags of revenue, 4 of cost, 5 of stock; sums since January, but for tag 2, and later
+# restatements of tag 1 for every second filer.
+FILED = """b AS (SELECT c_nationkey AS company, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS p, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS qs,
+    sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+  y AS (SELECT *, make_date(year(qs), 1, 1) AS jan, CAST(qs + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS e, CASE WHEN month(qs) = 10 THEN '10-K' ELSE '10-Q' END AS form,
+    CAST(v AS DOUBLE) AS own, CAST(sum(v) OVER (PARTITION BY company, p, year(qs) ORDER BY qs) AS DOUBLE) AS ytd FROM b),
+  f AS (SELECT company, p, jan AS s, e, ytd AS val, form, e + 40 AS filed, 'a' AS accn FROM y WHERE p IN (1, 3, 4)
+    UNION ALL SELECT company, p, jan, e, ytd + 1000, form, e + 400, 'b' FROM y WHERE p = 1 AND company % 2 = 0
+    UNION ALL SELECT company, p, qs, e, own, '10-Q', e + 60, 'a' FROM y WHERE p = 2
+    UNION ALL SELECT company, p, NULL, e, own, form, e + 40, 'a' FROM y WHERE p = 5),
+  l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY company, p, s, e ORDER BY filed DESC, accn DESC) = 1),
+  c AS (SELECT *, 'reported' AS how FROM l WHERE p = 5 OR e - s BETWEEN 75 AND 105 UNION ALL
+    SELECT a.company, a.p, CAST(b.e + 1 AS DATE), a.e, a.val - b.val, a.form, a.filed, a.accn, 'ytd_diff'
+    FROM l a JOIN l b ON a.company = b.company AND a.p = b.p AND a.s = b.s AND a.e - b.e BETWEEN 75 AND 105),
+  m AS (SELECT *, CASE WHEN p <= 3 THEN 'revenue' WHEN p = 4 THEN 'cost_of_revenue' ELSE 'inventory' END AS metric, CASE WHEN p = 3 THEN 1 ELSE 0 END AS grp,
+    ['Sales', 'SalesNet', 'SalesGoods', 'Cost', 'Stock'][p] AS tag FROM c)"""
+FILED_TAGS = {
+    "revenue": ("duration", [["Sales", "SalesNet"], ["SalesGoods"]]), "cost_of_revenue": ("duration", [["Cost"]]), "inventory": ("instant", [["Stock"]]),
+}
+
+
+def filed_facts(spark, folder):
+    """Facts of every nation, one per tag, period and filing."""
+    nations = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("company"))
+    quarters = orders(spark, folder).join(nations, "o_custkey").groupBy(
+        "company", F.substring("o_orderpriority", 1, 1).cast("int").alias("p"), bucket("filed", "quarter").alias("qs")
+    ).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+    order = Window.partitionBy("company", "p", F.year("qs")).orderBy("qs").rowsBetween(Window.unboundedPreceding, 0)  # four rows
+    p, end = F.col("p"), F.date_sub(F.add_months("qs", 3), 1)
+    form = F.when(F.month("qs") == 10, "10-K").otherwise("10-Q")
+    ytd, own = F.sum("v").over(order).cast("double"), F.col("v").cast("double")
+
+    def fact(start, val, of, after: int, accn: str):
+        return F.struct(start.alias("start"), val.alias("val"), of.alias("form"), F.date_add("end", after).alias("filed"), F.lit(accn).alias("accn"))
+
+    january = F.trunc("qs", "YEAR")
+    first = F.when(p == 2, fact(F.col("qs"), own, F.lit("10-Q"), 60, "a")).when(
+        p == 5, fact(F.lit(None).cast("date"), own, F.col("form"), 40, "a")
+    ).otherwise(fact(january, F.col("ytd"), F.col("form"), 40, "a"))
+    again = F.when((p == 1) & (F.col("company") % 2 == 0), fact(january, F.col("ytd") + 1000, F.col("form"), 400, "b"))
+    tags = F.array(*[F.lit(t) for t in ("Sales", "SalesNet", "SalesGoods", "Cost", "Stock")])
+    known = quarters.withColumns({"ytd": ytd, "end": end, "form": form, "tag": F.element_at(tags, p)})
+    return known.select("company", "tag", "end", F.inline(F.array_compact(F.array(first, again))))
+
+
+@query("quarterly_financials", f"""WITH {FILED},
+  pick AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY company, metric, e ORDER BY grp, how = 'reported' DESC, filed DESC, accn DESC, p) = 1),
+  w AS (SELECT * REPLACE (coalesce(s, min(s) OVER (PARTITION BY company, e)) AS s) FROM pick),
+  yrs AS (SELECT DISTINCT company, s AS fs, e AS fe FROM l WHERE p <> 5 AND form LIKE '10-K%' AND e - s BETWEEN 350 AND 380),
+  fys AS (SELECT * FROM yrs UNION ALL SELECT company, CAST(max(fe) + 1 AS DATE), CAST(max(fe) + 364 AS DATE) FROM yrs GROUP BY 1),
+  h AS (SELECT w.*, fs, fe, row_number() OVER (PARTITION BY w.company, metric, w.e ORDER BY fs) AS k FROM w
+    LEFT JOIN fys y ON y.company = w.company AND fs <= s AND e <= fe + 8 WHERE s IS NOT NULL AND year(e) >= 1993),
+  q AS (SELECT company, s AS period_start, e AS period_end, year(fe) AS fiscal_year,
+    'Q' || CAST(greatest(1, least(4, round_even((e - fs + 1) / 91.3, 0))) AS INTEGER) AS fiscal_quarter,
+    year(s + CAST(floor((e - s) / 2) AS INTEGER)) || 'Q' || quarter(s + CAST(floor((e - s) / 2) AS INTEGER)) AS calendar_quarter,
+    metric, val AS value, 'USD' AS unit, tag, how AS derivation, form, CAST(filed AS DATE) AS filed, accn FROM h WHERE k = 1),
+  x AS (SELECT company, period_start, period_end, fiscal_year, fiscal_quarter, calendar_quarter, max(value) FILTER (WHERE metric = 'revenue') AS r,
+    max(value) FILTER (WHERE metric = 'cost_of_revenue') AS c, max(value) FILTER (WHERE metric = 'inventory') AS i FROM q GROUP BY 1, 2, 3, 4, 5, 6)
+  SELECT * FROM q UNION ALL
+  SELECT company, period_start, period_end, fiscal_year, fiscal_quarter, calendar_quarter, 'gross_margin_pct', round_even(100 * ((r - c) / r), 2), 'pct', NULL,
+    '(revenue-cost_of_revenue)/revenue', NULL, NULL, NULL FROM x WHERE r <> 0 AND c IS NOT NULL UNION ALL
+  SELECT company, period_start, period_end, fiscal_year, fiscal_quarter, calendar_quarter, 'inventory_days', round_even(i / c * (period_end - period_start + 1), 1), 'days', NULL,
+    'inventory/cost_of_revenue*days_in_quarter', NULL, NULL, NULL FROM x WHERE r IS NOT NULL AND i IS NOT NULL AND c > 0""")
+def quarterly_financials(spark, folder):
+    return Q.quarterly_financials(Q.latest_facts(filed_facts(spark, folder), "company", FILED_TAGS), "company", first_year=1993)
+
+
+@query("quarterly_conflicts", f"""WITH {FILED}, g AS (SELECT * FROM m WHERE how = 'reported' AND metric = 'revenue' AND grp = 0)
+  SELECT a.company, 'revenue' AS metric, a.e AS "end", CASE WHEN (b.filed, b.accn) > (a.filed, a.accn) THEN b.tag ELSE a.tag END AS kept_tag,
+    CASE WHEN (b.filed, b.accn) > (a.filed, a.accn) THEN b.val ELSE a.val END AS kept_value, CAST(greatest(a.filed, b.filed) AS DATE) AS kept_filed,
+    CASE WHEN (b.filed, b.accn) > (a.filed, a.accn) THEN a.tag ELSE b.tag END AS other_tag,
+    CASE WHEN (b.filed, b.accn) > (a.filed, a.accn) THEN a.val ELSE b.val END AS other_value, CAST(least(a.filed, b.filed) AS DATE) AS other_filed
+  FROM g a JOIN g b ON a.company = b.company AND a.e = b.e AND a.p = 1 AND b.p = 2 WHERE a.val <> 0 AND abs(a.val - b.val) / abs(a.val) > 0.005""")
+def quarterly_conflicts(spark, folder):
+    return Q.quarterly_conflicts(Q.latest_facts(filed_facts(spark, folder), "company", FILED_TAGS), "company")

@@ -207,18 +207,20 @@ def attribute(df: DataFrame, units: str, unit_cost: Column, change: str = "chang
 
 
 def derive_ratios(df: DataFrame, keys: list[str], metric: str, value: str, start: str, end: str) -> DataFrame:
-    """Margin % and inventory days from metrics in rows, each with its fallback."""
+    """Margin % and inventory days from metrics in rows, each with its fallback; ``margin_from`` tells what the margin is of."""
     wanted = ["revenue", "gross_profit", "cost_of_revenue", "inventory"]
     held = list(dict.fromkeys([*keys, start, end]))
     wide = df.where(F.col(metric).isin(wanted)).groupBy(*held).pivot(metric, wanted).agg(F.first(value, ignorenulls=True))
     profit = F.coalesce("gross_profit", F.col("revenue") - F.col("cost_of_revenue"))
     cost = F.coalesce("cost_of_revenue", F.col("revenue") - profit)
     days = F.datediff(end, start) + 1
+    source = F.when(F.col("gross_profit").isNotNull(), "gross_profit/revenue").otherwise("(revenue-cost_of_revenue)/revenue")
     return (
         wide.where(F.col("revenue").isNotNull())
         .withColumn("gross_margin_pct", F.bround(100 * F.try_divide(profit, F.col("revenue")), 2))
         .withColumn("inventory_days", F.when(cost > 0, F.bround(F.col("inventory") / cost * days, 1)))
-        .select(*held, "gross_margin_pct", "inventory_days")
+        .withColumn("margin_from", F.when(F.col("gross_margin_pct").isNotNull(), source))
+        .select(*held, "gross_margin_pct", "inventory_days", "margin_from")
     )
 
 
