@@ -1,6 +1,8 @@
 """Exact quantiles per group in one lazy plan, for small groups and for one that holds most rows.
 
-Two passes, each one aggregation that combines before its shuffle. The first counts each group and brackets the wanted ranks with
+Groups are dealt to ``BUCKETS`` buckets by the hash of their keys and rows are counted per bucket. A bucket of at most four times
+``ACCURACY`` rows holds small groups only: these are gathered whole, in one aggregation. The groups of crowded buckets take two
+passes, each one aggregation that combines before its shuffle. The first counts each group and brackets the wanted ranks with
 a mergeable rank sketch of bounded size. The second counts what lies at or below each bracket and gathers only the values strictly
 inside it, from which the exact rank is taken; ties at the ends of a bracket are counted, not gathered. The sketch is right within
 1 / ``ACCURACY`` of a group's rows, so a bracket holds less than a thousandth of a large group, however its values are
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
+BUCKETS = 1 << 16
 
 _FOLD = {"min": F.min, "max": F.max, "sum": F.sum}
 
@@ -47,6 +50,40 @@ def exact_quantiles(
         source = source.where("__times > 0").select(
             "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__times") - 1) / 1000))).alias("__k")
         ).select("*", F.explode(F.array_repeat(F.lit(1), F.least(F.lit(1000), F.col("__times") - F.col("__k") * 1000).cast("int"))))
+    if not keys:
+        return _named(_in_two_passes(source, keys, ranks, extra, accuracy), keys, quantiles, count, extra)
+    # At most BUCKETS rows, so a broadcast is safe; without a crowded bucket its whole branch falls away at run time.
+    source = source.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    crowded = F.broadcast(source.groupBy("__bucket").agg(F.count("*").alias("__rows")).where(F.col("__rows") > 4 * accuracy).select("__bucket"))
+    gathered = source.join(crowded, "__bucket", "left_anti").groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.collect_list("__v").alias("__whole"), *_folds(extra)
+    )
+    few = gathered.select(*keys, "__n", _blends(ranks, lambda i, rank, whole: F.get(whole, rank.cast("int"))).alias("__p"), *[f"__x_{n}" for n in extra])
+    many = _in_two_passes(source.join(crowded, "__bucket", "left_semi").drop("__bucket"), keys, ranks, extra, accuracy)
+    return _named(few.unionByName(many), keys, quantiles, count, extra)
+
+
+def _named(found: DataFrame, keys: list[str], quantiles: dict[str, float], count: str | None, extra) -> DataFrame:
+    counts = [F.coalesce("__n", F.lit(0)).cast("long").alias(count)] if count else []
+    picked = [F.get("__p", F.lit(i)).alias(name) for i, name in enumerate(quantiles)]
+    return found.select(*keys, *picked, *counts, *[F.col(f"__x_{n}").alias(n) for n in extra])
+
+
+def _blends(ranks: list[float], value_at) -> Column:
+    """The quantiles of a group, from ``value_at(rank, the gathered values in order)``."""
+    def blended(whole: Column) -> Column:
+        out = []
+        for i, q in enumerate(ranks):
+            at = F.lit(float(q)) * (F.col("__n") - 1)
+            lower, upper = (value_at(i, end(at), whole) for end in (F.floor, F.ceil))
+            out.append(F.when(lower == upper, lower).otherwise(lower + (upper - lower) * (at - F.floor(at))))
+        return F.array(*out)
+
+    return F.get(F.transform(F.array(F.sort_array("__whole")), blended), F.lit(0))
+
+
+def _in_two_passes(source: DataFrame, keys: list[str], ranks: list[float], extra, accuracy: int) -> DataFrame:
+    """Keys, ``__n``, ``__p`` (an array in the order of ``ranks``) and the folds, gathering only what lies inside brackets."""
     # Three times the sketch's error to both sides: in a group of more than 4 x accuracy rows the rank lies between them.
     ends = [min(1.0, max(0.0, q + side / accuracy)) for q in ranks for side in (-3, 3)]
     first = source.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", ends, accuracy).alias("__ends"), *_folds(extra))
@@ -65,19 +102,7 @@ def exact_quantiles(
         large = F.when(place < 0, low[i]).otherwise(F.coalesce(F.get(F.sort_array(f"__in{i}"), place), high[i]))
         return F.when(small, F.get(whole, rank.cast("int"))).otherwise(large)
 
-    def blended(whole: Column) -> Column:
-        out = []
-        for i, q in enumerate(ranks):
-            at = F.lit(float(q)) * (F.col("__n") - 1)
-            lower, upper = value_at(i, F.floor(at), whole), value_at(i, F.ceil(at), whole)
-            out.append(F.when(lower == upper, lower).otherwise(lower + (upper - lower) * (at - F.floor(at))))
-        return F.array(*out)
-
-    values = F.get(F.transform(F.array(F.sort_array("__whole")), blended), F.lit(0))
-    found = found.select(*keys, "__n", values.alias("__p"), *[f"__x_{n}" for n in extra])
-    counts = [F.coalesce("__n", F.lit(0)).cast("long").alias(count)] if count else []
-    picked = [F.get("__p", F.lit(i)).alias(name) for i, name in enumerate(quantiles)]
-    return found.select(*keys, *picked, *counts, *[F.col(f"__x_{n}").alias(n) for n in extra])
+    return found.select(*keys, "__n", _blends(ranks, value_at).alias("__p"), *[f"__x_{n}" for n in extra])
 
 
 def _folds(extra) -> list[Column]:

@@ -85,3 +85,24 @@ def test_no_job_while_the_plan_is_built(spark):
     plan = exact_quantiles(df, ["g"], "v", {"m": 0.5})
     assert not tracker.getJobIdsForGroup("building")
     assert plan.count() == 3
+
+
+def test_small_groups_are_gathered_once(spark):
+    """No sketch is made of groups that fit: its cost per group was most of the time with many small groups."""
+    rows = spark.range(4000).selectExpr("id % 2000 AS g", "CAST(id AS DOUBLE) AS v")
+    found = exact_quantiles(rows, ["g"], "v", {"m": 0.5}, count="n")
+    got = {r.g: (r.m, r.n) for r in found.collect()}
+    assert got == {g: (g + 1000.0, 2) for g in range(2000)}
+    final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "percentile_approx" not in final
+
+
+def test_crowded_and_small_groups_side_by_side(spark):
+    rows = spark.range(3000).selectExpr("IF(id < 2000, NULL, id % 100) AS g", "CAST(id * 7919 % 3001 AS DOUBLE) AS v")
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r.g, []).append(r.v)
+    found = exact_quantiles(rows, ["g"], "v", {"lo": 0.25, "m": 0.5}, count="n", accuracy=100)
+    for r in found.collect():
+        assert (r.lo, r.m, r.n) == (*np.quantile(values.pop(r.g), [0.25, 0.5]), r.n)
+    assert not values
