@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cutover, item_spec
 from ..operators.joins import drop_stale
 from ..operators.quantiles import exact_quantiles
+from ..session import settle
 
 
 def _observed_months(items: DataFrame, section: list[str], month: str) -> DataFrame:
@@ -23,10 +24,10 @@ def matched_links(items: DataFrame, section: list[str], key: str, month: str, pr
     the item; it links only if it stands in the section's previous observed month. Items have
     at most one row per calendar month here, so the window is small for any item.
     """
-    points = items.groupBy(*section, key, month).agg(F.avg(price).alias("__p"))
+    points = settle(items.groupBy(*section, key, month).agg(F.avg(price).alias("__p")))  # read for its months and for its links
     along = Window.partitionBy(*section, key).orderBy(month)
     seen = points.withColumns({"__last_month": F.lag(month).over(along), "__last_p": F.lag("__p").over(along)})
-    linked = seen.join(_observed_months(items, section, month), [*section, month])
+    linked = seen.join(_observed_months(points, section, month), [*section, month])
     return linked.where(F.col("__last_month") == F.col("__prev_month")).select(
         *section, key, month, F.ln(F.col("__p") / F.col("__last_p")).alias("change")
     )
@@ -42,6 +43,7 @@ def chain_index(
     month has level 0 and no count. A section that lacks the base month is an error.
     """
     section = section or []
+    items = settle(items)  # read for links, months and the unit summary
     links = exact_quantiles(
         matched_links(items, section, key, month, price), [*section, month], "change", {"__step": 0.5},
         count="__n",
