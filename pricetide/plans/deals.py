@@ -14,7 +14,7 @@ from ..functions.deals import (
 )
 from ..operators.aggregate import distribution, keep_keys, series_rows, top_categories
 from ..operators.joins import repost_gap
-from ..operators.layout import keep_rows
+from ..operators.layout import keep_rows, read_once
 from ..operators.quantiles import exact_quantiles
 from ..session import settle
 
@@ -27,11 +27,30 @@ SPEC_COLUMNS = {
 def parse_titles(posts: DataFrame) -> DataFrame:
     """Posts of a known category with ``reject`` (null = accepted), price and all spec columns.
 
-    ``posts`` has ``id, ts, title, link_flair_text, domain``. One projection over one scan:
-    later rules see a null text where an earlier rule has rejected the title or the
-    category is another, and skip it.
+    ``posts`` has ``id, ts, title, link_flair_text, domain``. Titles that come again are read once: the rules see the text, the
+    flair, the domain and whether the post is older than DDR5, and nothing else of a post.
     """
-    rows = categorize(posts.withColumn("title", tidy(F.col("title"))), "title", "link_flair_text")
+    launch = F.lit(R.DDR5_LAUNCH).cast("date")
+    old = F.col("ts").cast("date") < launch
+    rows = posts.withColumns({"title": tidy(F.col("title")), "__old": old})
+    read = read_once(rows, ["title", "link_flair_text", "domain", "__old"], lambda titles: _read_titles(
+        titles.withColumn("ts", F.when(F.col("__old"), F.date_sub(launch, 1)).when(~F.col("__old"), launch))
+    ).drop("ts"))
+    out = read.select(*posts.columns, "category", "body", "price", *SPEC_COLUMNS, "reject")
+    ok = F.col("reject").isNull()
+    return out.withColumns({
+        "month": bucket("ts"),
+        "usd_per_gb": F.when(ok & (F.col("category") == "RAM"), F.col("price") / F.col("capacity_gb")),
+        "usd_per_tb": F.when(ok & (F.col("category") == "SSD"), F.col("price") / (F.col("capacity_gb") / 1000)),
+    })
+
+
+def _read_titles(titles: DataFrame) -> DataFrame:
+    """Category, reject reason, price and specification of tidied titles, in one projection.
+
+    Later rules see a null text where an earlier rule has rejected the title or the category is another, and skip it.
+    """
+    rows = categorize(titles, "title", "link_flair_text")
     rows = keep_rows(rows, F.col("category").isNotNull())
     early = title_rejects(
         F.col("title"), F.col("body"), F.col("category"), F.col("multi_tag"), F.col("domain"), F.col("link_flair_text")
@@ -64,16 +83,10 @@ def parse_titles(posts: DataFrame) -> DataFrame:
     reject = F.coalesce(
         F.col("__early"), F.col("price_reason"), spec_reject, F.when(outside, F.lit("price_out_of_range"))
     )
-    out = rows.select(
-        *[c for c in held if not c.startswith("__") and c not in ("price_reason", "multi_tag")],
+    return rows.select(
+        *[c for c in held if c not in ("__early", "__open", "price_reason", "multi_tag")],
         *[read_column(n).cast(t).alias(n) for n, t in SPEC_COLUMNS.items()], reject.alias("reject"),
     )
-    ok = F.col("reject").isNull()
-    return out.withColumns({
-        "month": bucket("ts"),
-        "usd_per_gb": F.when(ok & (F.col("category") == "RAM"), F.col("price") / F.col("capacity_gb")),
-        "usd_per_tb": F.when(ok & (F.col("category") == "SSD"), F.col("price") / (F.col("capacity_gb") / 1000)),
-    })
 
 
 def flag_outliers(
