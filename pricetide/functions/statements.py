@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.layout import read_once
 from .columns import found
 
 # Words of direction and level, and the reading of a verbal range.
@@ -88,7 +89,11 @@ def magnitude(text: Column) -> Column:
 
 def verbal_range(df: DataFrame, clause: str, subject: str) -> DataFrame:
     """Add ``direction, low, high, mid, phrase``: the sign comes from the first direction word
-    at or after the subject (else anywhere), and turns the range around when prices fall."""
+    at or after the subject (else anywhere), and turns the range around when prices fall. Clauses that come again are read once."""
+    return read_once(df, [clause], lambda clauses: _read_range(clauses, clause, subject))
+
+
+def _read_range(df: DataFrame, clause: str, subject: str) -> DataFrame:
     text = norm_statement(clause)
     at = F.regexp_instr(F.col("__c"), F.lit(f"(?i)(?:{subject})"))
     out = df.withColumn("__c", text)

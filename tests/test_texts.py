@@ -10,6 +10,7 @@ from pricetide.functions.columns import host, item_key, item_spec, norm_model, n
 from pricetide.functions.deals import extract_price
 from pricetide.functions.topics import attention, topic_flags
 from pricetide.operators.joins import contained_passages, quote_check
+from pricetide.operators.layout import read_once
 from pricetide.plans.deals import parse_titles
 
 TITLES = [  # title, year, expected values or reject reason
@@ -236,3 +237,42 @@ def test_outlook_and_inventory_forms(spark):
     assert found[0]["d"]["days"] == 133 and found[1]["d"] is None and found[2]["d"] is None
     at = long.index("average DIO for")
     assert found[0]["d"]["source_text"] == long[at - 80:at + len("average DIO for the quarter was 133 days") + 40]
+
+
+def test_texts_that_come_again_are_read_once(spark):
+    rows = spark.createDataFrame([(i, t, f) for i, (t, f) in enumerate([("a", None), ("a", None), ("b", "x"), ("a", "x"), (None, None), ("drop", None)])], "i int, t string, f string")
+    asked = []
+
+    def read(texts):
+        asked.extend(sorted(map(str, texts.collect())))
+        return texts.where("t IS NULL OR t <> 'drop'").withColumn("n", F.coalesce(F.length("t"), F.lit(-1)))
+
+    got = {r.i: r.n for r in read_once(rows, ["t", "f"], read).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: -1} and len(asked) == len(set(asked)) == 5
+
+
+def test_reposts_share_one_reading(spark):
+    """The same title before and after the launch of DDR5, with and without a flair, once per way it can be read."""
+    title = "[RAM] TeamGroup 32GB 3200MHz  CL16 - $55"
+    posts = [(str(i), dt.datetime(y, 3, 1), title, flair, "newegg.com") for i, (y, flair) in enumerate([(2020, ""), (2025, ""), (2025, None), (2020, "")])]
+    posts += [("9", None, title, "", None)]
+    frame = spark.createDataFrame(posts, "id string, ts timestamp, title string, link_flair_text string, domain string")
+    parsed = parse_titles(frame)
+    got = {r.id: (r.title, r.link_flair_text, r.ts, r.price, r.capacity_gb, r.ddr) for r in parsed.collect()}
+    one = "[RAM] TeamGroup 32GB 3200MHz CL16 - $55"
+    assert got == {p[0]: (one, p[3], p[1], 55.0, 32.0, "DDR4") for p in posts}
+    assert "Aggregate [title" in parsed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_amount_words_stand_in_all_matches(spark):
+    said = [
+        "REVENUES were 5 trillion won.", "12 billion won in Sales.", "Operating income rose to 3 trillion won.", "2 billion won in  operating loss.",
+        "NET LOSS was 7 billion won.", "1 trillion won in\tnet profit.", "Nothing is sold.",
+    ]
+    text = " ".join(said)
+    df = spark.createDataFrame([(text, 1)], "t string, q int")
+    own = {(r.metric, r.value, r.source_text) for r in S.amounts(df, "t", "q", []).collect()}
+    plain = {(r.metric, r.value, r.source_text) for r in S.amounts(df, "t", "q", [], S.AMOUNT_RULES).collect()}
+    assert own == plain and len(own) == 3
+    plan = S.amounts(df, "t", "q", [])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") <= 5  # sentences once, one search of them per metric, and the compacting of the rows
