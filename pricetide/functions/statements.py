@@ -165,6 +165,8 @@ AMOUNT_RULES: dict[str, list[tuple[int, str]]] = {
         (-1, rf"{_AMOUNT}\s+in\s+net loss"),
     ],
 }
+# One of these stands, in small letters, in whatever a pattern of the metric matches.
+AMOUNT_WORDS = {"revenue": ["revenue", "sales"], "operating_profit": ["operating "], "net_profit": ["net "]}
 ANNUAL_WORDS = (
     r"(?i)fiscal year|for the year|full year|annual|yearly|\bFY ?\d|for 20\d\d\b|"
     r"revenues? for 20\d\d|20\d\d revenues?|in 20\d\d\b"
@@ -178,9 +180,13 @@ RELEASE_SENTENCE = r"(?<=[.!?])[\"”’]?\s+(?=[A-Z“\"‘(])|\s[·▪–]\s|
 UNITS = {"trillion": 1.0, "billion": 0.001}
 
 
-def _any_pattern(patterns: list[str]):
-    """One-argument test for ``filter``: some pattern occurs."""
-    return lambda s: reduce(lambda a, b: a | b, [s.rlike(p) for p in patterns])
+def _any_pattern(patterns: list[str], words: list[str] | None = None):
+    """One-argument test for ``filter``: some pattern occurs. ``words``: the patterns are tried only where one of them stands."""
+    def occurs(s: Column) -> Column:
+        hit = reduce(lambda a, b: a | b, [s.rlike(p) for p in patterns])
+        return reduce(lambda a, b: a | b, [F.contains(F.lower(s), F.lit(w)) for w in words]) & hit if words else hit
+
+    return occurs
 
 
 def amounts(df: DataFrame, text: str, quarter: str, keep: list[str], rules: dict | None = None) -> DataFrame:
@@ -197,11 +203,13 @@ def amounts(df: DataFrame, text: str, quarter: str, keep: list[str], rules: dict
     sentences = F.filter(F.split(text, RELEASE_SENTENCE), lambda s: (s != "") & counts(s))
     staged = df.withColumn("__s", sentences)
     scale = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
-    found_rows = []
+    found_rows, words = [], {} if rules else AMOUNT_WORDS
     for metric, patterns in (rules or AMOUNT_RULES).items():
         tests = [(sign, f"(?i){pattern}") for sign, pattern in patterns]
 
-        sentence = F.get(F.filter("__s", _any_pattern([p for _, p in tests])), F.lit(0))
+        # A column of its own, as every use of the expression would search the sentences again.
+        staged = staged.withColumn(f"__s_{metric}", F.get(F.filter("__s", _any_pattern([p for _, p in tests], words.get(metric))), F.lit(0)))
+        sentence = F.col(f"__s_{metric}")
         value = F.coalesce(*[
             F.when(sentence.rlike(p), sign * F.replace(F.regexp_extract(sentence, p, 1), F.lit(","), F.lit("")).try_cast("double")
                    * scale[F.lower(F.regexp_extract(sentence, p, 2))])
