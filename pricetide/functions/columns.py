@@ -150,17 +150,26 @@ def mismatch_flag(a: str | Column, b: str | Column, low: float = 0.8, high: floa
 # Characters dropped and folded before quotes are compared.
 _DROPPED = "®©​‌­"
 _FOLDS = {"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-"}
+_FORMS = {"™": "tm", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "…": "..."}
+# White space outside of ASCII, and two ranges that hold it and every character that folds.
+_WIDE_SPACE = r"[\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_MAY_FOLD = r"[\u0085-\u00AE\u1680-\uFFFF]"
 
 
 def normalize_text(col: str | Column) -> Column:
-    """Fold quotes, dashes, full-width and compatibility forms, collapse white space, lower case."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94)) + " 　"
+    """Fold quotes, dashes, full-width and compatibility forms, collapse white space, lower case.
+
+    Folding looks up every character by itself, so it is done only for texts that may hold one that folds.
+    """
+    wide = "".join(chr(0xFF01 + i) for i in range(94)) + " \u3000"
     narrow = "".join(chr(0x21 + i) for i in range(94)) + "  "
-    text = F.translate(_c(col), wide, narrow)
-    text = F.translate(text, "".join(_FOLDS) + _DROPPED, "".join(_FOLDS.values()))
-    for form, letters in {"™": "tm", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "…": "..."}.items():
-        text = F.replace(text, F.lit(form), F.lit(letters))
-    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    folded = F.translate(_c(col), wide, narrow)
+    folded = F.translate(folded, "".join(_FOLDS) + _DROPPED, "".join(_FOLDS.values()))
+    for form, letters in _FORMS.items():
+        folded = F.replace(folded, F.lit(form), F.lit(letters))
+    folded = F.regexp_replace(folded, _WIDE_SPACE, " ")
+    text = F.when(F.rlike(_c(col), F.lit(_MAY_FOLD)), folded).otherwise(_c(col))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[\t-\r]", " "), "  +", " ")))
 
 
 # Named character references of running text; the ampersand comes last, so that nothing is decoded twice.

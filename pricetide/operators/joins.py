@@ -7,8 +7,6 @@ patterns are tested once per distinct name; passages meet texts on runs of words
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -244,57 +242,59 @@ def contained_passages(
 
     A text that holds a passage holds the passage's inner words as whole words, so the two meet on a run of ``words``
     inner words, or of all inner words if there are fewer. A passage of one or two words has no inner word and may stand within
-    words: it meets texts on its runs of ``grams`` characters (of all its characters if it is shorter). Texts post the kinds of runs that
-    some passage asks for; a passage's anchor is its run that the fewest texts hold, and only texts that hold the anchor are
-    compared in full. An empty passage is in every text that is not null. One lazy plan: both uses of the posts share one shuffle.
+    words: it meets texts on its runs of ``grams`` characters (of all its characters if it is shorter; an empty one is in every text
+    that is not null). Texts post the kinds of runs that some passage asks for; a passage's anchor is its run that the fewest texts
+    hold, and only texts that hold the anchor are compared in full. One lazy plan: both uses of the posts share one shuffle, and a
+    text is cut into runs once.
     """
-    t = texts.select(text_id, normalize_text(text).alias("__t"))
-    p = passages.select(passage_id, normalize_text(passage).alias("__p")).where(F.col("__p").isNotNull())
-    runs = [(n, partial(_word_runs, n=n)) for n in range(1, words + 1)] + [(-n, partial(_character_runs, n=n)) for n in range(1, grams + 1)]
-    none = F.expr("CAST(array() AS array<struct<kind:int,h:bigint>>)")
-
-    def keyed(text: Column, wanted) -> Column:
-        """(kind, hash) of the runs of the wanted kinds."""
-        def of_kind(k: int, hashes: Column) -> Column:
-            return F.transform(hashes, lambda h: F.struct(F.lit(k).alias("kind"), h.alias("h")))
-
-        return F.concat(*[F.when(wanted(k), of_kind(k, of(text))).otherwise(none) for k, of in runs])
-
+    t = texts.select(text_id, F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    p = passages.select(passage_id, F.inline(F.array(F.struct(normalize_text(passage).alias("__p"))))).where(F.col("__p").isNotNull())
     n_words = F.size(F.split("__p", " "))
     kind = F.when(n_words >= 3, F.least(n_words - 2, F.lit(words))).otherwise(-F.least(F.length("__p"), F.lit(grams)))
-    distinct = p.where("__p != ''").select("__p").distinct().withColumn("__kind", kind)
     inner = F.when(n_words >= 3, F.array_join(F.slice(F.split("__p", " "), F.lit(2), n_words - 2), " ")).otherwise(F.col("__p"))
-    own = distinct.select("__p", "__kind", inner.alias("__x"))
-    own = own.select("__p", F.explode(keyed(F.col("__x"), lambda k: F.col("__kind") == k)).alias("__a"))
-    # Kinds that no passage asks for are not posted; the set is one value, read as a subquery.
-    asked = distinct.agg(F.collect_set("__kind")).scalar()
-    posts = keyed(F.col("__t"), lambda k: F.array_contains(asked, F.lit(k)))
-    posts = t.select(F.col(text_id).alias("__id"), F.explode(posts).alias("__a"))
-    met = posts.join(own.select("__a").distinct(), "__a", "left_semi")
-    # An id is taken along so that this shuffle of posts is the same one that the pairs read.
-    counts = met.groupBy("__a").agg(F.count(F.lit(1)).alias("__c"), F.max("__id").alias("__some"))
-    anchor = own.join(counts, "__a").groupBy("__p").agg(F.min_by("__a", F.struct("__c", "__a", "__some")).alias("__a"))
-    # The text itself comes back by id only for the texts that met an anchor.
+    distinct = p.select("__p").distinct().select("__p", kind.alias("__kind"), inner.alias("__x"))
+    # Kinds that no passage asks for are not posted; the sets are one value each, read as a subquery.
+    kinds = distinct.agg(F.collect_set(F.when(F.col("__kind") > 0, F.col("__kind"))).alias("w"), F.collect_set(F.when(F.col("__kind") <= 0, F.col("__kind"))).alias("c"))
+    own = distinct.withColumns({"__w": F.array_compact(F.array(F.when(F.col("__kind") > 0, F.col("__kind")))), "__c": F.array_compact(F.array(F.when(F.col("__kind") <= 0, F.col("__kind"))))})
+    own = _runs(own, "__x", F.col("__w"), F.col("__c"), ["__p"], words, grams).distinct()
+    posts = t.select(F.col(text_id).alias("__id"), normalize_text("__text").alias("__t"))
+    posts = _runs(posts, "__t", kinds.select("w").scalar(), kinds.select("c").scalar(), ["__id"], words, grams)
+    # The shuffle of distinct posts is the one that both the counts and the pairs read.
+    met = posts.join(own.select("__a").distinct(), "__a", "left_semi").select("__a", "__id").distinct()
+    counts = met.groupBy("__a").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = F.min_by("__a", F.struct(F.coalesce("__n", F.lit(0)), "__a")).alias("__a")
+    anchor = own.join(counts, "__a", "left").groupBy("__p").agg(rarest)
+    # The text itself comes back by id, and is made plain again only where it met an anchor.
     found = met.join(anchor, "__a").select("__id", "__p").distinct()
-    pairs = found.join(t, F.col("__id").eqNullSafe(F.col(text_id))).where(F.contains("__t", "__p")).select(text_id, "__p")
-    pairs = pairs.join(p, "__p").select(text_id, passage_id)
-    empty = p.where("__p = ''").agg(F.collect_list(passage_id)).scalar()
-    everywhere = t.where(F.col("__t").isNotNull()).select(text_id, F.explode(empty).alias(passage_id))
-    return pairs.unionByName(everywhere)
-
+    pairs = found.join(t, F.col("__id").eqNullSafe(F.col(text_id))).where(F.contains(normalize_text("__text"), F.col("__p")))
+    return pairs.select(text_id, "__p").join(p, "__p").select(text_id, passage_id)
 
-def _word_runs(text: Column, n: int) -> Column:
-    """Hashes of the distinct runs of n words."""
-    w = F.split(text, " ")
-    shifted = F.arrays_zip(*[F.slice(w, k + 1, F.size(w)).alias(f"w{k}") for k in range(n)])
-    hashes = F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(n)]))
-    return F.array_distinct(F.slice(hashes, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0))))
 
+def _runs(df: DataFrame, text: str, word_kinds: Column, char_kinds: Column, keep: list[str], words: int, grams: int) -> DataFrame:
+    """``keep`` and the hash ``__a`` of each run of n words (n in ``word_kinds``) and of each distinct run of n characters (-n in ``char_kinds``).
 
-def _character_runs(text: Column, n: int) -> Column:
-    """Hashes of the distinct runs of n characters, from one pass of a pattern that looks ahead."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-    return F.transform(found, lambda x: F.xxhash64(x))
+    Words are hashed once. Runs are then numbered and hashed one by one, in one small compiled loop with the join that follows.
+    """
+    def characters(n: int) -> Column:
+        """Distinct runs of n characters, from one pass of a pattern that looks ahead."""
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+    def hashed(pieces: str) -> Column:
+        return F.transform(pieces, lambda x: F.xxhash64(x)).alias(pieces)
+
+    none = F.expr("CAST(array() AS array<string>)")
+    runs = [F.when(F.array_contains(char_kinds, F.lit(-n)), characters(n) if n else F.array(F.lit(""))).otherwise(none) for n in range(grams + 1)]
+    split = F.when(F.size(word_kinds) > 0, F.split(text, " ")).otherwise(none)
+    cut = df.select(*keep, word_kinds.alias("__kinds"), split.alias("__words"), F.concat(*runs).alias("__chars"))
+    cut = cut.select(*keep, "__kinds", hashed("__words"), hashed("__chars"))
+    n_kinds, n_words = F.size("__kinds"), F.size("__words")
+    last = n_words * n_kinds + F.size("__chars") - 1
+    numbers = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.expr("CAST(array() AS array<int>)"))
+    number = F.col("__i")
+    place, n = F.floor(number / n_kinds).cast("int"), F.get("__kinds", number % n_kinds)
+    of_words = number < n_words * n_kinds
+    hashes = F.when(of_words, F.xxhash64(F.slice("__words", place + 1, n))).otherwise(F.get("__chars", number - n_words * n_kinds))
+    return cut.select("*", F.explode(numbers).alias("__i")).where(~of_words | (place + n <= n_words)).select(*keep, hashes.alias("__a"))
 
 
 def repost_gap(df: DataFrame, keys: list[str], ts: str, tie: str, days: float, segment: str = "DAY") -> DataFrame:

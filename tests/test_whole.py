@@ -1,7 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import re
 
+from pyspark.sql import functions as F
+
+from pricetide.functions.columns import normalize_text
 from pricetide.operators.joins import contained_passages
 from pricetide.sources import readers as R
 
@@ -37,3 +41,29 @@ def test_xml_facts_with_a_default_namespace(spark, tmp_path):
     (tmp_path / "two.xml").write_text(XML.replace("xbrli:", "").replace("12.5", "13.5"))
     rows = R.read_xml_facts(spark, str(tmp_path), ["Revenues"], ["srt:ProductOrServiceAxis"]).collect()
     assert sorted((r["member"], r["val"], str(r["end"])) for r in rows) == [("x:DRAM", 12.5, "2024-03-31"), ("x:DRAM", 13.5, "2024-03-31")]
+
+
+def test_texts_are_made_plain_again_only_where_they_met_a_passage(spark):
+    """All texts were made plain once more before they were joined to the pairs, and each run was made of slices of all words."""
+    texts, passages = spark.range(9).selectExpr("id AS d", "concat('the cat sat on the mat ', id) AS t"), spark.range(5).selectExpr("id AS p", "concat('cat sat on the mat ', id) AS q")
+    found = contained_passages(texts, "d", "t", passages, "p", "q")
+    assert {tuple(r) for r in found.collect()} == {(i, i) for i in range(5)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    compared = [line for line in plan.splitlines() if "Join" in line and "Contains(" in line]
+    assert compared and all("translate(" in line for line in compared), compared
+    assert "arrays_zip" not in plan
+
+
+def test_plain_text_of_every_character(spark):
+    """The short way for texts without a character that folds agrees with the long one."""
+    def long_way(text):
+        folds = {**{chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}, "“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "™": "tm", "ﬀ": "ff", "ﬁ": "fi",
+                 "ﬂ": "fl", "…": "...", **dict.fromkeys("®©\u200b\u200c\u00ad", "")}
+        spaces = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+        return re.sub(spaces, " ", "".join(folds.get(c, c) for c in text)).strip(" ")
+
+    texts = [(c, f"{chr(c)}a {chr(c)} \n{chr(c)}b  c{chr(c)}") for c in [*range(1, 0xD800), *range(0xE000, 0x10080)]]
+    rows = spark.createDataFrame(texts, "c int, t string").select("c", "t", normalize_text("t").alias("have")).collect()
+    have = {r["t"]: r["have"] for r in rows}
+    want = spark.createDataFrame([(t, long_way(t)) for _, t in texts], "t string, w string").select("t", F.lower("w").alias("w")).collect()
+    assert [(r["t"], have[r["t"]]) for r in want if r["w"] != have[r["t"]]] == []
