@@ -109,9 +109,11 @@ def pattern_join(df: DataFrame, patterns: DataFrame | dict[str, str], name: str,
         hits = F.array_compact(F.array(*[F.when(F.col(name).rlike(rx), F.lit(key)) for key, rx in patterns.items()]))
         labelled = distinct.select(name, F.explode(hits).alias(label))
     else:
-        plain = normalize_text(plain_part(F.col("pattern")))
+        # Inlined from an array, as a filter on the plain part would else be pushed to the rows that the patterns are made of.
+        plain = F.inline(F.array(F.struct(normalize_text(plain_part(F.col("pattern"))).alias("__q"))))
         complaint = F.concat(F.lit("no plain part in pattern "), F.col("pattern"))
-        rules = patterns.select(label, "pattern", F.when(plain != "", plain).otherwise(F.raise_error(complaint).cast("string")).alias("__plain"))
+        checked = F.when(F.col("__q") != "", F.col("__q")).otherwise(F.raise_error(complaint).cast("string"))
+        rules = patterns.select(label, "pattern", plain).select(label, "pattern", checked.alias("__plain"))
         met = contained_passages(distinct.withColumn("__name", F.col(name)), name, "__name", rules.select("__plain", F.col("__plain").alias("__q")).distinct(), "__plain", "__q")
         labelled = met.join(rules, "__plain").where(F.rlike(F.col(name), F.col("pattern"))).select(name, label)
     names = labelled.groupBy(label).agg(F.count("*").alias("__n"), F.min(name).alias("__one"), F.max(name).alias("__other"))

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from pricetide.functions.columns import normalize_text
-from pricetide.operators.joins import contained_passages
+from pricetide.operators.joins import contained_passages, pattern_join
 from pricetide.sources import readers as R
 
 from .test_sources import XML
@@ -54,6 +54,17 @@ def test_texts_are_made_plain_again_only_where_they_met_a_passage(spark):
     assert "arrays_zip" not in plan
 
 
+def test_patterns_are_made_plain_after_they_are_told_apart(spark):
+    """A filter on the plain part went below the distinct patterns, to every row that they are made of."""
+    names = spark.range(400).selectExpr("id AS n", "concat('part ', id % 4, 'x') AS device")
+    pattern = F.concat(F.lit("^"), F.regexp_replace("device", ".$", "[a-z]"), F.lit("$")).alias("pattern")
+    found = pattern_join(names, names.select(F.upper("device").alias("label"), pattern).distinct(), "device")
+    assert sorted(map(tuple, found.select("n", "label").collect())) == [(i, f"PART {i % 4}X") for i in range(400)]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [line for at, line in enumerate(lines) if "Filter" in line and "translate(" in line and "Range" in lines[at + 1]]
+    assert not below, below[:1]
+
+
 def test_plain_text_of_every_character(spark):
     """The short way for texts without a character that folds agrees with the long one."""
     def long_way(text):
