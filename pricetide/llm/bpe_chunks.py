@@ -14,7 +14,7 @@ which costs more disk than the encoding saves.
 Defined results: a null text is empty and has no ids. Texts with a special token's string, with characters outside
 ``_PLAIN`` (those whose white space the library might read in another way), and all texts of a tokenizer that has a
 decoder or keeps white space, are encoded and decoded by the library as they are. Repeated rows and ids are encoded
-alike; extra columns are ignored.
+alike; extra columns are ignored but for those to be carried along.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import prepared
+from .common import prepared, quoted
 from .tokens import Pieces, Table, load
 
 CHUNK_BITS = 11
@@ -154,8 +155,8 @@ class Coder:
 _coders: dict[int, Coder] = {}
 
 
-def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by one space) and decoded text of every row.
+def encoded(docs: DataFrame, tokenizer_path: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by one space) and decoded text of every row, and the columns ``carried``.
 
     The tokenizer's definition is read on the driver and broadcast; its size is that of its vocabulary.
     """
@@ -175,16 +176,19 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 [
                     batch.column(0), pa.array([p[0] for p in pieces], pa.int64()),
                     pa.array([p[1] for p in pieces], pa.string()), pa.array([p[2] for p in pieces], pa.string()),
+                    *[batch.column(c) for c in carried],
                 ],
-                ["doc_id", "n_tokens", "ids", "decoded"],
+                ["doc_id", "n_tokens", "ids", "decoded", *carried],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(code, "doc_id long, n_tokens long, ids string, decoded string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[quoted(c) for c in carried])
+    made = StructType().add("doc_id", "long").add("n_tokens", "long").add("ids", "string").add("decoded", "string")
+    return rows.mapInArrow(code, StructType([*made.fields, *[rows.schema[c] for c in carried]]))
 
 
-def op9_bpe_chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Contract columns for every document."""
-    return encoded(docs, tokenizer_path).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+def op9_bpe_chunks(docs: DataFrame, tokenizer_path: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Contract columns for every document, and the columns ``carried``."""
+    return encoded(docs, tokenizer_path, carried).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        *[quoted(c) for c in carried],
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import class_sample, crc_of_id, prepared, whole_row
 from .linear import Ftrl, softmax, temperature
@@ -167,7 +167,7 @@ def op10_language_id(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The documents whose language is recognised: not ``und`` and, where asked for, a calibrated score of at least ``least``.
 
-    Decided within one pass over the rows, so repeated ids are judged by their own text.
+    Their ``lang`` is the language recognised. Decided within one pass over the rows, so repeated ids are judged by their own text.
     """
     model = train(docs)
     shared = prepared(docs.sparkSession).sparkContext.broadcast(model)
@@ -175,15 +175,20 @@ def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
     def keep(batches):
         m = shared.value
         for batch in batches:
-            kept = []
+            kept, langs = [], []
             for text in batch.column("text").to_pylist():
                 ok = bool(m.langs) and text is not None and bool(_LETTER.search(text))
                 if ok:
                     at, value = _features(text, m.idf)
-                    ok = float(softmax((value @ m.weights[at] + m.weights[-1]) / m.temperature).max()) >= least
+                    p = softmax((value @ m.weights[at] + m.weights[-1]) / m.temperature)
+                    best = int(p.argmax())
+                    ok = float(p[best]) >= least
                 kept.append(ok)
-            yield batch.filter(pa.array(kept, pa.bool_())).select(["row"])
+                langs.append(m.langs[best] if ok else None)
+            found = pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string())], ["row", "found"])
+            yield found.filter(pa.array(kept, pa.bool_()))
 
     # The row goes through as one column, as names with dots do not.
     rows = docs.select("text", whole_row(docs).alias("row"))
-    return rows.mapInArrow(keep, StructType([rows.schema["row"]])).select("row.*")
+    found = rows.mapInArrow(keep, StructType([rows.schema["row"], StructField("found", StringType())]))
+    return found.select(F.col("row").withField("lang", F.col("found")).alias("row")).select("row.*")

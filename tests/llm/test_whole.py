@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pricetide.llm import ann_search, entropy_mix, exact_topk, html_text, language_id, minhash_dedup, secret_scan
-from pricetide.llm.common import class_sample, prepared
+from pricetide.llm.common import class_sample, prepared, table, written
 
 
 @pytest.mark.parametrize("tag, seen", [
@@ -236,3 +237,15 @@ def test_a_tree_passes_by_only_what_cannot_be_among_the_best(monkeypatch, kind):
         for i in range(70):
             best = sorted((-scores[70 * n + i, j], ids[j]) for j in range(700))[:6]
             assert [(-s, j) for s, j in zip(block.best[i], block.best_ids[i])] == best
+
+
+def test_the_pipeline_carries_the_language_it_recognises(spark, data_dir):
+    docs = table(spark, data_dir, "documents")
+    labels = {r.doc_id: r.lang for r in docs.collect()}
+    docs = docs.withColumn("lang", F.expr("CASE WHEN doc_id % 7 <> 3 THEN lang END"))
+    found = language_id.predict(docs, language_id.train(docs)).collect()
+    rows = written(corpus_pipeline.language(spark, docs, data_dir), "language")
+    want = sorted((r.doc_id, r.lang_pred) for r in found if r.lang_pred != "und")
+    assert sorted((r.doc_id, r.lang) for r in rows.collect()) == want
+    assert sum(labels[i] != lang for i, lang in want if i % 7 == 3) <= 0.02 * len(want)
+    assert sorted((r.doc_id, r.lang) for r in corpus_pipeline.encode(spark, rows, data_dir).collect()) == want
